@@ -5,7 +5,7 @@ All checks cover every entity and every pair of consecutive years in one job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberledger import messages
@@ -29,113 +29,178 @@ FLAG_COLUMNS = [
 
 
 def yearly_scopes(ledger: DataFrame) -> DataFrame:
-    """Emissions, quantity and rows per entity, reporting year and scope (scope as stored)."""
-    return (
-        by_overlap_year(ledger)
-        .groupBy("entity_id", "reporting_year", "scope")
-        .agg(
-            F.sum("result_tco2e").cast(TONNES).alias("tco2e"),
-            F.sum("quantity").cast(AMOUNT).alias("quantity"),
-            F.count(F.lit(1)).alias("n_rows"),
-        )
+    """Emissions, quantity and rows per entity, reporting year and scope.
+
+    Rows without a scope count as scope 1; ``scoped_*`` leaves them out.
+    """
+    lines = by_overlap_year(ledger)
+    named = F.col("scope").isNotNull()
+    key = F.when(F.col("scope") != 0, F.col("scope")).otherwise(F.lit(1))
+    return lines.groupBy("entity_id", "reporting_year", key.alias("scope")).agg(
+        F.sum("result_tco2e").cast(TONNES).alias("tco2e"),
+        F.sum("quantity").cast(AMOUNT).alias("quantity"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.coalesce(F.sum(F.when(named, F.col("result_tco2e"))), F.lit(0)).cast(TONNES)
+        .alias("scoped_tco2e"),
+        F.count_if(named).alias("scoped_rows"),
     )
 
 
-def _year_pairs(yearly: DataFrame) -> DataFrame:
-    """(entity, year) whose previous year also has rows: the comparable pairs."""
-    years = yearly.select("entity_id", "reporting_year").distinct()
-    previous = years.select(
-        "entity_id", (F.col("reporting_year") + 1).alias("reporting_year")
-    )
-    return years.join(previous, ["entity_id", "reporting_year"], "left_semi")
+_MEASURES = {
+    "tco2e": TONNES, "quantity": AMOUNT, "n_rows": "bigint", "scoped_tco2e": TONNES,
+    "scoped_rows": "bigint",
+}
 
 
-def _flag(df: DataFrame, flag_type: Column, severity: Column, title: Column,
-          description: Column, subject: Column, metric: Column, details: list) -> DataFrame:
-    return df.select(
-        "entity_id", F.col("reporting_year").cast("string").alias("reporting_period"),
-        flag_type.alias("flag_type"), severity.alias("severity"), title.alias("title"),
-        description.alias("description"), F.lit("OPEN").alias("status"),
-        subject.alias("subject_id"), metric.cast("double").alias("metric"),
-        F.to_json(F.struct(*details)).alias("details_json"),
-    )
+def year_over_year(yearly: DataFrame) -> DataFrame:
+    """Every (entity, year, scope) with its measures in the year and in the year before.
 
+    Each yearly row plays two parts, in its own year and as baseline of the next, and one
+    aggregation brings the parts together; the yearly table is read once and joined to
+    nothing. ``current_rows`` and ``baseline_rows`` count the rows of all scopes.
+    """
+    roles = yearly.select(
+        "entity_id", "scope", *_MEASURES,
+        F.explode(
+            F.array(
+                F.struct(F.col("reporting_year").alias("year"), F.lit(True).alias("is_current")),
+                F.struct((F.col("reporting_year") + 1).alias("year"),
+                         F.lit(False).alias("is_current")),
+            )
+        ).alias("role"),
+    )
 
-def yoy_changes(yearly: DataFrame) -> DataFrame:
-    """Per entity, year and baseline scope: emissions and activity against the year before."""
-    by_scope = (
-        yearly.withColumn("scope", F.when(F.col("scope") != 0, F.col("scope")).otherwise(F.lit(1)))
-        .groupBy("entity_id", "reporting_year", "scope")
-        .agg(
-            F.sum("tco2e").cast(TONNES).alias("tco2e"),
-            F.sum("quantity").cast(AMOUNT).alias("quantity"),
+    def part(measure: str, dtype: str, current: bool) -> Column:
+        mine = F.col("role.is_current") if current else ~F.col("role.is_current")
+        return F.coalesce(F.sum(F.when(mine, F.col(measure))), F.lit(0)).cast(dtype).alias(
+            ("current_" if current else "prior_") + measure
         )
+
+    compared = roles.groupBy(
+        "entity_id", F.col("role.year").alias("reporting_year"), "scope"
+    ).agg(*[part(m, d, c) for m, d in _MEASURES.items() for c in (True, False)])
+    whole = Window.partitionBy("entity_id", "reporting_year")
+    return compared.withColumn("current_rows", F.sum("current_n_rows").over(whole)).withColumn(
+        "baseline_rows", F.sum("prior_n_rows").over(whole)
     )
-    baseline = by_scope.select(
-        "entity_id", (F.col("reporting_year") + 1).alias("reporting_year"), "scope",
-        F.col("tco2e").alias("prior_tco2e"), F.col("quantity").alias("prior_quantity"),
-    )
-    current = by_scope.select(
-        "entity_id", "reporting_year", "scope", F.col("tco2e").alias("current_tco2e"),
-        F.col("quantity").alias("current_quantity"),
-    )
-    joined = (
-        baseline.join(_year_pairs(yearly), ["entity_id", "reporting_year"], "left_semi")
-        .join(current, ["entity_id", "reporting_year", "scope"], "left")
-        .where("prior_tco2e > 0")
-        .withColumn("current_tco2e", F.coalesce("current_tco2e", F.lit(0).cast(TONNES)))
-        .withColumn("current_quantity", F.coalesce("current_quantity", F.lit(0).cast(AMOUNT)))
-    )
-    emission_change = (F.col("current_tco2e") - F.col("prior_tco2e")).cast(TONNES)
-    activity_change = (F.col("current_quantity") - F.col("prior_quantity")).cast(AMOUNT)
-    return joined.withColumn(
-        "pct_change", (emission_change / F.col("prior_tco2e") * 100).cast("decimal(28,10)")
-    ).withColumn(
-        "activity_pct_change",
-        F.when(
-            F.col("prior_quantity") > 0,
-            (activity_change / F.col("prior_quantity") * 100).cast("decimal(28,10)"),
-        ).otherwise(F.lit(0).cast("decimal(28,10)")),
+
+
+def _change_pct(current: str, prior: str, dtype: str) -> Column:
+    difference = (F.col(current) - F.col(prior)).cast(dtype)
+    return (difference / F.when(F.col(prior) != 0, F.col(prior)) * 100).cast("decimal(28,10)")
+
+
+def _details(*fields: Column | str) -> Column:
+    return F.to_json(F.struct(*fields))
+
+
+def _flag(flag_type: Column, severity: Column, title: Column, description: Column,
+          subject: Column, metric: Column, details: Column) -> Column:
+    return F.struct(
+        flag_type.alias("flag_type"), severity.alias("severity"), title.alias("title"),
+        description.alias("description"), F.lit("OPEN").alias("status"),
+        subject.alias("subject_id"), metric.cast("double").alias("metric"),
+        details.alias("details_json"),
     )
 
 
-def yoy_flags(
-    yearly: DataFrame, drop_pct: str = YOY_DROP_PCT, surge_pct: str = YOY_SURGE_PCT
-) -> DataFrame:
-    """Sharp drops and surges that activity does not explain (less than half of the change)."""
+def _variance_flag(drop_pct: str, surge_pct: str) -> Column:
+    """Sharp drop or surge that activity explains by less than half; null otherwise."""
     pct, act = F.col("pct_change"), F.col("activity_pct_change")
 
     def threshold(text: str) -> Column:
         return F.lit(text).cast("decimal(12,4)")
 
-    dropped = (pct <= -threshold(drop_pct)) & (act * 2 > pct)
-    surged = ~(pct <= -threshold(drop_pct)) & (pct >= threshold(surge_pct)) & (act * 2 < pct)
-    changed = yoy_changes(yearly).where(dropped | surged).withColumn("is_drop", dropped)
-    size, drop = F.abs(pct), F.col("is_drop")
+    drop = (pct <= -threshold(drop_pct)) & (act * 2 > pct)
+    surge = ~(pct <= -threshold(drop_pct)) & (pct >= threshold(surge_pct)) & (act * 2 < pct)
+    size = F.abs(pct)
     scope = F.col("scope").cast("string")
     words = {
         "size": fixed_text(size, 1), "scope": scope, "activity": fixed_text(act, 1),
         "prior": fixed_text(F.col("prior_tco2e"), 2),
         "current": fixed_text(F.col("current_tco2e"), 2),
     }
-    title = F.when(drop, fill(messages.DROP_TITLE, **words)).otherwise(
-        fill(messages.SURGE_TITLE, **words)
+    comparable = (
+        (F.col("prior_tco2e") > 0) & (F.col("current_rows") > 0) & (F.col("baseline_rows") > 0)
     )
-    description = F.when(drop, fill(messages.DROP_TEXT, **words)).otherwise(
-        fill(messages.SURGE_TEXT, **words)
-    )
-    return _flag(
-        changed,
+    flag = _flag(
         F.when(drop, F.lit("YOY_DROP")).otherwise(F.lit("YOY_SPIKE")),
         F.when(drop & (pct <= -threshold(YOY_CRITICAL_PCT)), F.lit("CRITICAL"))
         .otherwise(F.lit("WARNING")),
-        title, description, F.concat(F.lit("scope-"), scope), pct,
-        ["scope", F.col("prior_tco2e").cast("string").alias("prior_tco2e"),
-         F.col("current_tco2e").cast("string").alias("current_tco2e"),
-         pct.cast("double").alias("pct_change"),
-         act.cast("double").alias("activity_pct_change"),
-         (F.col("reporting_year") - 1).cast("string").alias("baseline_period")],
+        F.when(drop, fill(messages.DROP_TITLE, **words)).otherwise(
+            fill(messages.SURGE_TITLE, **words)
+        ),
+        F.when(drop, fill(messages.DROP_TEXT, **words)).otherwise(
+            fill(messages.SURGE_TEXT, **words)
+        ),
+        F.concat(F.lit("scope-"), scope), pct,
+        _details(
+            "scope", F.col("prior_tco2e").cast("string").alias("prior_tco2e"),
+            F.col("current_tco2e").cast("string").alias("current_tco2e"),
+            pct.cast("double").alias("pct_change"),
+            act.cast("double").alias("activity_pct_change"),
+            (F.col("reporting_year") - 1).cast("string").alias("baseline_period"),
+        ),
     )
+    return F.when(comparable & (drop | surge), flag)
+
+
+def _omission_flag() -> Column:
+    """Scope with rows in the year before and none in a year that has rows; null otherwise."""
+    scope, year = F.col("scope").cast("string"), F.col("reporting_year")
+    omitted = (
+        F.col("scope").isin(1, 2, 3) & (F.col("prior_scoped_rows") > 0)
+        & (F.col("current_scoped_rows") == 0) & (F.col("current_rows") > 0)
+    )
+    flag = _flag(
+        F.lit("SCOPE_INCOMPLETENESS"), F.lit("CRITICAL"),
+        fill(messages.OMISSION_TITLE, scope=scope),
+        fill(messages.OMISSION_TEXT, scope=scope, baseline=year - 1, year=year,
+             prior=fixed_text(F.col("prior_scoped_tco2e"), 2)),
+        F.concat(F.lit("scope-"), scope), F.col("prior_scoped_tco2e"),
+        _details(
+            F.col("scope").alias("missing_scope"),
+            F.col("prior_scoped_tco2e").cast("string").alias("prior_tco2e"),
+            F.lit("0.0").alias("current_tco2e"),
+            (year - 1).cast("string").alias("baseline_period"),
+        ),
+    )
+    return F.when(omitted, flag)
+
+
+def yoy_changes(compared: DataFrame) -> DataFrame:
+    """Percentage change of emissions and of activity per scope."""
+    return compared.withColumn(
+        "pct_change", _change_pct("current_tco2e", "prior_tco2e", TONNES)
+    ).withColumn(
+        "activity_pct_change",
+        F.coalesce(
+            F.when(F.col("prior_quantity") > 0,
+                   _change_pct("current_quantity", "prior_quantity", AMOUNT)),
+            F.lit(0).cast("decimal(28,10)"),
+        ),
+    )
+
+
+def _flag_rows(df: DataFrame, *flags: Column) -> DataFrame:
+    return df.select(
+        "entity_id", F.col("reporting_year").cast("string").alias("reporting_period"),
+        F.inline(F.array_compact(F.array(*flags))),
+    )
+
+
+def yoy_flags(
+    yearly: DataFrame, drop_pct: str = YOY_DROP_PCT, surge_pct: str = YOY_SURGE_PCT
+) -> DataFrame:
+    """Sharp drops and surges that activity does not explain (less than half of the change)."""
+    return _flag_rows(
+        yoy_changes(year_over_year(yearly)), _variance_flag(drop_pct, surge_pct)
+    )
+
+
+def omission_flags(yearly: DataFrame) -> DataFrame:
+    """Scopes reported in the year before and absent from a year that has rows."""
+    return _flag_rows(year_over_year(yearly), _omission_flag())
 
 
 COHORT = ["entity_id", "reporting_year", "activity_type", "unit"]
@@ -150,24 +215,29 @@ def intensity_scores(
     never gathered in one task. ``rel_stdev_floor`` skips cohorts whose deviation is mere
     rounding noise relative to the mean (0 keeps every positive deviation).
     """
-    lines = by_overlap_year(ledger)
-    positive = lines.where("quantity > 0").withColumn(
-        "intensity", F.col("result_tco2e").cast("double") / F.col("quantity").cast("double")
-    )
-    cohorts = positive.groupBy(*COHORT).agg(
-        F.count(F.lit(1)).alias("cohort_size"),
-        F.avg("intensity").alias("cohort_mean"),
-        F.stddev_samp("intensity").alias("cohort_stdev"),
-    )
-    reporting = lines.groupBy("entity_id", "reporting_year").agg(
-        F.count(F.lit(1)).alias("period_rows")
+    lines = by_overlap_year(ledger).withColumn(
+        "intensity",
+        F.when(
+            F.col("quantity") > 0,
+            F.col("result_tco2e").cast("double") / F.col("quantity").cast("double"),
+        ),
     )
-    usable = (
-        cohorts.where("cohort_size >= 3 and cohort_stdev > 0")
-        .where(F.col("cohort_stdev") > F.abs("cohort_mean") * F.lit(float(rel_stdev_floor)))
-        .join(reporting.where("period_rows >= 3"), ["entity_id", "reporting_year"], "left_semi")
+    period = Window.partitionBy("entity_id", "reporting_year")
+    cohorts = (
+        lines.groupBy(*COHORT)
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.count("intensity").alias("cohort_size"),
+            F.avg("intensity").alias("cohort_mean"),
+            F.stddev_samp("intensity").alias("cohort_stdev"),
+        )
+        .withColumn("_period_rows", F.sum("_rows").over(period))
     )
-    return positive.join(usable, COHORT).withColumn(
+    floor = F.abs("cohort_mean") * F.lit(float(rel_stdev_floor))
+    usable = cohorts.where(
+        "cohort_size >= 3 and cohort_stdev > 0 and _period_rows >= 3"
+    ).where(F.col("cohort_stdev") > floor).drop("_rows", "_period_rows")
+    return lines.where("intensity is not null").join(usable, COHORT).withColumn(
         "z_score", F.abs(F.col("intensity") - F.col("cohort_mean")) / F.col("cohort_stdev")
     ).where(F.col("z_score") >= zscore_cutoff)
 
@@ -182,40 +252,17 @@ def intensity_flags(
         "intensity": fixed_text(F.col("intensity"), 6),
         "mean": fixed_text(F.col("cohort_mean"), 6),
     }
-    title = fill(messages.OUTLIER_TITLE, **words)
-    description = fill(messages.OUTLIER_TEXT, **words)
-    return _flag(
-        scored, F.lit("INTENSITY_OUTLIER"),
-        F.when(F.col("z_score") >= ZSCORE_CRITICAL, F.lit("CRITICAL"))
-        .otherwise(F.lit("WARNING")),
-        title, description, F.col("calculation_id"), F.col("z_score"),
-        ["calculation_id", "activity_id", "activity_type", "unit", "intensity", "cohort_mean",
-         "cohort_stdev", "z_score"],
-    )
-
-
-def omission_flags(yearly: DataFrame) -> DataFrame:
-    """Scopes reported in the year before and absent from a year that has rows."""
-    reported = yearly.where(F.col("scope").isin(1, 2, 3))
-    baseline = reported.select(
-        "entity_id", (F.col("reporting_year") + 1).alias("reporting_year"), "scope",
-        F.col("tco2e").alias("prior_tco2e"),
-    )
-    missing = baseline.join(
-        _year_pairs(yearly), ["entity_id", "reporting_year"], "left_semi"
-    ).join(reported, ["entity_id", "reporting_year", "scope"], "left_anti")
-    scope = F.col("scope").cast("string")
-    year = F.col("reporting_year")
-    return _flag(
-        missing, F.lit("SCOPE_INCOMPLETENESS"), F.lit("CRITICAL"),
-        fill(messages.OMISSION_TITLE, scope=scope),
-        fill(messages.OMISSION_TEXT, scope=scope, baseline=year - 1, year=year,
-             prior=fixed_text(F.col("prior_tco2e"), 2)),
-        F.concat(F.lit("scope-"), scope), F.col("prior_tco2e"),
-        [F.col("scope").alias("missing_scope"),
-         F.col("prior_tco2e").cast("string").alias("prior_tco2e"),
-         F.lit("0.0").alias("current_tco2e"),
-         (year - 1).cast("string").alias("baseline_period")],
+    return _flag_rows(
+        scored,
+        _flag(
+            F.lit("INTENSITY_OUTLIER"),
+            F.when(F.col("z_score") >= ZSCORE_CRITICAL, F.lit("CRITICAL"))
+            .otherwise(F.lit("WARNING")),
+            fill(messages.OUTLIER_TITLE, **words), fill(messages.OUTLIER_TEXT, **words),
+            F.col("calculation_id"), F.col("z_score"),
+            _details("calculation_id", "activity_id", "activity_type", "unit", "intensity",
+                     "cohort_mean", "cohort_stdev", "z_score"),
+        ),
     )
 
 
@@ -226,12 +273,11 @@ def anomaly_scan(
     rel_stdev_floor: float = 0.0,
 ) -> DataFrame:
     """All flags of all entities and years: intensity, omission and yearly variance."""
-    yearly = yearly_scopes(ledger)
-    flags = (
-        intensity_flags(ledger, zscore_cutoff, rel_stdev_floor)
-        .unionByName(omission_flags(yearly))
-        .unionByName(yoy_flags(yearly, yoy_threshold_pct))
+    by_year = _flag_rows(
+        yoy_changes(year_over_year(yearly_scopes(ledger))),
+        _omission_flag(), _variance_flag(yoy_threshold_pct, YOY_SURGE_PCT),
     )
+    flags = intensity_flags(ledger, zscore_cutoff, rel_stdev_floor).unionByName(by_year)
     return flags.select(flag_id(), *FLAG_COLUMNS)
 
 

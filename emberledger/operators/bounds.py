@@ -1,13 +1,22 @@
-"""Broadcasting only what has been shown to be small."""
+"""Fixed tables, and broadcasting only what has been shown to be small."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIMENSION_ROWS = 100_000
 
 
+def fixed_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
+    """A table of constants (text and integers) that lives in the query plan itself."""
+    data = {c: pa.array([r[n] for r in rows]) for n, c in enumerate(columns)}
+    return spark.createDataFrame(pa.table(data))
+
+
 def small_or_shuffled(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
     """A dimension fit for joining to a fact table.
 
@@ -16,7 +25,7 @@ def small_or_shuffled(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFram
     join). If it does not, the table comes back unchanged and joins to it shuffle, with AQE
     splitting skewed keys.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

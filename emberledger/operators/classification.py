@@ -12,8 +12,10 @@ from emberledger.constants import (
     SCOPE_RULES,
     TAXONOMY,
 )
+from emberledger.functions.patterns import quote
 from emberledger.functions.text import fill
 from emberledger.operators.audit import audit_rows
+from emberledger.operators.bounds import fixed_table
 
 CLASSIFIED = "classified"
 PENDING_REVIEW = "pending_review"
@@ -24,9 +26,10 @@ _OUTCOMES = [rule[1:] for rule in SCOPE_RULES] + [DEFAULT_SCOPE_RULE]
 
 def taxonomy(spark) -> DataFrame:
     """The fixed (scope, category) table, with the position of each category in its scope."""
-    return spark.createDataFrame(
+    return fixed_table(
+        spark,
         [(s, c, n) for s, cats in TAXONOMY.items() for n, c in enumerate(cats, 1)],
-        "scope int, ghg_category string, position int",
+        ["scope", "ghg_category", "position"],
     )
 
 
@@ -47,9 +50,9 @@ def is_valid_pair(scope: Column, category: Column) -> Column:
     return F.coalesce(verdict, F.lit(False))
 
 
-def rule_number() -> Column:
-    """Index of the first rule whose keywords occur in the text of an activity."""
-    text = F.lower(
+def rule_text() -> Column:
+    """The text of an activity that the rules look at."""
+    return F.lower(
         F.replace(
             F.concat_ws(
                 " ", F.coalesce("activity_type", F.lit("")), F.coalesce("unit", F.lit("")),
@@ -58,19 +61,24 @@ def rule_number() -> Column:
             F.lit("_"), F.lit(" "),
         )
     )
-    chain = F
-    for n, (keywords, *_rest) in enumerate(SCOPE_RULES):
-        hit = F.lit(False)
-        # A keyword that contains another one of its rule adds nothing to the test.
-        for k in keywords:
-            if not any(other != k and other in k for other in keywords):
-                hit = hit | F.contains(text, F.lit(k))
-        chain = chain.when(hit, F.lit(n))
-    return chain.otherwise(F.lit(len(SCOPE_RULES)))
+
+
+def rule_number(text: str) -> Column:
+    """Index of the first rule of which some keyword occurs in the text column.
+
+    One alternation per rule keeps the generated code small enough for the JIT compiler,
+    which a chain of single keyword tests would not.
+    """
+    tests = " ".join(
+        f"WHEN {text} RLIKE r'{'|'.join(quote(k) for k in keywords)}' THEN {n}"
+        for n, (keywords, *_rest) in enumerate(SCOPE_RULES)
+    )
+    return F.expr(f"CASE {tests} ELSE {len(SCOPE_RULES)} END")
 
 
 def _outcome(rule: Column, position: int, dtype: str) -> Column:
-    return F.get(F.array(*[F.lit(o[position]).cast(dtype) for o in _OUTCOMES]), rule)
+    values = F.lit([str(o[position]) for o in _OUTCOMES])
+    return F.get(values, rule).cast(dtype)
 
 
 def classify(activities: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
@@ -81,7 +89,8 @@ def classify(activities: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) ->
     ]
     rule = F.col("_rule")
     return (
-        activities.select(*kept, rule_number().alias("_rule"))
+        activities.select(*kept, rule_text().alias("_text"))
+        .select(*kept, rule_number("_text").alias("_rule"))
         .select(
             *kept,
             _outcome(rule, 0, "int").alias("scope"),

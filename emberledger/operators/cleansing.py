@@ -18,6 +18,7 @@ from emberledger.functions.dates import parse_date
 from emberledger.functions.numbers import parse_quantity
 from emberledger.functions.text import blank_to_null, strip
 from emberledger.functions.tokens import tokenize_supplier
+from emberledger.operators.bounds import fixed_table
 
 
 class ColumnMappingError(ValueError):
@@ -82,15 +83,13 @@ def header_synonyms(spark, mapping: dict[str, str] | None = None) -> DataFrame:
         swap = left.strip() not in TARGET_FIELDS and right.strip() in TARGET_FIELDS
         target, wanted = (right, left) if swap else (left, right)
         explicit[target.strip()] = normalize_header(wanted)
-    rows = [(t, w, 0, True) for t, w in explicit.items()]
+    rows = [(t, w, 0) for t, w in explicit.items()]
     rows += [
-        (t, s, n, False)
+        (t, s, n)
         for t, syns in HEADER_SYNONYMS.items() if t not in explicit
         for n, s in enumerate(syns) if s not in explicit.values()
     ]
-    return spark.createDataFrame(
-        rows, "target_field string, synonym string, rank int, is_explicit boolean"
-    )
+    return fixed_table(spark, rows, ["target_field", "synonym", "rank"])
 
 
 def resolve_headers(headers: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:

@@ -45,12 +45,16 @@ def compute(activities: DataFrame, index: FactorIndex) -> DataFrame:
     The id is a function of activity and factor, so a repeated run replaces its own rows.
     """
     df = attach_units(match_factors(activities, index), index)
-    df = df.withColumn("result_tco2e", tonnes(F.col("quantity"), F.col("multiplier")))
+    # A status that needs no decimal arithmetic, so that filters on it stay cheap.
+    fits = F.abs(F.col("quantity").cast("double")) * F.col("multiplier").cast("double") < 9.99e11
     return df.withColumn(
         "calc_status",
         F.when(F.col("factor_id").isNull(), PENDING_FACTOR)
-        .when(F.col("result_tco2e").isNull(), CALCULATION_ERROR)
-        .otherwise(COMPUTED),
+        .when(F.col("multiplier").isNotNull() & F.coalesce(fits, F.lit(False)), COMPUTED)
+        .otherwise(CALCULATION_ERROR),
+    ).withColumn(
+        "result_tco2e",
+        F.when(F.col("calc_status") == COMPUTED, tonnes(F.col("quantity"), F.col("multiplier"))),
     ).withColumn(
         "calculation_id",
         F.when(

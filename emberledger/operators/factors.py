@@ -17,7 +17,7 @@ from emberledger.functions.units import (
     normalize_unit,
     numerator_to_tonnes,
 )
-from emberledger.operators.bounds import DIMENSION_ROWS, small_or_shuffled
+from emberledger.operators.bounds import DIMENSION_ROWS, fixed_table, small_or_shuffled
 
 LOAD_KEY = ["source", "source_version", "activity_type", "geography"]
 MULTIPLIER = "decimal(38,27)"
@@ -117,10 +117,10 @@ def type_coverage(factors: DataFrame) -> DataFrame:
 
 def unit_conversions(spark) -> DataFrame:
     """The fixed table of convertible unit pairs (about a hundred rows)."""
-    return spark.createDataFrame(
-        [(a, b, str(r)) for a, b, r in convertible_pairs()],
-        "from_unit string, to_unit string, ratio_text string",
-    ).select("from_unit", "to_unit", F.col("ratio_text").cast(RATIO).alias("unit_ratio"))
+    pairs = [(a, b, format(r, "f")) for a, b, r in convertible_pairs()]
+    return fixed_table(spark, pairs, ["from_unit", "to_unit", "ratio_text"]).select(
+        "from_unit", "to_unit", F.col("ratio_text").cast(RATIO).alias("unit_ratio")
+    )
 
 
 def factor_multipliers(factors: DataFrame) -> DataFrame:

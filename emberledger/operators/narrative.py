@@ -8,28 +8,26 @@ from pyspark.sql import functions as F
 from emberledger import messages
 from emberledger.constants import NARRATIVE_CLAIM_PATTERN, NARRATIVE_MAX_SUPPORTED_PCT
 from emberledger.functions.text import fill, fixed_text, signed_fixed_text
-from emberledger.operators.anomalies import TONNES, yearly_scopes
+from emberledger.operators.anomalies import TONNES, year_over_year, yearly_scopes
 
 
 def ledger_context(ledger: DataFrame) -> DataFrame:
     """Total and per-scope emissions per entity and year, beside those of the year before."""
 
-    def of_scope(s: int) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("scope") == s, F.col("tco2e"))), F.lit(0)).cast(TONNES)
+    compared = year_over_year(yearly_scopes(ledger)).where("current_rows > 0")
 
-    totals = yearly_scopes(ledger).groupBy("entity_id", "reporting_year").agg(
-        F.sum("tco2e").cast(TONNES).alias("total_tco2e"),
-        *[of_scope(s).alias(f"scope{s}_tco2e") for s in (1, 2, 3)],
-    )
-    zero = F.lit(0).cast(TONNES)
-    measures = ("total_tco2e", "scope1_tco2e", "scope2_tco2e", "scope3_tco2e")
-    base = totals.select(
-        "entity_id", (F.col("reporting_year") + 1).alias("reporting_year"),
-        *[F.col(m).alias(f"base_{m}") for m in measures],
-    )
-    df = totals.join(base, ["entity_id", "reporting_year"], "left").select(
-        "entity_id", "reporting_year", *measures,
-        *[F.coalesce(f"base_{m}", zero).alias(f"base_{m}") for m in measures],
+    def total(part: str) -> Column:
+        return F.sum(f"{part}_tco2e").cast(TONNES)
+
+    def of_scope(part: str, s: int) -> Column:
+        value = F.when(F.col("scope") == s, F.col(f"{part}_scoped_tco2e"))
+        return F.coalesce(F.sum(value), F.lit(0)).cast(TONNES)
+
+    df = compared.groupBy("entity_id", "reporting_year").agg(
+        total("current").alias("total_tco2e"),
+        *[of_scope("current", s).alias(f"scope{s}_tco2e") for s in (1, 2, 3)],
+        total("prior").alias("base_total_tco2e"),
+        *[of_scope("prior", s).alias(f"base_scope{s}_tco2e") for s in (1, 2, 3)],
     )
     return df.withColumn(
         "ledger_pct_change",

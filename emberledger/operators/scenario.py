@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberledger.constants import CAPEX_AMORTISATION, LEVERS
+from emberledger.operators.bounds import fixed_table
 from emberledger.operators.inventory import TOTAL
 
 SCENARIO = ["scenario_id", "entity_id", "reporting_period"]
@@ -15,12 +16,11 @@ _USD = "decimal(20,4)"
 
 def lever_catalogue(spark) -> DataFrame:
     """The five standard levers with their default economics."""
-    return spark.createDataFrame(
-        list(LEVERS),
-        "lever_id string, title string, target_scope int, keyword string, capex string, "
-        "opex string, abatement string",
+    return fixed_table(
+        spark, LEVERS,
+        ["lever_id", "title", "target_scope", "keyword", "capex", "opex", "abatement"],
     ).select(
-        "lever_id", "title", "target_scope", "keyword",
+        "lever_id", "title", F.col("target_scope").cast("int").alias("target_scope"), "keyword",
         F.col("capex").cast(_USD).alias("default_capex_usd"),
         F.col("opex").cast(_USD).alias("default_annual_opex_delta_usd"),
         F.col("abatement").cast("decimal(4,2)").alias("abatement_factor"),

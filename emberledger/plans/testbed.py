@@ -16,6 +16,7 @@ from emberledger import schemas
 from emberledger.constants import KNOWN_UTILITIES
 from emberledger.functions.tokens import tokenize_supplier
 from emberledger.operators.classification import classify
+from emberledger.operators.bounds import fixed_table
 from emberledger.operators.emissions import compute
 from emberledger.operators.factors import FactorIndex
 from emberledger.operators.ledger import ledger_of
@@ -78,12 +79,8 @@ class Testbed:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def factors(self) -> DataFrame:
-        text = (
-            "factor_id string, source string, source_version string, activity_type string, "
-            "geography string, unit string, factor_value string, factor_unit string, "
-            "published_date string, effective_from string, effective_to string"
-        )
-        return self.spark.createDataFrame(FACTORS, text).select(
+        columns = [c.split()[0] for c in schemas.EMISSION_FACTOR.split(", ")]
+        return fixed_table(self.spark, FACTORS, columns).select(
             "factor_id", "source", "source_version", "activity_type", "geography", "unit",
             F.col("factor_value").cast(schemas.FACTOR_VALUE).alias("factor_value"),
             "factor_unit",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberledger import schemas
 from emberledger.constants import PUBLISHED_FACTORS
+from emberledger.operators.bounds import fixed_table
 
 
 def factor_id() -> Column:
@@ -35,4 +36,5 @@ def read_factor_files(spark: SparkSession, paths) -> DataFrame:
 
 
 def published_factors(spark: SparkSession) -> DataFrame:
-    return typed_factors(spark.createDataFrame(list(PUBLISHED_FACTORS), schemas.FACTOR_FILE))
+    columns = [c.split()[0] for c in schemas.FACTOR_FILE.split(", ")]
+    return typed_factors(fixed_table(spark, PUBLISHED_FACTORS, columns))
