@@ -250,7 +250,8 @@ def intensity_flags(
     words = {
         "activity_type": F.col("activity_type"), "unit": F.col("unit"), "z": z,
         "intensity": fixed_text(F.col("intensity"), 6),
-        "mean": fixed_text(F.col("cohort_mean"), 6),
+        # Rounded first, so that the text does not hang on the last bit of a float sum.
+        "mean": fixed_text(F.round("cohort_mean", 12), 6),
     }
     return _flag_rows(
         scored,

@@ -12,7 +12,6 @@ from emberledger.constants import (
     SCOPE_RULES,
     TAXONOMY,
 )
-from emberledger.functions.patterns import quote
 from emberledger.functions.text import fill
 from emberledger.operators.audit import audit_rows
 from emberledger.operators.bounds import fixed_table
@@ -66,11 +65,11 @@ def rule_text() -> Column:
 def rule_number(text: str) -> Column:
     """Index of the first rule of which some keyword occurs in the text column.
 
-    One alternation per rule keeps the generated code small enough for the JIT compiler,
-    which a chain of single keyword tests would not.
+    The keywords of a rule are one constant array that ``exists`` walks through. Spelled out
+    as single tests they would make a generated method too long for the JIT compiler.
     """
     tests = " ".join(
-        f"WHEN {text} RLIKE r'{'|'.join(quote(k) for k in keywords)}' THEN {n}"
+        f"WHEN exists(array({', '.join(map(repr, keywords))}), k -> contains({text}, k)) THEN {n}"
         for n, (keywords, *_rest) in enumerate(SCOPE_RULES)
     )
     return F.expr(f"CASE {tests} ELSE {len(SCOPE_RULES)} END")

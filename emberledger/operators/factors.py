@@ -178,18 +178,15 @@ def match_factors(activities: DataFrame, index: FactorIndex) -> DataFrame:
     Adds ``factor_id, factor_source, factor_version, factor_value, factor_unit`` (null when
     nothing fits) and ``fallback_level``. One row in, one row out.
     """
-    geo = _geo_key(F.col("geography"))
-    country = strip(F.get(F.split(geo, "-"), F.lit(0)))
-    candidates = {
-        "exact": geo,
-        "national_fallback": F.when(
-            F.contains(geo, F.lit("-")) & (country != "") & (country != geo), country
-        ),
-        "global_fallback": F.when(geo != "GLO", F.lit("GLO")),
-    }
-    df = activities.withColumn("_type", _type_key(F.col("activity_type")))
-    for n, level in enumerate(_LEVELS):
-        df = df.withColumn(f"_geo{n}", candidates[level])
+    geo = F.col("_geo0")
+    df = activities.select(
+        "*", _type_key(F.col("activity_type")).alias("_type"),
+        _geo_key(F.col("geography")).alias("_geo0"),
+    ).select(
+        "*",
+        F.when(F.contains(geo, F.lit("-")), strip(F.substring_index(geo, "-", 1))).alias("_geo1"),
+        F.when(geo != "GLO", F.lit("GLO")).alias("_geo2"),
+    )
     for n in range(len(_LEVELS)):
         span = index.timeline.select(
             F.col("f_type").alias(f"_t{n}"), F.col("f_geo").alias(f"_g{n}"),

@@ -228,7 +228,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN z >= 5 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
           {_say(m.OUTLIER_TITLE, activity_type='activity_type', z=_fixed('z', 2))} AS title,
           {_say(m.OUTLIER_TEXT, intensity=_fixed('x', 6), unit='unit', z=_fixed('z', 2),
-                mean=_fixed('mu', 6))} AS description,
+                mean=_fixed('round(mu, 12)', 6))} AS description,
           'OPEN' AS status, calculation_id AS subject_id, round(z, 6) AS metric
         FROM zsc"""),
     "flags": (("yoy", "omi", "out"), """
@@ -466,9 +466,11 @@ _PROVIDER = f"""
           WHERE regexp_matches(COALESCE(named, '') || chr(10) || text,
             '(?i)\\b' || replace(u, '&', '\\&') || '\\b')
           ORDER BY length(u) DESC, CAST(o AS INT) LIMIT 1),
-        'Regional Fuel Depot ' || doc_id) AS provider
+        'Regional Fuel Depot ' || doc_id || chr(10) || 'Account Number') AS provider
     FROM ({_BILL}) b"""
-_PROVIDER_TOKEN = "'TOKEN_SUPP_' || upper(substr(sha256(lower(provider)), 1, 10))"
+_PROVIDER_TOKEN = (
+    "'TOKEN_SUPP_' || upper(substr(sha256(lower(replace(provider, chr(10), ' '))), 1, 10))"
+)
 _GEO = "CASE doc_id % 3 WHEN 0 THEN 'CA' WHEN 1 THEN 'US-TX' ELSE 'US' END"
 _oracle("q_geo_detect", f"SELECT doc_id, {_GEO} AS geography FROM documents")
 _UNIT_ACTIVITY = {u: a for _s, u, a in BILL_UNITS}
@@ -812,7 +814,7 @@ _oracle("q_yoy", "SELECT * FROM yoy", "yoy")
 _oracle("q_scope_omission", "SELECT * FROM omi", "omi")
 _oracle("q_intensity_outliers", """
     SELECT calculation_id, activity_id, entity_id, yr AS reporting_year, activity_type, unit,
-      n AS cohort_size, round(x, 9) AS intensity, round(mu, 9) AS cohort_mean,
+      n AS cohort_size, round(x, 9) AS intensity, round(round(mu, 12), 9) AS cohort_mean,
       round(z, 6) AS z_score FROM zsc""", "zsc")
 _oracle("q_anomaly_scan", "SELECT * REPLACE (round(metric, 6) AS metric) FROM flags", "flags")
 _oracle("q_anomaly_list", """

@@ -709,7 +709,7 @@ def q_intensity_outliers(t: Testbed) -> DataFrame:
     return scored.select(
         "calculation_id", "activity_id", "entity_id", "reporting_year", "activity_type", "unit",
         "cohort_size", F.round("intensity", 9).alias("intensity"),
-        F.round("cohort_mean", 9).alias("cohort_mean"), F.round("z_score", 6).alias("z_score"),
+        F.round(F.round("cohort_mean", 12), 9).alias("cohort_mean"), F.round("z_score", 6).alias("z_score"),
     )
 
 

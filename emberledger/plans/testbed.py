@@ -49,6 +49,8 @@ ACTIVITY_OF_PART = {
 }
 PLACES = ("US-CA", "US-TX", "GB", "US", "FR")
 
+SPREAD_FROM, SPREAD_UP_TO = 512 * 1024, 32 * 1024 * 1024
+
 _INDEXES: dict[int, FactorIndex] = {}
 
 
@@ -76,7 +78,14 @@ class Testbed:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A test table. One that is small, yet worth more than one task, is spread over the
+        cores: the files have a single row group, which only one task can read."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        cores = self.spark.sparkContext.defaultParallelism
+        if SPREAD_FROM < size < cores * SPREAD_UP_TO:
+            return df.repartition(cores)
+        return df
 
     def factors(self) -> DataFrame:
         columns = [c.split()[0] for c in schemas.EMISSION_FACTOR.split(", ")]
