@@ -6,14 +6,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberledger.functions.text import strip
+from emberledger.functions.text import bind, blank_to_null, strip
 
 _SEP = r"[-/.]"
+_SERIAL = r"^\d{5,6}$"
 _YEAR_FIRST = rf"^(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})$"
 _YEAR_LAST = rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{2}})$"
 _MONTH_FIRST = r"(?i)^([a-z]{3})[a-z]*\.?[\s\-]+(\d{1,2}),?[\s\-]+(\d{4})$"
 _DAY_FIRST = r"(?i)^(\d{1,2})[\s\-]+([a-z]{3})[a-z]*\.?,?[\s\-]+(\d{4})$"
-_MONTH_NAME = r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 _TIME_TAIL = r"(?i)[T\s]+\d{1,2}:\d{2}.*$"
 _WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
@@ -51,47 +51,57 @@ def _read_leniently(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-def parse_date(raw: Column, pivot_year: int = 2025, long_tail: bool = False) -> Column:
-    """Date text to ``date``; null when no spelling fits.
+def _cleaned(s: Column) -> Column:
+    """Without time of day, weekday and ordinal endings."""
+    d = F.regexp_replace(F.regexp_replace(s, _TIME_TAIL, ""), _WEEKDAY, "")
+    return F.regexp_replace(d, r"(?i)\b(\d{1,2})(st|nd|rd|th)\b", "$1")
 
-    Spreadsheet serials (10000..100000), ISO, US month-first with day-first as fallback and
-    month names are read with built-in expressions. ``long_tail=True`` sends only what is
-    still unread through an Arrow batch parser.
-    """
-    s = strip(raw)
-    serial = F.when(F.rlike(s, F.lit(r"^\d{5,6}$")), s.try_cast("int"))
+
+def _read(s: Column, pivot_year: int) -> Column:
+    serial = s.try_cast("int")
     from_serial = F.when(
         serial.between(10000, 100000), F.date_add(F.lit("1899-12-30").cast("date"), serial)
     )
-    d = F.regexp_replace(F.regexp_replace(s, _TIME_TAIL, ""), _WEEKDAY, "")
-    d = F.regexp_replace(d, r"(?i)\b(\d{1,2})(st|nd|rd|th)\b", "$1")
+    return F.when(F.rlike(s, F.lit(_SERIAL)), from_serial).otherwise(
+        bind(_cleaned(s), lambda d: _read_spelled(d, pivot_year))
+    )
+
 
+def _read_spelled(d: Column, pivot_year: int) -> Column:
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(d, pattern, group)
 
+    def is_(pattern: str) -> Column:
+        return F.rlike(d, F.lit(pattern))
+
     a, b, c = (part(_YEAR_FIRST, g) for g in (1, 2, 3))
-    year_first = F.coalesce(_date(a, b, c), _date(a, c, b))
-    p, q, y = (part(_YEAR_LAST, g) for g in (1, 2, 3))
-    year = _four_digit(y, pivot_year)
-    year_last = F.coalesce(_date(year, p, q), _date(year, q, p))
-    title = F.initcap(part(_MONTH_FIRST, 1))
-    month_first = F.try_to_date(
-        F.concat_ws(" ", title, part(_MONTH_FIRST, 2), part(_MONTH_FIRST, 3)), "MMM d y"
-    )
-    title2 = F.initcap(part(_DAY_FIRST, 2))
-    day_first = F.try_to_date(
-        F.concat_ws(" ", title2, part(_DAY_FIRST, 1), part(_DAY_FIRST, 3)), "MMM d y"
-    )
-    compact = _date(part(_COMPACT, 1), part(_COMPACT, 2), part(_COMPACT, 3))
-    builtin = (
-        F.when(F.rlike(s, F.lit(r"^\d{5,6}$")), from_serial)
-        .when(F.rlike(d, F.lit(_YEAR_FIRST)), year_first)
-        .when(F.rlike(d, F.lit(_YEAR_LAST)), year_last)
-        .when(F.rlike(d, F.lit(_MONTH_FIRST)), month_first)
-        .when(F.rlike(d, F.lit(_DAY_FIRST)), day_first)
-        .when(F.rlike(d, F.lit(_COMPACT)), compact)
+    p, q = part(_YEAR_LAST, 1), part(_YEAR_LAST, 2)
+    year = _four_digit(part(_YEAR_LAST, 3), pivot_year)
+
+    def named(pattern: str, month: int, day: int) -> Column:
+        text = F.concat_ws(" ", F.initcap(part(pattern, month)), part(pattern, day),
+                           part(pattern, 3))
+        return F.try_to_date(text, "MMM d y")
+
+    return (
+        F.when(is_(_YEAR_FIRST), F.coalesce(_date(a, b, c), _date(a, c, b)))
+        .when(is_(_YEAR_LAST), F.coalesce(_date(year, p, q), _date(year, q, p)))
+        .when(is_(_MONTH_FIRST), named(_MONTH_FIRST, 1, 2))
+        .when(is_(_DAY_FIRST), named(_DAY_FIRST, 2, 1))
+        .when(is_(_COMPACT), _date(part(_COMPACT, 1), part(_COMPACT, 2), part(_COMPACT, 3)))
     )
+
+
+def parse_date(raw: Column, pivot_year: int = 2025, long_tail: bool = False) -> Column:
+    """Date text to ``date``; null when no spelling fits.
+
+    Spreadsheet serials (10000..100000), ISO, US month-first with day-first as fallback and
+    month names are read with built-in expressions. ``long_tail=True`` sends only what is
+    still unread through an Arrow batch parser.
+    """
+    builtin = bind(strip(raw), lambda s: _read(s, pivot_year))
     if not long_tail:
         return builtin
-    unread = F.when(builtin.isNull() & (s != "") & ~F.rlike(s, F.lit(r"^\d{5}$")), s)
+    text = blank_to_null(raw)
+    unread = F.when(builtin.isNull() & ~F.rlike(text, F.lit(_SERIAL)), text)
     return F.coalesce(builtin, F.pandas_udf(_read_leniently, "date")(unread))

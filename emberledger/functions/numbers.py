@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberledger.functions.text import strip
+from emberledger.functions.text import bind, strip
 
 _CURRENCY_SIGNS = r"[$€£¥₹]"
 _CURRENCY_CODES = r"(?i)\b(USD|EUR|GBP|CAD|AUD|JPY|INR)\b"
@@ -18,7 +18,10 @@ def parse_quantity(raw: Column) -> Column:
     Parentheses or a leading minus negate, currency signs and codes are dropped, and every
     comma is a thousands separator.
     """
-    s = strip(raw)
+    return bind(strip(raw), _read)
+
+
+def _read(s: Column) -> Column:
     in_parens = F.startswith(s, F.lit("(")) & F.endswith(s, F.lit(")"))
     minus = F.startswith(s, F.lit("-"))
     plus = F.startswith(s, F.lit("+"))
@@ -30,5 +33,8 @@ def parse_quantity(raw: Column) -> Column:
     body = F.regexp_replace(body, _CURRENCY_SIGNS, "")
     body = F.regexp_replace(body, _CURRENCY_CODES, "")
     body = strip(F.replace(body, F.lit(","), F.lit("")))
-    signed = F.when(in_parens | minus, F.concat(F.lit("-"), body)).otherwise(body)
-    return F.when(F.rlike(signed, F.lit(_NUMERIC)), signed.try_cast("decimal(20,6)"))
+    signed = F.concat(F.when(in_parens | minus, F.lit("-")).otherwise(F.lit("")), body)
+    return bind(
+        signed,
+        lambda n: F.when(F.rlike(n, F.lit(_NUMERIC)), n.try_cast("decimal(20,6)")),
+    )

@@ -15,6 +15,15 @@ WHITESPACE = (
 )
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body uses it.
+
+    A lambda variable holds the value. Without it, Catalyst would copy the whole expression
+    to every place it is used in, which also makes generated methods too long for the JIT.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any kind (not only blanks)."""
     return F.btrim(c, F.lit(WHITESPACE))

@@ -28,7 +28,7 @@ from emberledger.constants import (
 )
 from emberledger.functions.dates import parse_date
 from emberledger.functions.patterns import any_of
-from emberledger.functions.text import strip
+from emberledger.functions.text import bind, strip
 from emberledger.functions.tokens import tokenize_account, tokenize_supplier
 
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -82,19 +82,21 @@ def detect_geography(text: Column, default: str = DEFAULT_GEOGRAPHY) -> Column:
 
 
 def _range(text: Column, pattern: str, pivot_year: int) -> Column:
-    start = parse_date(F.regexp_extract(text, pattern, 1), pivot_year)
-    end = parse_date(F.regexp_extract(text, pattern, 2), pivot_year)
-    return F.when(
-        start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end"))
+    found = F.struct(
+        parse_date(F.regexp_extract(text, pattern, 1), pivot_year).alias("start"),
+        parse_date(F.regexp_extract(text, pattern, 2), pivot_year).alias("end"),
     )
+    return bind(found, lambda r: F.when(r["start"].isNotNull() & r["end"].isNotNull(), r))
 
 
 def detect_period(text: Column, as_of: Column, pivot_year: int = 2025) -> Column:
     """Labelled period, else a single labelled date, else any range, else ``as_of``."""
-    single = parse_date(F.regexp_extract(text, SINGLE_DATE_PATTERN, 1), pivot_year)
+    def day(d: Column) -> Column:
+        return F.when(d.isNotNull(), F.struct(d.alias("start"), d.alias("end")))
+
     return F.coalesce(
         _range(text, LABELLED_PERIOD_PATTERN, pivot_year),
-        F.when(single.isNotNull(), F.struct(single.alias("start"), single.alias("end"))),
+        bind(parse_date(F.regexp_extract(text, SINGLE_DATE_PATTERN, 1), pivot_year), day),
         _range(text, BARE_PERIOD_PATTERN, pivot_year),
         F.struct(as_of.alias("start"), as_of.alias("end")),
     )

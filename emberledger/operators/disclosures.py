@@ -81,8 +81,11 @@ def citations(ledger: DataFrame, cited: int = 3) -> DataFrame:
         F.transform("_ids", lambda i: F.concat(F.substring(i, 1, 8), F.lit("..."))), ", "
     )
     more = F.col("line_item_count") - cited
-    return counts.join(firsts, keys).select(
-        *keys, "line_item_count",
+    # Null-safe, as a plain join would have Catalyst test the keys for null, and for that
+    # compute them a second time wherever they are expressions.
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    return counts.alias("c").join(firsts.alias("f"), same).select(
+        *[F.col(f"c.{k}") for k in keys], "line_item_count",
         F.concat(
             shortened,
             F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberledger.constants import ACCOUNT_LABEL_PATTERN, ACCOUNT_STANDALONE_PATTERN
-from emberledger.functions.text import regex_quote, regex_substitute, squeeze, strip
+from emberledger.functions.text import bind, regex_quote, regex_substitute, squeeze, strip
 from emberledger.functions.tokens import SUPPLIER_PREFIX, tokenize_account, tokenize_supplier
 
 INLINE_SUPPLIERS = 64
@@ -118,9 +118,13 @@ def labelled_matches(text: Column) -> tuple[Column, Column]:
 
 
 def _redact_label(match: Column) -> Column:
-    identifier = F.regexp_extract(match, ACCOUNT_LABEL_PATTERN, 2)
-    label = F.substr(match, F.lit(1), F.length(match) - F.length(identifier))
-    return F.concat(label, tokenize_account(identifier))
+    return bind(
+        F.regexp_extract(match, ACCOUNT_LABEL_PATTERN, 2),
+        lambda identifier: F.concat(
+            F.substr(match, F.lit(1), F.length(match) - F.length(identifier)),
+            tokenize_account(identifier),
+        ),
+    )
 
 
 def redact(
