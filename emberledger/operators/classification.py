@@ -49,30 +49,25 @@ def is_valid_pair(scope: Column, category: Column) -> Column:
     return F.coalesce(verdict, F.lit(False))
 
 
-def rule_text() -> Column:
-    """The text of an activity that the rules look at."""
-    return F.lower(
-        F.replace(
-            F.concat_ws(
-                " ", F.coalesce("activity_type", F.lit("")), F.coalesce("unit", F.lit("")),
-                F.coalesce("raw_line_ref", F.lit("")),
-            ),
-            F.lit("_"), F.lit(" "),
-        )
-    )
-
+def rule_number() -> Column:
+    """Index of the first rule of which some keyword occurs in the text of an activity.
 
-def rule_number(text: str) -> Column:
-    """Index of the first rule of which some keyword occurs in the text column.
-
-    The keywords of a rule are one constant array that ``exists`` walks through. Spelled out
-    as single tests they would make a generated method too long for the JIT compiler.
+    The keywords of a rule are one constant array that ``exists`` walks through; spelled out
+    as single tests they would make a generated method too long for the JIT compiler. The
+    text is bound to a lambda variable, so that it is built once per row even where Catalyst
+    copies the rule into a filter.
     """
+    text = (
+        "lower(replace(concat_ws(' ', coalesce(activity_type, ''), coalesce(unit, ''), "
+        "coalesce(raw_line_ref, '')), '_', ' '))"
+    )
     tests = " ".join(
-        f"WHEN exists(array({', '.join(map(repr, keywords))}), k -> contains({text}, k)) THEN {n}"
+        f"WHEN exists(array({', '.join(map(repr, keywords))}), k -> contains(t, k)) THEN {n}"
         for n, (keywords, *_rest) in enumerate(SCOPE_RULES)
     )
-    return F.expr(f"CASE {tests} ELSE {len(SCOPE_RULES)} END")
+    return F.expr(
+        f"transform(array({text}), t -> CASE {tests} ELSE {len(SCOPE_RULES)} END)[0]"
+    )
 
 
 def _outcome(rule: Column, position: int, dtype: str) -> Column:
@@ -88,8 +83,7 @@ def classify(activities: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) ->
     ]
     rule = F.col("_rule")
     return (
-        activities.select(*kept, rule_text().alias("_text"))
-        .select(*kept, rule_number("_text").alias("_rule"))
+        activities.select(*kept, rule_number().alias("_rule"))
         .select(
             *kept,
             _outcome(rule, 0, "int").alias("scope"),
