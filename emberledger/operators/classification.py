@@ -70,9 +70,8 @@ def rule_number() -> Column:
     )
 
 
-def _outcome(rule: Column, position: int, dtype: str) -> Column:
-    values = F.lit([str(o[position]) for o in _OUTCOMES])
-    return F.get(values, rule).cast(dtype)
+def _outcome(rule: Column, position: int, of: type) -> Column:
+    return F.get(F.lit([of(o[position]) for o in _OUTCOMES]), rule)
 
 
 def classify(activities: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
@@ -86,10 +85,10 @@ def classify(activities: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) ->
         activities.select(*kept, rule_number().alias("_rule"))
         .select(
             *kept,
-            _outcome(rule, 0, "int").alias("scope"),
-            _outcome(rule, 1, "string").alias("ghg_category"),
-            _outcome(rule, 2, "double").alias("classification_confidence"),
-            _outcome(rule, 3, "string").alias("reasoning"),
+            _outcome(rule, 0, int).alias("scope"),
+            _outcome(rule, 1, str).alias("ghg_category"),
+            _outcome(rule, 2, float).alias("classification_confidence"),
+            _outcome(rule, 3, str).alias("reasoning"),
         )
         .withColumn("status", gate(F.col("classification_confidence"), threshold))
     )

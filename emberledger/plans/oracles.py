@@ -51,7 +51,10 @@ def _values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(_q(v) for v in r) + ")" for r in rows) + ")"
 
 
-_LINE_ID = "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)"
+_LINE_ID = (
+    "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', "
+    "strftime(l_shipdate, '%Y%m%d'))"
+)
 
 
 def _unit_case() -> str:

@@ -27,7 +27,7 @@ from emberledger.operators import (
     scenario,
     suppliers,
 )
-from emberledger.plans.testbed import Testbed, flat
+from emberledger.plans.testbed import Testbed, flat, line_id
 from emberledger.sources import documents
 
 _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {}
@@ -132,7 +132,7 @@ def _typed_quantity(t: Testbed) -> DataFrame:
 
 
 def _line_id():
-    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id")
+    return line_id().alias("line_id")
 
 
 def _raw_dates():
