@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberledger import messages
 from emberledger.functions.text import fill, plain_decimal_text
 from emberledger.functions.units import factor_denominator, normalize_unit
-from emberledger.operators.factors import FactorIndex, match_factors
+from emberledger.operators.factors import FactorIndex, match_factors, with_reasons
 
 COMPUTED = "computed"
 PENDING_FACTOR = "pending_factor"
@@ -105,12 +105,50 @@ def calculations(computed: DataFrame, computed_by: str, computed_at: Column) ->
     )
 
 
+def _unit_error() -> Column:
+    return fill(messages.INCOMPATIBLE_UNITS, unit=F.col("unit"),
+                denominator=factor_denominator(F.col("factor_unit")))
+
+
 def unit_errors(computed: DataFrame) -> DataFrame:
     """Matched activities whose unit does not convert to the unit of the factor."""
     return computed.where(F.col("calc_status") == CALCULATION_ERROR).withColumn(
         "error",
-        fill(messages.INCOMPATIBLE_UNITS, unit=F.col("unit"),
-             denominator=factor_denominator(F.col("factor_unit"))),
+        _unit_error(),
+    )
+
+
+def calculation_audit(
+    computed: DataFrame, index: FactorIndex, actor: str, event_ts: Column
+) -> DataFrame:
+    """One audit row per activity: what was calculated, or why it was not."""
+    status = F.col("calc_status")
+    action = (
+        F.when(status == COMPUTED, F.lit("CALCULATE"))
+        .when(status == PENDING_FACTOR, F.lit("CALCULATE_FAILED_MISSING_FACTOR"))
+        .otherwise(F.lit("CALCULATE_FAILED_INCOMPATIBLE_UNITS"))
+    )
+    done = F.struct(
+        "calculation_id", F.col("factor_id").alias("emission_factor_id"), "factor_source",
+        "factor_version", "fallback_level", formula_text().alias("formula_applied"),
+        F.col("result_tco2e").cast("string").alias("result_tco2e"),
+    )
+    missing = F.struct(
+        "reason", "activity_type", "geography",
+        F.col("period_start").cast("string").alias("period_start"),
+    )
+    unfit = F.struct(
+        _unit_error().alias("error"), F.col("unit").alias("activity_unit"), "factor_unit"
+    )
+    detail = (
+        F.when(status == COMPUTED, F.to_json(done))
+        .when(status == PENDING_FACTOR, F.to_json(missing))
+        .otherwise(F.to_json(unfit))
+    )
+    return with_reasons(computed, index).select(
+        F.lit("activity_data").alias("entity_type"), F.col("activity_id").alias("entity_id"),
+        action.alias("action"), F.lit(actor).alias("actor"), event_ts.alias("event_ts"),
+        detail.alias("detail"),
     )
 
 

@@ -212,24 +212,28 @@ def match_factors(activities: DataFrame, index: FactorIndex) -> DataFrame:
     ).select(*activities.columns, "_factor.*", "fallback_level")
 
 
-def explain_unmatched(matched: DataFrame, index: FactorIndex) -> DataFrame:
-    """Activities without a factor, with the reason: no active factor, or none for the place."""
-    unmatched = matched.where("factor_id is null")
-    covered = unmatched.join(
+def with_reasons(matched: DataFrame, index: FactorIndex) -> DataFrame:
+    """Add why an activity has no factor (null if it has one): none of its type was in force,
+    or none for its place. ``has_active_factor`` tells the two apart."""
+    reason = F.when(
+        F.col("t_type").isNull(),
+        fill(messages.NO_ACTIVE_FACTOR, activity_type=F.col("activity_type"),
+             date=F.col("period_start")),
+    ).otherwise(
+        fill(messages.NO_FACTOR_FOR_PLACE, geography=F.col("geography"),
+             activity_type=F.col("activity_type"))
+    )
+    return matched.join(
         index.coverage,
         (_type_key(F.col("activity_type")) == F.col("t_type"))
         & F.col("period_start").between(F.col("t_from"), F.col("t_to")),
         "left",
+    ).select(
+        *matched.columns, F.col("t_type").isNotNull().alias("has_active_factor"),
+        F.when(F.col("factor_id").isNull(), reason).alias("reason"),
     )
-    return covered.select(
-        *matched.columns,
-        F.col("t_type").isNotNull().alias("has_active_factor"),
-        F.when(
-            F.col("t_type").isNull(),
-            fill(messages.NO_ACTIVE_FACTOR, activity_type=F.col("activity_type"),
-                 date=F.col("period_start")),
-        ).otherwise(
-            fill(messages.NO_FACTOR_FOR_PLACE, geography=F.col("geography"),
-                 activity_type=F.col("activity_type"))
-        ).alias("reason"),
-    )
+
+
+def explain_unmatched(matched: DataFrame, index: FactorIndex) -> DataFrame:
+    """Activities without a factor, with the reason."""
+    return with_reasons(matched.where("factor_id is null"), index)

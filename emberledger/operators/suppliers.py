@@ -113,3 +113,23 @@ def outreach_state(actions: DataFrame) -> DataFrame:
             "outreach_id", "status", "sent_at", "responded_at", "action_count", "_response.*"
         )
     )
+
+
+def outreach_audit(actions: DataFrame) -> DataFrame:
+    """Audit row of every outreach action."""
+    action = (
+        F.when(F.col("action") == "RESPOND", F.lit("RECORD_SUPPLIER_PRIMARY_DATA"))
+        .when(F.col("action") == "SEND", F.lit("DISPATCH_SUPPLIER_OUTREACH"))
+        .otherwise(F.lit("CREATE_SUPPLIER_OUTREACH"))
+    )
+    answer = F.struct(
+        "primary_factor_value", "primary_factor_unit", "verified_quantity", "response_notes"
+    )
+    return actions.select(
+        F.lit("supplier_outreach").alias("entity_type"), F.col("outreach_id").alias("entity_id"),
+        action.alias("action"), F.lit("outreach_agent").alias("actor"),
+        F.col("action_ts").alias("event_ts"),
+        F.when(F.col("action") == "RESPOND", F.to_json(answer))
+        .otherwise(F.to_json(F.struct(F.col("action_ts").cast("string").alias("at"))))
+        .alias("detail"),
+    )

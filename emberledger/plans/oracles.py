@@ -613,6 +613,24 @@ _oracle("q_calc_summary", """
       count(*) FILTER (calc_status = 'pending_factor') AS pending_factor_count,
       count(*) FILTER (calc_status = 'calculation_error') AS error_count
     FROM calc GROUP BY source_document_id""", "calc")
+_oracle("q_calc_audit", f"""
+    SELECT 'activity_data' AS entity_type, activity_id AS entity_id,
+      CASE calc_status WHEN 'computed' THEN 'CALCULATE'
+        WHEN 'pending_factor' THEN 'CALCULATE_FAILED_MISSING_FACTOR'
+        ELSE 'CALCULATE_FAILED_INCOMPATIBLE_UNITS' END AS action, 'api_batch' AS actor,
+      strftime(created_at, '%Y-%m-%d %H:%M:%S') AS event_ts,
+      CASE WHEN calc_status = 'computed' THEN factor_id END AS emission_factor_id,
+      CASE WHEN calc_status = 'computed' THEN fallback_level END AS fallback_level,
+      CASE WHEN calc_status = 'computed' THEN CAST(result_tco2e AS VARCHAR) END AS result_tco2e,
+      CASE WHEN calc_status <> 'pending_factor' THEN NULL
+        WHEN EXISTS (SELECT 1 FROM fac WHERE f_type = activity_type AND f_from <= period_start
+          AND (f_to IS NULL OR f_to >= period_start))
+        THEN {_say(m.NO_FACTOR_FOR_PLACE, geography='geography', activity_type='activity_type')}
+        ELSE {_say(m.NO_ACTIVE_FACTOR, activity_type='activity_type', date='period_start')} END
+        AS reason,
+      CASE WHEN calc_status = 'calculation_error' THEN {_say(m.INCOMPATIBLE_UNITS, unit='unit',
+        denominator="split_part(factor_unit, '/', 2)")} END AS error
+    FROM calc""", "calc", "fac")
 _oracle("q_latest_calculation", """
     SELECT activity_id, md5(calculation_id || '|2') AS calculation_id, 'rerun' AS computed_by,
       strftime(max(created_at) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS computed_at
@@ -871,6 +889,13 @@ _oracle("q_narrative_claims", f"""
     FROM cl LEFT JOIN ctx ON ctx.entity_id = cl.entity_id
       AND ctx.reporting_year = cl.reporting_year""")
 
+# -- streaming -------------------------------------------------------------------------
+
+_oracle("q_stream_scope_totals", """
+    SELECT entity_id, yr AS reporting_year, CAST(scope AS BIGINT) AS scope,
+      CAST(sum(t) AS DOUBLE) AS total_tco2e, CAST(sum(n) AS BIGINT) AS activity_count
+    FROM inv GROUP BY ALL""", "inv")
+
 # -- scenarios and suppliers -----------------------------------------------------------
 
 _SCENARIO = f"""

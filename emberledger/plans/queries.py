@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,9 @@ from emberledger.operators import (
     suppliers,
 )
 from emberledger.plans.testbed import Testbed, flat, line_id
+from emberledger.session import checkpoint_root
 from emberledger.sources import documents
+from emberledger.streaming import ingest
 
 _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {}
 
@@ -471,6 +474,19 @@ def q_calc_summary(t: Testbed) -> DataFrame:
     return emissions.calculation_summary(t.computed(), "source_document_id")
 
 
+@_query
+def q_calc_audit(t: Testbed) -> DataFrame:
+    rows = emissions.calculation_audit(t.computed(), t.index(), "api_batch", F.col("created_at"))
+
+    def field(name: str):
+        return F.get_json_object("detail", f"$.{name}").alias(name)
+
+    return rows.select(
+        "entity_type", "entity_id", "action", "actor", "event_ts", field("emission_factor_id"),
+        field("fallback_level"), field("result_tco2e"), field("reason"), field("error"),
+    )
+
+
 @_query
 def q_latest_calculation(t: Testbed) -> DataFrame:
     """Two runs of the calculations, the later one under the shifted date of the activity."""
@@ -767,6 +783,23 @@ def q_narrative_claims(t: Testbed) -> DataFrame:
     return checked.drop("ledger_pct_change")
 
 
+# -- streaming -------------------------------------------------------------------------
+
+
+@_query
+def q_stream_scope_totals(t: Testbed) -> DataFrame:
+    """Scope totals kept up to date by a stream of line items, as its last batch left them."""
+    out = f"{checkpoint_root(t.spark)}/stream-totals-{uuid.uuid4()}"
+    computed = ingest.calculated(t.activities(t.line_stream()), t.index())
+    totals = ingest.running_scope_totals(computed)
+
+    def keep(rows: DataFrame, _batch: int) -> None:
+        rows.write.mode("overwrite").parquet(out)
+
+    ingest.upsert_available(totals, f"state-{uuid.uuid4()}", keep, "complete").awaitTermination()
+    return t.spark.read.parquet(out)
+
+
 # -- scenarios and suppliers -----------------------------------------------------------
 
 

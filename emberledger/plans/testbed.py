@@ -112,8 +112,14 @@ class Testbed:
             _INDEXES[key] = FactorIndex.build(self.factors())
         return _INDEXES[key]
 
-    def activities(self) -> DataFrame:
-        lines = self.table("lineitem")
+    def line_stream(self) -> DataFrame:
+        """The line items as a stream of arriving files."""
+        schema = self.spark.read.parquet(f"{self.sf_dir}/lineitem.parquet").schema
+        files = self.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet")
+        return files.parquet(self.sf_dir)
+
+    def activities(self, lines: DataFrame | None = None) -> DataFrame:
+        lines = self.table("lineitem") if lines is None else lines
         orders = self.table("orders").select("o_orderkey", "o_custkey")
         customers = self.table("customer").select("c_custkey", "c_mktsegment")
         parts = self.table("part").select("p_partkey", "p_type")

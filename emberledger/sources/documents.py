@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberledger.functions.text import strip
+from emberledger.operators.audit import audit_rows
 
 FILE_TYPES = ("csv", "xlsx", "pdf")
 
@@ -65,3 +66,17 @@ def first_copies(documents: DataFrame, existing: DataFrame | None = None) -> Dat
         .select(*key, "_d.*").select(*documents.columns)
     )
     return first if existing is None else first.join(existing, key, "left_anti")
+
+
+def ingestion_audit(documents: DataFrame, outcomes: DataFrame, event_ts: Column) -> DataFrame:
+    """Audit rows of the documents that were read; ``outcomes`` as of ``document_outcome``."""
+    read = documents.join(
+        outcomes.where("status = 'completed'").select("document_id", "rows_created"),
+        "document_id",
+    )
+    return audit_rows(
+        read, "source_document", F.col("entity_id"), "ingest_and_parse",
+        F.lit("ingestion_pipeline"), event_ts,
+        [F.col("document_id").alias("source_document_id"), "filename", "file_type",
+         "rows_created"],
+    )
