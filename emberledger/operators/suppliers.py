@@ -21,11 +21,14 @@ def supplier_gaps(ledger: DataFrame, outreach: DataFrame | None = None) -> DataF
     gaps = (
         ledger.where("scope = 3")
         .withColumn("reporting_period", F.year("period_start").cast("string"))
+        # By source first: the greatest text of a group would have Spark sort all of the rows.
+        .groupBy(*GAP, "factor_source")
+        .agg(F.sum("result_tco2e").alias("_t"), F.count(F.lit(1)).alias("_n"))
         .groupBy(*GAP)
         .agg(
             F.max("factor_source").alias("current_factor_source"),
-            F.sum("result_tco2e").cast(TOTAL).alias("estimated_tco2e"),
-            F.count(F.lit(1)).alias("line_item_count"),
+            F.sum("_t").cast(TOTAL).alias("estimated_tco2e"),
+            F.sum("_n").alias("line_item_count"),
         )
     )
     if outreach is None:

@@ -1,4 +1,6 @@
 """Ledger storage and streaming: stored and streamed results equal batch results."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from emberledger.operators.emissions import compute
@@ -29,7 +31,7 @@ def test_stream_equals_batch(spark, tmp_path):
     inbox, out = tmp_path / "in", str(tmp_path / "out")
     inbox.mkdir()
     index = FactorIndex.build(published_factors(spark))
-    run = tmp_path.name
+    run = str(uuid.uuid4())
 
     def stream():
         arriving = ingest.arriving_exports(spark, str(inbox), HEADERS)
