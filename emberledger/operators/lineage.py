@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +38,17 @@ def trace(
     )
 
 
-def trace_events(traced: DataFrame, audit_log: DataFrame) -> DataFrame:
+def trace_events(
+    traced: DataFrame, audit_log: DataFrame, carry: Sequence[str] = ()
+) -> DataFrame:
     """Audit events of each traced calculation: its own, its activity's and its document's.
 
     One row per calculation and event, in place of a list per calculation: the three kinds of
-    subject are unpivoted so that a single equi join with the log finds them all.
+    subject are unpivoted so that a single equi join with the log finds them all. Columns to
+    ``carry`` along spare a join of the events back to the trace.
     """
     subjects = traced.select(
-        "calculation_id",
+        "calculation_id", *carry,
         F.explode(
             F.array_compact(
                 F.array(
@@ -59,7 +64,7 @@ def trace_events(traced: DataFrame, audit_log: DataFrame) -> DataFrame:
                 )
             )
         ).alias("s"),
-    ).select("calculation_id", "s.*")
+    ).select("calculation_id", *carry, "s.*")
     log = audit_log.select(
         F.col("entity_id").alias("subject_id"), "action", "actor", "event_ts"
     )

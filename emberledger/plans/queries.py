@@ -660,11 +660,11 @@ def q_trace(t: Testbed) -> DataFrame:
         classification.classification_audit(t.classified(), F.col("created_at"))
         .select("entity_id", "action", "actor", "event_ts")
     )
-    events = lineage.trace_events(traced, log)
-    return traced.select(
-        "calculation_id", "result_tco2e", "activity_type", "quantity", "unit", "factor_source",
-        "factor_value", "filename", "document_status",
-    ).join(events.drop("subject_id"), "calculation_id")
+    facts = [
+        "result_tco2e", "activity_type", "quantity", "unit", "factor_source", "factor_value",
+        "filename", "document_status",
+    ]
+    return lineage.trace_events(traced, log, facts).drop("subject_id")
 
 
 @_query

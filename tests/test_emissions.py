@@ -110,7 +110,7 @@ def test_matching_without_broadcast_gives_the_same(spark, table):
     assert sorted(small.select(cols).collect()) == sorted(large.select(cols).collect())
 
 
-def test_published_factor_pipeline(spark, table):
+def test_published_factors_end_to_end(spark, table):
     from emberledger.operators.classification import classify
 
     acts = table([
