@@ -28,9 +28,13 @@ def supplier_pattern(name: Column) -> Column:
 
 
 def supplier_dictionary(suppliers: DataFrame) -> DataFrame:
-    """Names (column ``name``) with length, token, pattern and first word, tokens left out."""
+    """Names (column ``name``) with length, token, pattern and key word, tokens left out.
+
+    The key word of a name is the one fewest other names share, so that a text meets few
+    names that it does not contain, however many names begin alike.
+    """
     name = strip(F.col("name"))
-    return (
+    names = (
         suppliers.select(name.alias("name"))
         .where((F.col("name") != "") & ~F.startswith("name", F.lit(SUPPLIER_PREFIX)))
         .distinct()
@@ -38,13 +42,19 @@ def supplier_dictionary(suppliers: DataFrame) -> DataFrame:
             "name", F.length("name").alias("name_length"),
             tokenize_supplier(F.col("name")).alias("token"),
             supplier_pattern(F.col("name")).alias("pattern"),
-            _first_word(F.col("name")).alias("first_word"),
         )
     )
+    words = names.select("name", F.explode(_words(F.col("name"))).alias("word"))
+    shared = words.groupBy("word").agg(F.count(F.lit(1)).alias("_names"))
+    key = words.join(shared, "word").groupBy("name").agg(
+        F.min_by("word", F.struct("_names", -F.length("word"), "word")).alias("key_word")
+    )
+    return names.join(key, "name")
 
 
-def _first_word(text: Column) -> Column:
-    return F.regexp_extract(F.lower(text), r"(?U)(\w+)", 1)
+def _words(text: Column) -> Column:
+    """Distinct words of a text; words of a name occur in a text as whole words only."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1)))
 
 
 _ENTRY = "array<struct<name_length:int,name:string,token:string,pattern:string>>"
@@ -56,7 +66,8 @@ def find_suppliers(
     """Add ``_suppliers``: the dictionary entries present in each text, longest name first.
 
     A short list is tested inline. A dictionary table is met by an equi join on words: each
-    distinct word of a text finds the names starting with it, and only those are tested.
+    distinct word of a text finds the names it is the key word of, and only those are tested.
+    (A name without a letter or digit has no key word and is only found in a short list.)
     """
     longest_first = lambda a, b: (
         F.when(a["name_length"] > b["name_length"], -1)
@@ -85,14 +96,8 @@ def find_suppliers(
             )
         suppliers = docs.sparkSession.createDataFrame([(n,) for n in names], "name string")
     entries = supplier_dictionary(suppliers)
-    # Whole words only, so a first word that starts inside a longer word is found as well.
-    words = docs.select(
-        key,
-        F.explode(
-            F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1)))
-        ).alias("first_word"),
-    )
-    candidates = words.join(entries, "first_word").drop("first_word")
+    words = docs.select(key, F.explode(_words(F.col(text))).alias("key_word"))
+    candidates = words.join(entries, "key_word").drop("key_word")
     found = (
         candidates.join(docs.select(key, F.col(text).alias("_t")), key)
         .where(F.rlike("_t", F.col("pattern")))
