@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberledger.llm import decontamination, line_dedup, quality, sentence_pieces
+from emberledger.llm import decontamination, line_dedup, near_duplicates, quality, sentence_pieces
 from emberledger.llm.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).drop("text")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_groups(documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_leaks(
         documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), cut=False)
@@ -53,4 +57,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_line_dedup, op3_sentence_pieces, op4_quality_rules, op10_decontamination)}
+    op2_line_dedup, op3_sentence_pieces, op4_quality_rules, op9_ngram_jaccard_join,
+    op10_decontamination)}
