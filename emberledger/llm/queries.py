@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberledger.llm import decontamination, line_dedup, near_duplicates, quality, sentence_pieces
+from emberledger.llm import (
+    decontamination, line_dedup, near_duplicates, quality, recompression, sentence_pieces,
+    suffix_dedup,
+)
 from emberledger.llm.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +31,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("line_text", 256).alias("kept_sha256"))
@@ -43,6 +50,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).drop("text")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.digest(documents(spark, sf_dir))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_groups(documents(spark, sf_dir))
 
@@ -57,5 +68,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_line_dedup, op3_sentence_pieces, op4_quality_rules, op9_ngram_jaccard_join,
-    op10_decontamination)}
+    op1_suffix_dedup, op2_line_dedup, op3_sentence_pieces, op4_quality_rules,
+    op5_substring_dedup, op9_ngram_jaccard_join, op10_decontamination)}
