@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberledger.llm import (
-    decontamination, line_dedup, near_duplicates, quality, recompression, sentence_pieces,
-    suffix_dedup,
+    decontamination, licenses, line_dedup, near_duplicates, personal_data, quality,
+    recompression, sentence_pieces, suffix_dedup, token_counts,
 )
 from emberledger.llm.shared import ship
 
@@ -54,6 +54,23 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.digest(documents(spark, sf_dir))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), piece_model()).drop("text")
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return personal_data.find(docs, personal_data.train(docs)).drop("text", "redacted")
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    spans = F.expr("transform(licenses, x -> concat_ws(':', x.license, x.begin, x.stop))")
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(spans, ",").alias("licenses"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_groups(documents(spark, sf_dir))
 
@@ -69,4 +86,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_line_dedup, op3_sentence_pieces, op4_quality_rules,
-    op5_substring_dedup, op9_ngram_jaccard_join, op10_decontamination)}
+    op5_substring_dedup, op6_token_counts, op7_personal_data, op8_license_scans,
+    op9_ngram_jaccard_join, op10_decontamination)}
