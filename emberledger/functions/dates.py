@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberledger.functions.text import bind, blank_to_null, strip
+from emberledger.functions.text import bind, strip
 
 _SEP = r"[-/.]"
 _SERIAL = r"^\d{5,6}$"
 _YEAR_FIRST = rf"^(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})$"
 _YEAR_LAST = rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{2}})$"
-_MONTH_FIRST = r"(?i)^([a-z]{3})[a-z]*\.?[\s\-]+(\d{1,2}),?[\s\-]+(\d{4})$"
-_DAY_FIRST = r"(?i)^(\d{1,2})[\s\-]+([a-z]{3})[a-z]*\.?,?[\s\-]+(\d{4})$"
+_GAP = r"[\s\-/.,]+"
+_MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+_MONTH_FIRST = rf"(?i)^{_MONTH}{_GAP}(\d{{1,2}}){_GAP}(\d{{4}}|\d{{2}})$"
+_DAY_FIRST = rf"(?i)^(\d{{1,2}}){_GAP}(?:of\s+)?{_MONTH}{_GAP}(\d{{4}}|\d{{2}})$"
+_NAMED_YEAR_FIRST = rf"(?i)^(\d{{4}}){_GAP}{_MONTH}{_GAP}(\d{{1,2}})$"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_TIME_TAIL = r"(?i)[T\s]+\d{1,2}:\d{2}.*$"
+_TIME_TAIL = (
+    r"(?i)(?:[T\s]+\d{1,2}:\d{2}.*|[T\s]+\d{1,2}\s*[ap]m|(?<=^\d{8})[T\s]*\d{4}(?:\d{2})?(?:Z|"
+    r"[+-]\d{2}:?\d{2})?|(?<=\d)T\d{4}(?:\d{2})?Z?)$"
+)
 _WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
 
 
@@ -35,22 +40,6 @@ def _four_digit(year: Column, pivot_year: int) -> Column:
     return F.when(F.length(year) == 2, shifted.cast("string")).otherwise(year)
 
 
-def _read_leniently(raw: pd.Series) -> pd.Series:
-    from dateutil import parser
-
-    def one(text):
-        if text is None:
-            return None
-        for day_first in (False, True):
-            try:
-                return parser.parse(text, dayfirst=day_first).date()
-            except (ValueError, OverflowError):
-                continue
-        return None
-
-    return raw.map(one)
-
-
 def _cleaned(s: Column) -> Column:
     """Without time of day, weekday and ordinal endings."""
     d = F.regexp_replace(F.regexp_replace(s, _TIME_TAIL, ""), _WEEKDAY, "")
@@ -79,8 +68,9 @@ def _read_spelled(d: Column, pivot_year: int) -> Column:
     year = _four_digit(part(_YEAR_LAST, 3), pivot_year)
 
     def named(pattern: str, month: int, day: int) -> Column:
+        place = ({1, 2, 3} - {month, day}).pop()
         text = F.concat_ws(" ", F.initcap(part(pattern, month)), part(pattern, day),
-                           part(pattern, 3))
+                           _four_digit(part(pattern, place), pivot_year))
         return F.try_to_date(text, "MMM d y")
 
     return (
@@ -88,20 +78,16 @@ def _read_spelled(d: Column, pivot_year: int) -> Column:
         .when(is_(_YEAR_LAST), F.coalesce(_date(year, p, q), _date(year, q, p)))
         .when(is_(_MONTH_FIRST), named(_MONTH_FIRST, 1, 2))
         .when(is_(_DAY_FIRST), named(_DAY_FIRST, 2, 1))
+        .when(is_(_NAMED_YEAR_FIRST), named(_NAMED_YEAR_FIRST, 2, 3))
         .when(is_(_COMPACT), _date(part(_COMPACT, 1), part(_COMPACT, 2), part(_COMPACT, 3)))
     )
 
 
-def parse_date(raw: Column, pivot_year: int = 2025, long_tail: bool = False) -> Column:
-    """Date text to ``date``; null when no spelling fits.
+def parse_date(raw: Column, pivot_year: int = 2025) -> Column:
+    """Date text to ``date``; null when no spelling fits or a part is missing.
 
-    Spreadsheet serials (10000..100000), ISO, US month-first with day-first as fallback and
-    month names are read with built-in expressions. ``long_tail=True`` sends only what is
-    still unread through an Arrow batch parser.
+    Spreadsheet serials (10000..100000), ISO and compact dates, US month-first with day-first as
+    fallback, and month names in any order, with two- or four-digit years; a time of day, a
+    weekday and ordinal endings are left aside.
     """
-    builtin = bind(strip(raw), lambda s: _read(s, pivot_year))
-    if not long_tail:
-        return builtin
-    text = blank_to_null(raw)
-    unread = F.when(builtin.isNull() & ~F.rlike(text, F.lit(_SERIAL)), text)
-    return F.coalesce(builtin, F.pandas_udf(_read_leniently, "date")(unread))
+    return bind(strip(raw), lambda s: _read(s, pivot_year))

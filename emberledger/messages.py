@@ -8,6 +8,8 @@ NO_FACTOR_FOR_PLACE = (
     "No factor found matching geography '{geography}' or any fallback hierarchy for activity "
     "'{activity_type}'"
 )
+RESULT_OVERFLOW = "The result does not fit the ledger: it has more than twelve integer digits."
+NO_QUANTITY = "The activity has no quantity."
 INCOMPATIBLE_UNITS = (
     "Cannot convert quantity from '{unit}' to factor unit '{denominator}'. Units belong to "
     "incompatible physical dimensions."

@@ -1,14 +1,14 @@
-"""Fixed tables, and broadcasting only what has been shown to be small."""
+"""Fixed tables, and tables settled on shared storage."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-DIMENSION_ROWS = 100_000
+from emberledger.session import checkpoint_root
 
 
 def fixed_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
@@ -17,15 +17,9 @@ def fixed_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[st
     return spark.createDataFrame(pa.table(data))
 
 
-def small_or_shuffled(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
-    """A dimension fit for joining to a fact table.
-
-    At most ``max_rows + 1`` rows are fetched to see whether the table fits. If it does it
-    comes back as a local table marked for broadcast (so it is not recomputed by every
-    join). If it does not, the table comes back unchanged and joins to it shuffle, with AQE
-    splitting skewed keys.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back, so that no join derives them anew and
+    the planner knows their size."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

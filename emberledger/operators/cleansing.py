@@ -155,7 +155,6 @@ def build_activities(
     default_geography: str = DEFAULT_GEOGRAPHY,
     row_number: Column | None = None,
     pivot_year: int = 2025,
-    long_tail_dates: bool = False,
 ) -> DataFrame:
     """Type, default and validate raw text rows that carry the target fields.
 
@@ -164,7 +163,7 @@ def build_activities(
     reference (``row:n``).
     """
     def date(c: str) -> Column:
-        return parse_date(F.col(c), pivot_year, long_tail_dates)
+        return parse_date(F.col(c), pivot_year)
 
     text = {t: blank_to_null(F.col(t)) for t in TARGET_FIELDS}
     fallback_ref = (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberledger import messages
-from emberledger.functions.text import fill, plain_decimal_text
+from emberledger.functions.text import bind, fill, plain_decimal_text
 from emberledger.functions.units import factor_denominator, normalize_unit
 from emberledger.operators.factors import FactorIndex, match_factors, with_reasons
 
@@ -15,17 +15,35 @@ PENDING_FACTOR = "pending_factor"
 CALCULATION_ERROR = "calculation_error"
 
 
-def tonnes(quantity: Column, multiplier: Column) -> Column:
-    """Exact product, rounded once (half up) to 8 decimals.
+def exact_product(quantity: Column, multiplier: Column, scale: int, cut: int) -> Column:
+    """Product of a decimal(20,6) and a decimal with ``scale`` decimals, none of them negative,
+    as a decimal that rounds exactly to any place before its last; null where it is too large.
 
-    Operands are narrowed so that the product keeps 22 decimals; quantities of 10^11 and more
-    or multipliers of 10^4 and more take the wider branch with 13.
+    The multiplier is taken apart into its integer, its first ``cut`` and its other decimals, so
+    that no partial product exceeds 38 digits. Of the smallest one the digits after the last
+    place are cut: whatever they are, they do not change a rounding (half up) further up.
     """
-    narrow = quantity.try_cast("decimal(17,6)") * multiplier.try_cast("decimal(31,27)")
-    wide = quantity.cast("decimal(20,6)") * multiplier.try_cast("decimal(28,18)")
-    return F.coalesce(
-        F.round(narrow, 8).try_cast("decimal(20,8)"), F.round(wide, 8).try_cast("decimal(20,8)")
-    )
+    whole = F.floor(multiplier).cast("decimal(11,0)")
+    rest = (multiplier - whole).cast(f"decimal({scale},{scale})")
+    first = F.floor(rest, F.lit(cut)).cast(f"decimal({cut},{cut})")
+    # Counted in units of the last place of the first part, then brought back.
+    other = ((rest - first).cast(f"decimal({scale},{scale})")
+             * F.lit(10 ** cut).cast(f"decimal({cut + 1},0)")).cast(
+        f"decimal({scale - cut},{scale - cut})")
+    unit = F.lit(f"0.{'1'.zfill(cut)}").cast(f"decimal({cut},{cut})")
+    small = F.floor(quantity * other, F.lit(6)).cast("decimal(20,6)") * unit
+    part, both = f"decimal(35,{6 + cut})", f"decimal(36,{6 + cut})"
+    large = (quantity * whole).try_cast(part) + (quantity * first).try_cast(part)
+    return large + small.try_cast(both)
+
+
+def tonnes(quantity: Column, multiplier: Column) -> Column:
+    """Product rounded once (half up) to 8 decimals, exact for every quantity and multiplier;
+    null where it does not fit decimal(20,8)."""
+    absolute = bind(
+        F.struct(F.abs(quantity.cast("decimal(20,6)")).alias("q"), F.abs(multiplier).alias("m")),
+        lambda x: F.round(exact_product(x["q"], x["m"], 27, 13), 8).try_cast("decimal(20,8)"))
+    return F.when((quantity < 0) == (multiplier < 0), absolute).otherwise(-absolute)
 
 
 def attach_units(matched: DataFrame, index: FactorIndex) -> DataFrame:
@@ -45,16 +63,11 @@ def compute(activities: DataFrame, index: FactorIndex) -> DataFrame:
     The id is a function of activity and factor, so a repeated run replaces its own rows.
     """
     df = attach_units(match_factors(activities, index), index)
-    # A status that needs no decimal arithmetic, so that filters on it stay cheap.
-    fits = F.abs(F.col("quantity").cast("double")) * F.col("multiplier").cast("double") < 9.99e11
-    return df.withColumn(
+    return df.withColumn("result_tco2e", tonnes(F.col("quantity"), F.col("multiplier"))).withColumn(
         "calc_status",
         F.when(F.col("factor_id").isNull(), PENDING_FACTOR)
-        .when(F.col("multiplier").isNotNull() & F.coalesce(fits, F.lit(False)), COMPUTED)
+        .when(F.col("result_tco2e").isNotNull(), COMPUTED)
         .otherwise(CALCULATION_ERROR),
-    ).withColumn(
-        "result_tco2e",
-        F.when(F.col("calc_status") == COMPUTED, tonnes(F.col("quantity"), F.col("multiplier"))),
     ).withColumn(
         "calculation_id",
         F.when(
@@ -66,8 +79,10 @@ def compute(activities: DataFrame, index: FactorIndex) -> DataFrame:
 
 def converted_quantity(df_quantity: Column, unit_ratio: Column) -> Column:
     """Quantity in the unit of the factor, to 15 decimals (exact for every listed ratio)."""
-    product = df_quantity.try_cast("decimal(17,6)") * unit_ratio
-    return F.round(product, 15).try_cast("decimal(32,15)")
+    absolute = bind(
+        F.struct(F.abs(df_quantity.cast("decimal(20,6)")).alias("q"), unit_ratio.alias("r")),
+        lambda x: F.round(exact_product(x["q"], x["r"], 30, 15), 15).try_cast("decimal(32,15)"))
+    return F.when(df_quantity < 0, -absolute).otherwise(absolute)
 
 
 def formula_text() -> Column:
@@ -106,12 +121,19 @@ def calculations(computed: DataFrame, computed_by: str, computed_at: Column) ->
 
 
 def _unit_error() -> Column:
-    return fill(messages.INCOMPATIBLE_UNITS, unit=F.col("unit"),
-                denominator=factor_denominator(F.col("factor_unit")))
+    """Why a matched activity was not calculated: units that do not convert, no quantity, or a
+    result that the ledger's decimals cannot hold."""
+    return (
+        F.when(F.col("multiplier").isNull(),
+               fill(messages.INCOMPATIBLE_UNITS, unit=F.col("unit"),
+                    denominator=factor_denominator(F.col("factor_unit"))))
+        .when(F.col("quantity").isNull(), F.lit(messages.NO_QUANTITY))
+        .otherwise(F.lit(messages.RESULT_OVERFLOW))
+    )
 
 
 def unit_errors(computed: DataFrame) -> DataFrame:
-    """Matched activities whose unit does not convert to the unit of the factor."""
+    """Matched activities that were not calculated, with the reason."""
     return computed.where(F.col("calc_status") == CALCULATION_ERROR).withColumn(
         "error",
         _unit_error(),
@@ -126,7 +148,8 @@ def calculation_audit(
     action = (
         F.when(status == COMPUTED, F.lit("CALCULATE"))
         .when(status == PENDING_FACTOR, F.lit("CALCULATE_FAILED_MISSING_FACTOR"))
-        .otherwise(F.lit("CALCULATE_FAILED_INCOMPATIBLE_UNITS"))
+        .when(F.col("multiplier").isNull(), F.lit("CALCULATE_FAILED_INCOMPATIBLE_UNITS"))
+        .otherwise(F.lit("CALCULATE_FAILED_OVERFLOW"))
     )
     done = F.struct(
         "calculation_id", F.col("factor_id").alias("emission_factor_id"), "factor_source",

@@ -17,7 +17,7 @@ from emberledger.functions.units import (
     normalize_unit,
     numerator_to_tonnes,
 )
-from emberledger.operators.bounds import DIMENSION_ROWS, fixed_table, small_or_shuffled
+from emberledger.operators.bounds import fixed_table, settled
 
 LOAD_KEY = ["source", "source_version", "activity_type", "geography"]
 MULTIPLIER = "decimal(38,27)"
@@ -127,8 +127,8 @@ def factor_multipliers(factors: DataFrame) -> DataFrame:
     """Tonnes CO2e per unit of quantity, for every factor and every unit it can take.
 
     Unit ratio, factor value and numerator ratio are folded into one decimal here, on the
-    dimension, which leaves one exact multiplication per activity. The operand types are
-    chosen so that Spark keeps 27 decimals (19 for factor values of 10000 and more).
+    dimension, which leaves one exact multiplication per activity. The ratio is taken apart
+    after its ninth decimal, so that 25 decimals are right for factor values of any size.
     """
     units = factors.select(
         "factor_id", "factor_value",
@@ -140,15 +140,17 @@ def factor_multipliers(factors: DataFrame) -> DataFrame:
     )
     pairs = unit_conversions(factors.sparkSession).where("from_unit <> to_unit")
     other = units.join(F.broadcast(pairs), "to_unit").select(*same.columns)
-    narrow = (
-        F.col("factor_value").try_cast("decimal(12,8)")
-        * F.col("numerator_ratio") * F.col("unit_ratio")
-    )
-    wide = F.col("factor_value") * F.col("numerator_ratio") * F.col("unit_ratio")
+    share = F.col("numerator_ratio") * F.col("unit_ratio")
+    high = F.floor(share, F.lit(9)).cast("decimal(15,9)")
+    low = ((share - high).cast("decimal(32,32)") * F.lit(10 ** 9).cast("decimal(10,0)")).cast(
+        "decimal(17,17)")
+    value = F.col("factor_value").cast("decimal(20,8)")
+    small = (value * low).cast("decimal(28,16)") * F.lit("0.000000001").cast("decimal(9,9)")
     return same.union(other).select(
         F.col("factor_id").alias("m_factor_id"), "from_unit", "denominator", "unit_ratio",
         "numerator_ratio",
-        F.coalesce(narrow.try_cast(MULTIPLIER), wide.try_cast(MULTIPLIER)).alias("multiplier"),
+        ((value * high).cast("decimal(37,25)") + small.cast("decimal(37,25)")).try_cast(
+            MULTIPLIER).alias("multiplier"),
     )
 
 
@@ -161,11 +163,13 @@ class FactorIndex:
     multipliers: DataFrame
 
     @staticmethod
-    def build(factors: DataFrame, max_rows: int = DIMENSION_ROWS) -> FactorIndex:
+    def build(factors: DataFrame) -> FactorIndex:
+        """The three tables, written to shared storage: their files tell the planner their bytes,
+        by which it broadcasts them or shuffles, and no job derives them again."""
         return FactorIndex(
-            small_or_shuffled(factor_timeline(factors), max_rows),
-            small_or_shuffled(type_coverage(factors), max_rows),
-            small_or_shuffled(factor_multipliers(factors), max_rows),
+            settled(factor_timeline(factors), "factor-timeline"),
+            settled(type_coverage(factors), "factor-coverage"),
+            settled(factor_multipliers(factors), "factor-multipliers"),
         )
 
 

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from emberledger.constants import ACCOUNT_LABEL_PATTERN, ACCOUNT_STANDALONE_PATTERN
 from emberledger.functions.text import bind, regex_quote, regex_substitute, squeeze, strip
 from emberledger.functions.tokens import SUPPLIER_PREFIX, tokenize_account, tokenize_supplier
-
-INLINE_SUPPLIERS = 64
+from emberledger.operators.bounds import fixed_table
 
 
 def supplier_pattern(name: Column) -> Column:
@@ -31,7 +30,8 @@ def supplier_dictionary(suppliers: DataFrame) -> DataFrame:
     """Names (column ``name``) with length, token, pattern and key word, tokens left out.
 
     The key word of a name is the one fewest other names share, so that a text meets few
-    names that it does not contain, however many names begin alike.
+    names that it does not contain, however many names begin alike. A name without a letter or
+    digit has the empty key word, which every text meets.
     """
     name = strip(F.col("name"))
     names = (
@@ -49,7 +49,7 @@ def supplier_dictionary(suppliers: DataFrame) -> DataFrame:
     key = words.join(shared, "word").groupBy("name").agg(
         F.min_by("word", F.struct("_names", -F.length("word"), "word")).alias("key_word")
     )
-    return names.join(key, "name")
+    return names.join(key, "name", "left").withColumn("key_word", F.coalesce("key_word", F.lit("")))
 
 
 def _words(text: Column) -> Column:
@@ -60,14 +60,14 @@ def _words(text: Column) -> Column:
 _ENTRY = "array<struct<name_length:int,name:string,token:string,pattern:string>>"
 
 
-def find_suppliers(
+def name_candidates(
     docs: DataFrame, text: str, suppliers: Sequence[str] | DataFrame, key: str
 ) -> DataFrame:
-    """Add ``_suppliers``: the dictionary entries present in each text, longest name first.
+    """Add ``_names``: the dictionary entries that may be in each text, longest name first.
 
-    A short list is tested inline. A dictionary table is met by an equi join on words: each
-    distinct word of a text finds the names it is the key word of, and only those are tested.
-    (A name without a letter or digit has no key word and is only found in a short list.)
+    One way for lists and tables of any length: each distinct word of a text finds the names it
+    is the key word of. Words that are no key word are dropped before anything is shuffled by
+    them, and the texts themselves are joined once.
     """
     longest_first = lambda a, b: (
         F.when(a["name_length"] > b["name_length"], -1)
@@ -75,39 +75,15 @@ def find_suppliers(
         .when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
     )
     if not isinstance(suppliers, DataFrame):
-        names = list(dict.fromkeys(s.strip() for s in suppliers if s and s.strip()))
-        if len(names) <= INLINE_SUPPLIERS:
-            names = [n for n in names if not n.startswith(SUPPLIER_PREFIX)]
-            if not names:
-                return docs.withColumn("_suppliers", F.array().cast(_ENTRY))
-            entries = F.array(
-                *[
-                    F.struct(
-                        F.lit(len(n)).alias("name_length"), F.lit(n).alias("name"),
-                        tokenize_supplier(F.lit(n)).alias("token"),
-                        supplier_pattern(F.lit(n)).alias("pattern"),
-                    )
-                    for n in sorted(names, key=lambda n: (-len(n), n))
-                ]
-            )
-            return docs.withColumn(
-                "_suppliers",
-                F.filter(entries, lambda e: F.rlike(F.col(text), e["pattern"])),
-            )
-        suppliers = docs.sparkSession.createDataFrame([(n,) for n in names], "name string")
+        suppliers = fixed_table(docs.sparkSession, [(s,) for s in suppliers] or [("",)], ["name"])
     entries = supplier_dictionary(suppliers)
-    words = docs.select(key, F.explode(_words(F.col(text))).alias("key_word"))
-    candidates = words.join(entries, "key_word").drop("key_word")
-    found = (
-        candidates.join(docs.select(key, F.col(text).alias("_t")), key)
-        .where(F.rlike("_t", F.col("pattern")))
-        .groupBy(key)
-        .agg(F.collect_set(F.struct("name_length", "name", "token", "pattern")).alias("_suppliers"))
-        .withColumn("_suppliers", F.array_sort("_suppliers", longest_first))
-    )
+    words = docs.select(
+        key, F.explode(F.array_append(_words(F.col(text)), F.lit(""))).alias("key_word"))
+    found = words.join(entries, "key_word").groupBy(key).agg(F.array_sort(
+        F.collect_set(F.struct("name_length", "name", "token", "pattern")), longest_first
+    ).alias("_names"))
     return docs.join(found, key, "left").withColumn(
-        "_suppliers", F.coalesce("_suppliers", F.array().cast(_ENTRY))
-    )
+        "_names", F.coalesce("_names", F.array().cast(_ENTRY)))
 
 
 def _replace_names(text: Column, entries: Column) -> Column:
@@ -116,6 +92,17 @@ def _replace_names(text: Column, entries: Column) -> Column:
     )
 
 
+def replaced_names(text: Column, entries: Column) -> Column:
+    """(text, names): the running text after each name in turn, and the entries that changed it.
+    A name inside a longer one that is replaced already does not count."""
+    start = F.struct(text.alias("text"), F.array().cast(_ENTRY).alias("names"))
+    return F.aggregate(entries, start, lambda acc, e: F.when(
+        F.rlike(acc["text"], e["pattern"]),
+        F.struct(F.regexp_replace(acc["text"], e["pattern"], e["token"]).alias("text"),
+                 F.array_append(acc["names"], e).alias("names")),
+    ).otherwise(acc))
+
+
 def labelled_matches(text: Column) -> tuple[Column, Column]:
     """(whole matches, identifiers) of the labelled pattern, position by position."""
     whole = F.regexp_extract_all(text, F.lit(ACCOUNT_LABEL_PATTERN), F.lit(0))
@@ -136,9 +123,10 @@ def redact(
     docs: DataFrame, text: str, suppliers: Sequence[str] | DataFrame = (), key: str = "doc_id"
 ) -> DataFrame:
     """Add ``redacted_text`` and ``redactions`` (token and raw value of all that was found)."""
-    df = find_suppliers(docs.withColumn("_text", F.coalesce(text, F.lit(""))), "_text",
-                        suppliers, key)
-    df = df.withColumn("_t1", _replace_names(F.col("_text"), F.col("_suppliers")))
+    df = name_candidates(docs.withColumn("_text", F.coalesce(text, F.lit(""))), "_text",
+                         suppliers, key)
+    df = df.withColumn("_done", replaced_names(F.col("_text"), F.col("_names"))).withColumns(
+        {"_t1": F.col("_done.text"), "_suppliers": F.col("_done.names")})
     df = df.withColumn(
         "_standalone",
         F.regexp_extract_all("_t1", F.lit(ACCOUNT_STANDALONE_PATTERN), F.lit(0)),
@@ -165,7 +153,7 @@ def redact(
     )
     return df.select(
         *docs.columns,
-        _replace_names(leftover, F.col("_suppliers")).alias("redacted_text"),
+        _replace_names(leftover, F.col("_names")).alias("redacted_text"),
         redactions.alias("redactions"),
     )
 

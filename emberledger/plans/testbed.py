@@ -8,6 +8,7 @@ the given tables, so all work grows with them.
 from __future__ import annotations
 
 from functools import cached_property
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +50,7 @@ ACTIVITY_OF_PART = {
 }
 PLACES = ("US-CA", "US-TX", "GB", "US", "FR")
 
-SPREAD_FROM, SPREAD_UP_TO = 512 * 1024, 32 * 1024 * 1024
-
-_INDEXES: dict[int, FactorIndex] = {}
+_INDEXES: WeakKeyDictionary[SparkSession, FactorIndex] = WeakKeyDictionary()
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -86,14 +85,7 @@ class Testbed:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        """A test table. One that is small, yet worth more than one task, is spread over the
-        cores: the files have a single row group, which only one task can read."""
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        cores = self.spark.sparkContext.defaultParallelism
-        if SPREAD_FROM < size < cores * SPREAD_UP_TO:
-            return df.repartition(cores)
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def factors(self) -> DataFrame:
         columns = [c.split()[0] for c in schemas.EMISSION_FACTOR.split(", ")]
@@ -107,10 +99,9 @@ class Testbed:
 
     def index(self) -> FactorIndex:
         """Built once per session, as a service over a factor table would."""
-        key = id(self.spark._jsparkSession)
-        if key not in _INDEXES:
-            _INDEXES[key] = FactorIndex.build(self.factors())
-        return _INDEXES[key]
+        if self.spark not in _INDEXES:
+            _INDEXES[self.spark] = FactorIndex.build(self.factors())
+        return _INDEXES[self.spark]
 
     def line_stream(self) -> DataFrame:
         """The line items as a stream of arriving files."""

@@ -31,14 +31,17 @@ def local_session(app: str = "emberledger", cores: int | str = "*", **conf: str)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for streaming checkpoints and cut lineage.
+    """Shared folder for streaming checkpoints, settled tables and cut lineage.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without that setting
-    (tests, a laptop) gets a fresh temporary folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session in one process (tests, a
+    laptop) gets a temporary folder of its own where that is unset; elsewhere executors and
+    driver would each write to a disk of their own, so there it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="emberledger-ckpt-")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    folder = os.path.abspath(tempfile.mkdtemp(prefix="emberledger-"))
     spark.conf.set("spark.checkpoint.dir", folder)
-    return os.path.abspath(folder)
+    return folder

@@ -122,7 +122,6 @@ def read_delimited(
     paths,
     mapping: dict[str, str] | None = None,
     default_geography: str = DEFAULT_GEOGRAPHY,
-    long_tail_dates: bool = False,
 ) -> DelimitedRead:
     """Read activity exports; the path of a file is the id of its document."""
     lines = _lines(spark, paths)
@@ -155,9 +154,7 @@ def read_delimited(
         F.col("file_id").alias("document_id"), "row_no",
         *[F.get("_cells", F.col(f"_p_{t}")).alias(t) for t in TARGET_FIELDS],
     )
-    rows = build_activities(
-        raw, default_geography, F.col("row_no"), long_tail_dates=long_tail_dates
-    )
+    rows = build_activities(raw, default_geography, F.col("row_no"))
     counts = data.groupBy("file_id").agg(F.count(F.lit(1)).alias("data_rows"))
     files = layout.join(counts, "file_id", "left").select(
         F.col("file_id").alias("document_id"), "delimiter", "is_utf8",

@@ -99,15 +99,58 @@ def test_matching_by_place_and_date(table):
 
 
 def test_matching_without_broadcast_gives_the_same(spark, table):
-    """A factor table over the size bound is joined by shuffle instead."""
+    """A factor table that the planner finds too large is joined by shuffle instead."""
     facts = published_factors(spark)
     acts = table([(n, t, "10", "kWh", g, "2025-03-01") for n, (t, g) in enumerate(
         [("electricity_purchase", "US-NY"), ("electricity_purchase", "US-TX"),
          ("business_travel_air", "FR"), ("freight_road", "US")])], ACT)
     small = emissions.compute(acts, FactorIndex.build(facts))
-    large = emissions.compute(acts, FactorIndex.build(facts, max_rows=1))
     cols = ["activity_id", "factor_id", "fallback_level", "result_tco2e", "calc_status"]
-    assert sorted(small.select(cols).collect()) == sorted(large.select(cols).collect())
+    broadcast = sorted(small.select(cols).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        large = emissions.compute(acts, FactorIndex.build(facts)).select(cols)
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+        assert sorted(large.collect()) == broadcast
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tonnes_are_exact_over_the_whole_range(spark):
+    import random
+    from decimal import ROUND_HALF_UP, localcontext
+
+    rng = random.Random(5)
+    pairs = [("100000000000.5", "0.0000035999999999712"), ("90000000000000", "0.0000036"),
+             ("999500000000", "1"), ("1000000000000", "1"), ("1", "0.000000005"),
+             ("-3", "0.000000005"), ("-0.000001", "99999999999"), ("0", "5"),
+             ("99999999999999.999999", "0.009999999999999999999999999")]
+    for _ in range(300):
+        pairs.append((format(D(rng.randrange(10 ** rng.randrange(1, 20))).scaleb(-6), "f"),
+                      format(D(rng.randrange(10 ** rng.randrange(1, 37))).scaleb(-27), "f")))
+    df = spark.createDataFrame(pairs, "q string, m string").select("q", "m", emissions.tonnes(
+        F.col("q").cast("decimal(20,6)"), F.col("m").cast("decimal(38,27)")).alias("t"))
+    with localcontext() as exact:
+        exact.prec = 80
+        for q, m, t in df.collect():
+            want = (D(q) * D(m)).quantize(D("1e-8"), ROUND_HALF_UP)
+            assert t == (None if abs(want) >= 10 ** 12 else want), (q, m)
+
+
+def test_overflow_has_its_own_reason(table):
+    index = index_of(table, [
+        ("f", "elec", "US", "5", "t/kWh", "2025-01-01", "2025-01-01", None),
+        ("g", "huge", "US", "900000000000", "g/kWh", "2025-01-01", "2025-01-01", None)])
+    acts = table([("big", "elec", "99999999999999", "kWh", "US", "2025-06-01"),
+                  ("fits", "elec", "199900000000", "kWh", "US", "2025-06-01"),
+                  ("huge", "huge", "0.000007", "kWh", "US", "2025-06-01"),
+                  ("odd", "elec", "1", "miles", "US", "2025-06-01")], ACT)
+    done = emissions.compute(acts, index)
+    errors = {r.activity_id: r.error for r in emissions.unit_errors(done).collect()}
+    assert set(errors) == {"odd", "big"} and errors["odd"].startswith("Cannot convert")
+    assert errors["big"].startswith("The result does not fit")
+    got = {r.activity_id: r.result_tco2e for r in done.collect()}
+    assert got["fits"] == D("999500000000") and got["huge"] == D("6.3")
 
 
 def test_published_factors_end_to_end(spark, table):

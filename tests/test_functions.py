@@ -39,10 +39,15 @@ def test_dates(spark):
     assert apply(spark, cases, dates.parse_date) == list(cases.values())
 
 
-def test_long_tail_dates(spark):
-    got = apply(spark, ["2025 Jan 15", "15. Januar", None, "2025-01-15"],
-                lambda c: dates.parse_date(c, long_tail=True))
-    assert got[0] == got[3] == date(2025, 1, 15) and got[2] is None
+def test_dates_with_month_names(spark):
+    jan15 = date(2025, 1, 15)
+    spelled = ["15-Jan-25", "15/Jan/2025", "15.Jan.2025", "Jan 15, 25", "January 15 2025",
+               "Jan/15/2025", "2025 Jan 15", "2025-Jan-15", "20250115T1000", "20250115T100000Z",
+               "15 of January 2025", "15 Jan. 2025", "Wed, 15 Jan 2025 10:00:00 GMT",
+               "2025-01-15 3 pm"]
+    assert apply(spark, spelled, dates.parse_date) == [jan15] * len(spelled)
+    unclear = ["2025-01", "15. Januar", None, "Jan 2025", "15 Foo 2025", "32-Jan-25"]
+    assert apply(spark, unclear, dates.parse_date) == [None] * len(unclear)
 
 
 def _supp(name):
