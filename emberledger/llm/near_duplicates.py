@@ -1,11 +1,13 @@
 """N-gram Jaccard join over a tree of count vectors.
 
-Shingles are hashed into groups, and a document is the point of its group counts. The tree that
-holds the points has three levels. The first splits by size (the sum of the counts) into bands;
-the second splits the coordinates into more blocks than two linked documents of the band can
-differ in shingles, so that they have equal counts throughout one block at least; a leaf is a
-box without extent in one block. Only points that share a leaf meet. Their overlap is bounded by
-the sum of the coordinates' minima, and what survives is verified on the shingles.
+Shingles are hashed into groups, and how many shingles of all documents fall into each group
+orders the coordinates of the space: rare groups come first. A document is the point of its
+counts. The tree splits by one coordinate after the other and holds a point under each of its
+first coordinates, as many as it takes until the minima of the others cannot sum up to the
+overlap of a link. So linked points share a leaf, and shared passages, which lie in frequent
+groups, hardly ever make one. Points meet in the first leaf that they share, where the minima of
+both from that coordinate on must still suffice; then they are bounded by the summed minima of
+short count vectors, and what survives is verified on the shingles.
 
 Equal points are one class from the start. Links inside a class, or between nodes that are
 joined already, need no look: only the components are asked for.
@@ -13,20 +15,22 @@ joined already, need no look: only the components are asked for.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberledger.llm.components import components
-from emberledger.llm.shared import add_columns, stored, text_of
+from emberledger.llm.shared import add_columns, steps, stored, text_of
 from emberledger.llm.tokens import BLANKS, Texts, Words, mix, windows, within
 
 SIZE, PERCENT = 4, 85
-#: Ratio of a band's ends, and coordinates of the vectors that bound the overlap.
-BAND, GROUPS = 1.7, 64
+#: Groups that order the coordinates, and groups of the vectors that bound an overlap.
+ORDER_BITS, GROUPS = 21, 64
 _NO_ID = (1 << 63) - 1  # stands for a null id: the largest
 
 
@@ -55,48 +59,60 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[fresh], kept[ranges]
 
 
-def bands(largest: int, percent: int) -> list[tuple[int, int, int]]:
-    """(smallest size, largest size, blocks) of each band up to that of the largest size. Linked
-    documents, the smaller in the band, differ in fewer shingles than there are blocks."""
-    out, low = [], 1
-    while low <= largest:
-        high = max(low, int(low * BAND) - 1)
-        differ = high * (100 - percent) // percent
-        out.append((low, high, differ + 1 + (differ + 1) // 16 + 2 if differ else 0))
-        low = high + 1
-    return out
+def group_of(sets: np.ndarray) -> np.ndarray:
+    return (sets >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
 
-def leaf_keys(sets: np.ndarray, ranges: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The leaves of each document: in the band of its size, and in the band below if it can be
-    the larger of two linked documents there."""
-    sizes = np.diff(ranges)
-    owners = np.repeat(np.arange(len(sizes)), sizes)
-    values = mix(sets + np.uint64(7))
-    found: list[list[np.ndarray]] = [[] for _ in sizes]
-    for number, (low, high, blocks) in enumerate(bands(int(sizes.max(initial=0)), percent)):
-        member = (sizes >= low) & (sizes <= high * 100 // percent)
-        if not blocks or not member.any():
-            continue
-        pick = member[owners]
-        own, value = owners[pick], values[pick]
-        block = ((sets[pick] >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-        edge = np.ones(len(own), bool)
-        edge[1:] = (own[1:] != own[:-1]) | (block[1:] != block[:-1])
-        at = np.flatnonzero(edge)
-        with np.errstate(over="ignore"):
-            inside = np.add.reduceat(value, at)
-            count = np.diff(np.append(at, len(own))).astype(np.uint64)
-            place = block[at] + np.uint64(1 + (number << 32))
-            keys = mix(inside + mix(place) + (count << np.uint64(40))).view(np.int64)
-        own = own[at]
-        docs, first = np.unique(own, return_index=True)
-        differ = high * (100 - percent) // percent
-        for doc, part in zip(docs.tolist(), np.split(keys, first[1:]), strict=True):
-            found[doc].append(part)
-            if len(part) <= differ:  # so few blocks are in use that linked ones may share none
-                found[doc].append(mix(np.array([number])).view(np.int64))
-    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
+def group_counts(docs: DataFrame, size: int) -> np.ndarray:
+    """Shingles of all documents in each group. Tasks count into arrays of a fixed size, which
+    are summed in rounds, sixteen to one."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for part in steps(batches, "text"):
+            sets, _ranges = shingle_sets(part.column("text"), size)
+            total += np.bincount(group_of(sets), minlength=len(total))
+        yield from _packed(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(value), np.int64)
+        yield from _packed(total)
+
+    counts = stored(docs.select("text").mapInArrow(count, "counts binary"), "group-counts")
+    rows = counts.count()
+    while rows > 1:
+        tasks = -(-rows // 16)
+        counts = stored(counts.repartition(tasks).mapInArrow(add, "counts binary"),
+                        "group-counts")
+        rows = counts.count() if tasks > 1 else 1
+    value = counts.first()
+    total = np.frombuffer(zlib.decompress(value.counts), np.int64) if value else np.zeros(
+        1 << ORDER_BITS, np.int64)
+    return np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+
+
+def _packed(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if total.any():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
+
+
+def leaf_keys(sets: np.ndarray, ranges: np.ndarray, percent: int,
+              frequency: np.ndarray) -> list[np.ndarray]:
+    """The leaves of each document: its first coordinates. Of n shingles a link needs ``percent``
+    in a hundred at least, so if two documents share none of the first n - needed + 1 of theirs,
+    what is left is too little."""
+    order = (frequency[group_of(sets)].astype(np.uint64) << np.uint64(32)) | (
+        mix(sets) >> np.uint64(32))
+    out = []
+    for low, high in zip(ranges[:-1].tolist(), ranges[1:].tolist(), strict=True):
+        n = high - low
+        first = n - -(-percent * n // 100) + 1 if n else 0
+        own = np.lexsort((sets[low:high], order[low:high]))[:first]
+        out.append(sets[low:high][own].view(np.int64))
+    return out
 
 
 def _sums(sets: np.ndarray, ranges: np.ndarray, salt: int) -> np.ndarray:
@@ -112,18 +128,21 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(places, flat.astype(np.int64))
 
 
-def _points(docs: DataFrame, size: int, percent: int, leaves: bool) -> DataFrame:
-    """(doc, n, c1, c2): size and fingerprint of the point; with the leaves if asked for."""
+def _points(docs: DataFrame, size: int, percent: int,
+            frequency: Broadcast | None = None) -> DataFrame:
+    """(doc, n, c1, c2): size and fingerprint of the point; with its leaves, given how frequent
+    the groups are."""
     def make():
         def work(column):
             sets, ranges = shingle_sets(column, size)
             made = [pa.array(np.diff(ranges), pa.int64()),
                     *(pa.array(_sums(sets, ranges, salt)) for salt in (1, 2))]
-            return [*made, _lists(leaf_keys(sets, ranges, percent))] if leaves else made
+            return made if frequency is None else [
+                *made, _lists(leaf_keys(sets, ranges, percent, frequency.value))]
 
         return work
 
-    added = "n long, c1 long, c2 long" + (", leaves array<long>" if leaves else "")
+    added = "n long, c1 long, c2 long" + ("" if frequency is None else ", leaves array<long>")
     return add_columns(docs, "text", added, make).drop("text")
 
 
@@ -176,6 +195,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined(near, "shingles").mapInArrow(exact, "a long, b long")
 
 
+def _enough(a_rest: str, b_rest: str, a_n: str, b_n: str, percent: int) -> Column:
+    """Whether two points of sizes n may overlap enough for a link, if what they share lies in
+    the last ``rest`` of their coordinates."""
+    return F.least(a_rest, b_rest) * (100 + percent) >= (F.col(a_n) + F.col(b_n)) * percent
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc id, n_shingles, component_id), a row for each row of ``docs``.
@@ -188,20 +213,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"),
                          text_of(docs, text_col).alias("text"))
-    members = stored(_points(source, size, percent, leaves=False), "members")
+    members = stored(_points(source, size, percent), "members")
     point = ["n", "c1", "c2"]
     classes = members.where("n > 0").groupBy(*point).agg(F.min("doc").alias("node"))
     copies = members.join(classes, point).where("doc <> node").select(
         F.col("node").alias("a"), F.col("doc").alias("b"))
 
     # One row per class and leaf; a leaf is at most one row in each of its points' many.
+    frequency = docs.sparkSession.sparkContext.broadcast(group_counts(source, size))
     leaves = (
-        _points(source, size, percent, leaves=True).where(F.size("leaves") > 0)
+        _points(source, size, percent, frequency).where("n > 0")
         .groupBy(*point).agg(F.min("doc").alias("node"), F.first("leaves").alias("leaves"))
-        .select("node", F.explode("leaves").alias("leaf")).repartition("leaf")
+        .select("node", "n", F.posexplode("leaves").alias("before", "leaf"))
+        .select("leaf", "node", "n", (F.col("n") - F.col("before")).alias("rest"))
+        .repartition("leaf")
     )
-    crowded = leaves.groupBy("leaf").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    met = stored(leaves.join(crowded, "leaf"), "met")
+    crowded = leaves.groupBy("leaf").agg(
+        F.count("*").alias("crowd"), F.min("n").alias("least")).where("crowd > 1")
+    met = stored(leaves.join(crowded, "leaf").where(
+        _enough("rest", "rest", "n", "least", percent)).drop("least"), "met")
 
     wanted = met.select("node").distinct()
     sets = stored(_sets(
@@ -209,9 +239,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # First each node with the best connected point of a leaf that it shares with it most often.
     rank = met.groupBy("node").agg(F.sum("crowd").alias("rank"))
-    hubs = met.join(rank, "node").groupBy("leaf").agg(
-        F.max(F.struct("rank", "node")).getField("node").alias("hub"))
-    stars = met.join(hubs, "leaf").where("node <> hub").groupBy("node", "hub").agg(
+    hubs = met.join(rank, "node").groupBy("leaf").agg(F.max(F.struct(
+        "rank", F.col("node").alias("hub"), F.col("n").alias("hub_n"),
+        F.col("rest").alias("hub_rest"))).alias("best")).select("leaf", "best.*").drop("rank")
+    stars = met.join(hubs, "leaf").where("node <> hub").where(
+        _enough("rest", "hub_rest", "n", "hub_n", percent)).groupBy("node", "hub").agg(
         F.count("*").alias("shared"))
     best = Window.partitionBy("node").orderBy(F.desc("shared"), "hub")
     stars = stars.withColumn("nth", F.row_number().over(best)).where("nth = 1").select(
@@ -220,13 +252,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links)
 
     # Then whatever else shares a leaf and is not joined yet.
-    placed = met.select("leaf", "node").join(roots, "node", "left").select(
-        "leaf", "node", F.coalesce("root", "node").alias("root"))
+    placed = met.drop("crowd").join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
     mixed = placed.groupBy("leaf").agg(
         F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     placed = stored(placed.join(mixed.select("leaf"), "leaf"), "placed")
-    other = placed.select("leaf", F.col("node").alias("b"), F.col("root").alias("other"))
-    rest = placed.join(other, "leaf").where("root <> other and node < b").select(
+    other = placed.select("leaf", F.col("node").alias("b"), F.col("root").alias("other"),
+                          F.col("n").alias("b_n"), F.col("rest").alias("b_rest"))
+    rest = placed.join(other, "leaf").where("root <> other and node < b").where(
+        _enough("rest", "b_rest", "n", "b_n", percent)).select(
         F.col("node").alias("a"), "b").distinct()
     more = stored(_linked(rest, sets, percent), "more")
     if more.limit(1).count():
