@@ -1,6 +1,6 @@
 """Statistical checks of the ledger: yearly variance, intensity outliers, omitted scopes.
 
-All checks cover every entity and every pair of consecutive years in one job.
+All checks cover every entity and year, against any chosen baseline years, in one job.
 """
 
 from __future__ import annotations
@@ -52,23 +52,34 @@ _MEASURES = {
 }
 
 
-def year_over_year(yearly: DataFrame) -> DataFrame:
-    """Every (entity, year, scope) with its measures in the year and in the year before.
+def year_before(yearly: DataFrame) -> DataFrame:
+    """Comparisons of every entity and year with the year before: the default. Years that only
+    their baseline has rows for are among them."""
+    years = yearly.select("entity_id", F.explode(F.array(
+        "reporting_year", F.col("reporting_year") + 1)).alias("reporting_year")).distinct()
+    return years.withColumn("baseline_year", F.col("reporting_year") - 1)
 
-    Each yearly row plays two parts, in its own year and as baseline of the next, and one
-    aggregation brings the parts together; the yearly table is read once and joined to
-    nothing. ``current_rows`` and ``baseline_rows`` count the rows of all scopes.
+
+def year_over_year(yearly: DataFrame, comparisons: DataFrame | None = None) -> DataFrame:
+    """The compared (entity, year, baseline year, scope) with the measures of both years.
+
+    ``comparisons`` has (entity_id, reporting_year, baseline_year); without a baseline year the
+    measures of the baseline are zero. Left out, every year is compared with the one before.
+    Each yearly row plays a part in its own year and in each year that it is the baseline of,
+    and one aggregation brings the parts together. ``current_rows`` and ``baseline_rows`` count
+    the rows of all scopes.
     """
-    roles = yearly.select(
-        "entity_id", "scope", *_MEASURES,
-        F.explode(
-            F.array(
-                F.struct(F.col("reporting_year").alias("year"), F.lit(True).alias("is_current")),
-                F.struct((F.col("reporting_year") + 1).alias("year"),
-                         F.lit(False).alias("is_current")),
-            )
-        ).alias("role"),
-    )
+    if comparisons is None:
+        comparisons = year_before(yearly)
+    asked = comparisons.select(
+        "entity_id", F.col("reporting_year").cast("int").alias("reporting_year"),
+        F.col("baseline_year").cast("int").alias("baseline_year")).distinct()
+    roles = asked.select("*", F.explode(F.array(
+        F.struct(F.col("reporting_year").alias("year"), F.lit(True).alias("is_current")),
+        F.struct(F.col("baseline_year").alias("year"), F.lit(False).alias("is_current")),
+    )).alias("role")).select("*", F.col("role.year").alias("_year"))
+    played = yearly.withColumnRenamed("reporting_year", "_year").join(
+        roles, ["entity_id", "_year"])
 
     def part(measure: str, dtype: str, current: bool) -> Column:
         mine = F.col("role.is_current") if current else ~F.col("role.is_current")
@@ -76,10 +87,9 @@ def year_over_year(yearly: DataFrame) -> DataFrame:
             ("current_" if current else "prior_") + measure
         )
 
-    compared = roles.groupBy(
-        "entity_id", F.col("role.year").alias("reporting_year"), "scope"
-    ).agg(*[part(m, d, c) for m, d in _MEASURES.items() for c in (True, False)])
-    whole = Window.partitionBy("entity_id", "reporting_year")
+    compared = played.groupBy("entity_id", "reporting_year", "baseline_year", "scope").agg(
+        *[part(m, d, c) for m, d in _MEASURES.items() for c in (True, False)])
+    whole = Window.partitionBy("entity_id", "reporting_year", "baseline_year")
     return compared.withColumn("current_rows", F.sum("current_n_rows").over(whole)).withColumn(
         "baseline_rows", F.sum("prior_n_rows").over(whole)
     )
@@ -139,14 +149,14 @@ def _variance_flag(drop_pct: str, surge_pct: str) -> Column:
             F.col("current_tco2e").cast("string").alias("current_tco2e"),
             pct.cast("double").alias("pct_change"),
             act.cast("double").alias("activity_pct_change"),
-            (F.col("reporting_year") - 1).cast("string").alias("baseline_period"),
+            F.col("baseline_year").cast("string").alias("baseline_period"),
         ),
     )
     return F.when(comparable & (drop | surge), flag)
 
 
 def _omission_flag() -> Column:
-    """Scope with rows in the year before and none in a year that has rows; null otherwise."""
+    """Scope with rows in the baseline and none in a year that has rows; null otherwise."""
     scope, year = F.col("scope").cast("string"), F.col("reporting_year")
     omitted = (
         F.col("scope").isin(1, 2, 3) & (F.col("prior_scoped_rows") > 0)
@@ -155,14 +165,14 @@ def _omission_flag() -> Column:
     flag = _flag(
         F.lit("SCOPE_INCOMPLETENESS"), F.lit("CRITICAL"),
         fill(messages.OMISSION_TITLE, scope=scope),
-        fill(messages.OMISSION_TEXT, scope=scope, baseline=year - 1, year=year,
+        fill(messages.OMISSION_TEXT, scope=scope, baseline=F.col("baseline_year"), year=year,
              prior=fixed_text(F.col("prior_scoped_tco2e"), 2)),
         F.concat(F.lit("scope-"), scope), F.col("prior_scoped_tco2e"),
         _details(
             F.col("scope").alias("missing_scope"),
             F.col("prior_scoped_tco2e").cast("string").alias("prior_tco2e"),
             F.lit("0.0").alias("current_tco2e"),
-            (year - 1).cast("string").alias("baseline_period"),
+            F.col("baseline_year").cast("string").alias("baseline_period"),
         ),
     )
     return F.when(omitted, flag)
@@ -190,17 +200,18 @@ def _flag_rows(df: DataFrame, *flags: Column) -> DataFrame:
 
 
 def yoy_flags(
-    yearly: DataFrame, drop_pct: str = YOY_DROP_PCT, surge_pct: str = YOY_SURGE_PCT
+    yearly: DataFrame, drop_pct: str = YOY_DROP_PCT, surge_pct: str = YOY_SURGE_PCT,
+    comparisons: DataFrame | None = None,
 ) -> DataFrame:
     """Sharp drops and surges that activity does not explain (less than half of the change)."""
     return _flag_rows(
-        yoy_changes(year_over_year(yearly)), _variance_flag(drop_pct, surge_pct)
+        yoy_changes(year_over_year(yearly, comparisons)), _variance_flag(drop_pct, surge_pct)
     )
 
 
-def omission_flags(yearly: DataFrame) -> DataFrame:
-    """Scopes reported in the year before and absent from a year that has rows."""
-    return _flag_rows(year_over_year(yearly), _omission_flag())
+def omission_flags(yearly: DataFrame, comparisons: DataFrame | None = None) -> DataFrame:
+    """Scopes reported in the baseline and absent from a year that has rows."""
+    return _flag_rows(year_over_year(yearly, comparisons), _omission_flag())
 
 
 COHORT = ["entity_id", "reporting_year", "activity_type", "unit"]
@@ -234,9 +245,12 @@ def intensity_scores(
         .withColumn("_period_rows", F.sum("_rows").over(period))
     )
     floor = F.abs("cohort_mean") * F.lit(float(rel_stdev_floor))
+    # The largest score that a cohort of n can hold is (n - 1) / sqrt(n): smaller ones need no
+    # join back. The tolerance is for the rounding of the scores.
+    reachable = (F.col("cohort_size") - 1) / F.sqrt("cohort_size") >= zscore_cutoff * (1 - 1e-9)
     usable = cohorts.where(
         "cohort_size >= 3 and cohort_stdev > 0 and _period_rows >= 3"
-    ).where(F.col("cohort_stdev") > floor).drop("_rows", "_period_rows")
+    ).where(reachable).where(F.col("cohort_stdev") > floor).drop("_rows", "_period_rows")
     return lines.where("intensity is not null").join(usable, COHORT).withColumn(
         "z_score", F.abs(F.col("intensity") - F.col("cohort_mean")) / F.col("cohort_stdev")
     ).where(F.col("z_score") >= zscore_cutoff)
@@ -272,14 +286,21 @@ def anomaly_scan(
     yoy_threshold_pct: str = YOY_DROP_PCT,
     zscore_cutoff: float = ZSCORE_CUTOFF,
     rel_stdev_floor: float = 0.0,
+    comparisons: DataFrame | None = None,
 ) -> DataFrame:
-    """All flags of all entities and years: intensity, omission and yearly variance."""
+    """All flags of all entities and years: intensity, omission and yearly variance. With
+    ``comparisons`` (see ``year_over_year``) only the years that they name are scanned."""
+    yearly = yearly_scopes(ledger)
+    outliers = intensity_flags(ledger, zscore_cutoff, rel_stdev_floor)
+    if comparisons is not None:
+        outliers = outliers.join(comparisons.select("entity_id", F.col("reporting_year").cast(
+            "string").alias("reporting_period")).distinct(), ["entity_id", "reporting_period"])
     by_year = _flag_rows(
-        yoy_changes(year_over_year(yearly_scopes(ledger))),
+        yoy_changes(year_over_year(yearly, comparisons)),
         _omission_flag(), _variance_flag(yoy_threshold_pct, YOY_SURGE_PCT),
     )
-    flags = intensity_flags(ledger, zscore_cutoff, rel_stdev_floor).unionByName(by_year)
-    return flags.select(flag_id(), *FLAG_COLUMNS)
+    return outliers.select(*by_year.columns).unionByName(by_year).select(
+        flag_id(), *FLAG_COLUMNS)
 
 
 def flag_id() -> Column:
@@ -290,17 +311,21 @@ def flag_id() -> Column:
 
 
 def scan_audit(flags: DataFrame, scanned: DataFrame, event_ts: Column) -> DataFrame:
-    """One audit row per scanned (entity_id, reporting_period) with its number of flags."""
+    """One audit row per scanned (entity_id, reporting_period, baseline_period) with its number
+    of flags; a scan without ``baseline_period`` had none."""
+    baseline = (F.col("baseline_period") if "baseline_period" in scanned.columns
+                else F.lit(None).cast("string"))
+    scanned = scanned.select("entity_id", "reporting_period", baseline.alias("baseline_period"))
     counts = flags.groupBy("entity_id", "reporting_period").agg(
         F.count(F.lit(1)).alias("_flags")
     )
-    done = scanned.select("entity_id", "reporting_period").distinct().join(
+    done = scanned.distinct().join(
         counts, ["entity_id", "reporting_period"], "left"
     )
     return audit_rows(
         done, "anomaly_scan", F.col("entity_id"), "ANOMALY_SCAN",
         F.lit("system:anomaly_detector"), event_ts,
-        [F.col("reporting_period").alias("current_period"),
+        [F.col("reporting_period").alias("current_period"), "baseline_period",
          F.coalesce("_flags", F.lit(0)).alias("flags_generated")],
     )
 

@@ -11,10 +11,11 @@ from emberledger.functions.text import fill, fixed_text, signed_fixed_text
 from emberledger.operators.anomalies import TONNES, year_over_year, yearly_scopes
 
 
-def ledger_context(ledger: DataFrame) -> DataFrame:
-    """Total and per-scope emissions per entity and year, beside those of the year before."""
+def ledger_context(ledger: DataFrame, comparisons: DataFrame | None = None) -> DataFrame:
+    """Total and per-scope emissions per entity and year, beside those of the baseline: the year
+    before, or what ``comparisons`` name (see ``anomalies.year_over_year``)."""
 
-    compared = year_over_year(yearly_scopes(ledger)).where("current_rows > 0")
+    compared = year_over_year(yearly_scopes(ledger), comparisons).where("current_rows > 0")
 
     def total(part: str) -> Column:
         return F.sum(f"{part}_tco2e").cast(TONNES)
@@ -23,7 +24,7 @@ def ledger_context(ledger: DataFrame) -> DataFrame:
         value = F.when(F.col("scope") == s, F.col(f"{part}_scoped_tco2e"))
         return F.coalesce(F.sum(value), F.lit(0)).cast(TONNES)
 
-    df = compared.groupBy("entity_id", "reporting_year").agg(
+    df = compared.groupBy("entity_id", "reporting_year", "baseline_year").agg(
         total("current").alias("total_tco2e"),
         *[of_scope("current", s).alias(f"scope{s}_tco2e") for s in (1, 2, 3)],
         total("prior").alias("base_total_tco2e"),
@@ -40,7 +41,7 @@ def ledger_context(ledger: DataFrame) -> DataFrame:
 
 
 def context_text() -> Column:
-    """The figures of a context row in words."""
+    """The figures of a context row in words; without a baseline, of the year alone."""
 
     def words(prefix: str, year: Column) -> dict[str, Column]:
         return {
@@ -53,7 +54,7 @@ def context_text() -> Column:
     return F.concat_ws(
         "\n",
         fill(messages.CONTEXT_CURRENT, **words("", year)),
-        fill(messages.CONTEXT_BASELINE, **words("base_", year - 1),
+        fill(messages.CONTEXT_BASELINE, **words("base_", F.col("baseline_year")),
              change=pct_text(F.col("ledger_pct_change"))),
     )
 
@@ -65,19 +66,25 @@ def pct_text(pct: Column) -> Column:
 def check_narratives(narratives: DataFrame, context: DataFrame) -> DataFrame:
     """First percentage claim of each narrative, its verdict and what the ledger says.
 
-    Columns of ``narratives``: narrative_id, entity_id, reporting_year, narrative. A claim
-    above 20 % is flagged; the change in the ledger stands beside it for the auditor.
+    Columns of ``narratives``: narrative_id, entity_id, reporting_year, narrative, and
+    baseline_year if the context holds more than one comparison of a year. A claim above 20 % is
+    flagged; the change in the ledger stands beside it for the auditor.
     """
+    keys = ["entity_id", "reporting_year"]
+    base = ["baseline_year"] if "baseline_year" in narratives.columns else []
+    ledger = context.select(*keys, *base, "ledger_pct_change").select(
+        *[F.col(c).alias(f"_{c}") for c in [*keys, *base]], "ledger_pct_change")
     claim = F.regexp_extract("narrative", NARRATIVE_CLAIM_PATTERN, 1)
     value = F.regexp_extract("narrative", NARRATIVE_CLAIM_PATTERN, 2)
     found = narratives.select(
-        "narrative_id", "entity_id", "reporting_year",
+        "narrative_id", *keys, *base,
         F.nullif(claim, F.lit("")).alias("claim_text"),
         value.try_cast("double").alias("claimed_pct"),
     )
     too_good = F.col("claimed_pct") > NARRATIVE_MAX_SUPPORTED_PCT
-    return found.join(context, ["entity_id", "reporting_year"], "left").select(
-        "narrative_id", "entity_id", "reporting_year", "claim_text", "claimed_pct",
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, *base]]
+    return found.join(ledger, same, "left").select(
+        "narrative_id", *keys, *base, "claim_text", "claimed_pct",
         F.when(F.col("claim_text").isNotNull(),
                F.when(too_good, F.lit("POTENTIAL_GREENWASHING")).otherwise(F.lit("SUPPORTED")))
         .alias("verdict"),

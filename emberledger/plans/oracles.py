@@ -889,6 +889,74 @@ _oracle("q_narrative_claims", f"""
     FROM cl LEFT JOIN ctx ON ctx.entity_id = cl.entity_id
       AND ctx.reporting_year = cl.reporting_year""")
 
+_CHOSEN = """cmp AS (SELECT DISTINCT entity_id, year(period_start) AS yr,
+      CASE year(period_start) % 3 WHEN 1 THEN year(period_start) - 2 WHEN 2 THEN 1995 END AS base
+    FROM tam)"""
+_BOTH = """both_years AS (
+      SELECT c.entity_id, c.yr, c.base, b.scope, b.t, COALESCE(n.t, 0) AS ct, n.t IS NULL AS gone,
+        CAST(COALESCE(n.t, 0) - b.t AS DOUBLE) / CAST(b.t AS DOUBLE) * 100 AS pct,
+        CASE WHEN b.q > 0 THEN CAST(COALESCE(n.q, 0) - b.q AS DOUBLE) / CAST(b.q AS DOUBLE) * 100
+          ELSE 0 END AS act
+      FROM cmp c JOIN yearly b ON b.entity_id = c.entity_id AND b.yr = c.base
+        LEFT JOIN yearly n ON n.entity_id = c.entity_id AND n.yr = c.yr AND n.scope = b.scope
+      WHERE b.t > 0 AND EXISTS (SELECT 1 FROM yearly z WHERE z.entity_id = c.entity_id
+        AND z.yr = c.yr)),
+    varied AS (SELECT * FROM both_years WHERE (pct <= -50 AND act > pct / 2)
+      OR (pct > -50 AND pct >= 100 AND act < pct / 2))"""
+_oracle("q_yoy_chosen", f"""
+    WITH {_with("", "tam", "yearly")[5:]}, {_CHOSEN}, {_BOTH}
+    SELECT entity_id, CAST(yr AS VARCHAR) AS reporting_period,
+      CASE WHEN pct <= -50 THEN 'YOY_DROP' ELSE 'YOY_SPIKE' END AS flag_type,
+      'scope-' || scope AS subject_id,
+      CASE WHEN pct <= -70 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
+      CASE WHEN pct <= -50
+        THEN {_say(m.DROP_TEXT, size=_fixed('abs(pct)', 1), scope='scope',
+                   activity=_fixed('act', 1), prior=_fixed('t', 2), current=_fixed('ct', 2))}
+        ELSE {_say(m.SURGE_TEXT, size=_fixed('abs(pct)', 1), scope='scope',
+                   activity=_fixed('act', 1))} END AS description,
+      CAST(base AS VARCHAR) AS baseline_period, CAST(t AS DOUBLE) AS prior_tco2e,
+      CAST(ct AS DOUBLE) AS current_tco2e
+    FROM varied
+    UNION ALL SELECT entity_id, CAST(yr AS VARCHAR), 'SCOPE_INCOMPLETENESS', 'scope-' || scope,
+      'CRITICAL', {_say(m.OMISSION_TEXT, scope='scope', baseline='base', prior=_fixed('t', 2),
+                        year='yr')}, CAST(base AS VARCHAR), CAST(t AS DOUBLE), 0
+    FROM both_years WHERE gone""")
+_oracle("q_scan_audit", f"""
+    WITH {_with("", "tam", "yearly", "out")[5:]}, {_CHOSEN}, {_BOTH},
+    found AS (SELECT entity_id, CAST(yr AS VARCHAR) AS p FROM varied
+      UNION ALL SELECT entity_id, CAST(yr AS VARCHAR) FROM both_years WHERE gone
+      UNION ALL SELECT entity_id, reporting_period FROM out)
+    SELECT 'anomaly_scan' AS entity_type, entity_id, 'ANOMALY_SCAN' AS action,
+      'system:anomaly_detector' AS actor, CAST(yr AS VARCHAR) AS current_period,
+      CAST(base AS VARCHAR) AS baseline_period,
+      (SELECT count(*) FROM found f WHERE f.entity_id = c.entity_id AND p = CAST(c.yr AS VARCHAR))
+        AS flags_generated
+    FROM cmp c""")
+_oracle("q_context_chosen", f"""
+    WITH {_with("", "tam", "yearly")[5:]}, {_CHOSEN}, {_TOT},
+    ctx AS (SELECT c.entity_id, c.yr, c.base, n.t, n.t1, n.t2, n.t3, COALESCE(p.t, 0) AS b,
+        COALESCE(p.t1, 0) AS b1, COALESCE(p.t2, 0) AS b2, COALESCE(p.t3, 0) AS b3,
+        CASE WHEN p.t > 0 THEN CAST(n.t - p.t AS DOUBLE) / CAST(p.t AS DOUBLE) * 100 END AS pct
+      FROM cmp c JOIN tot n ON n.entity_id = c.entity_id AND n.yr = c.yr
+        LEFT JOIN tot p ON p.entity_id = c.entity_id AND p.yr = c.base)
+    SELECT entity_id, CAST(yr AS BIGINT) AS reporting_year, CAST(base AS BIGINT) AS baseline_year,
+      {_say(m.CONTEXT_CURRENT, year='yr', total=_fixed('t', 2), s1=_fixed('t1', 2),
+            s2=_fixed('t2', 2), s3=_fixed('t3', 2))} ||
+      CASE WHEN base IS NULL THEN '' ELSE chr(10) ||
+      {_say(m.CONTEXT_BASELINE, year='base', total=_fixed('b', 2), s1=_fixed('b1', 2),
+            s2=_fixed('b2', 2), s3=_fixed('b3', 2), change=_PCT)} END AS data_context
+    FROM ctx""")
+_oracle("q_narrative_flags", """
+    SELECT CAST(doc_id AS VARCHAR) AS subject_id,
+      ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][doc_id % 5 + 1]
+        AS entity_id, CAST(doc_id % 6 + 1996 AS VARCHAR) AS reporting_period,
+      CASE WHEN claim > 20 THEN 'NARRATIVE_INCONSISTENCY' WHEN claim IS NULL THEN 'NO_CLAIM'
+        ELSE 'SUPPORTED' END AS flag_type,
+      CASE WHEN claim > 20 THEN 'CRITICAL' ELSE 'NONE' END AS severity,
+      CASE WHEN claim > 20 THEN 'OPEN' ELSE 'CLEAN' END AS status, claim AS metric
+    FROM (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id % 60 AS DOUBLE) END AS claim
+      FROM documents)""")
+
 # -- streaming -------------------------------------------------------------------------
 
 _oracle("q_stream_scope_totals", """

@@ -772,7 +772,70 @@ def q_ledger_context(t: Testbed) -> DataFrame:
     context = narrative.ledger_context(t.tampered())
     return context.select(
         "*", narrative.context_text().alias("data_context")
-    ).withColumn("ledger_pct_change", F.round(F.col("ledger_pct_change").cast("double"), 6))
+    ).drop("baseline_year").withColumn("ledger_pct_change", F.round(F.col("ledger_pct_change").cast("double"), 6))
+
+
+def _chosen_baselines(t: Testbed) -> DataFrame:
+    """Two years in three have a baseline of their own, neither of them the year before."""
+    year = F.col("reporting_year")
+    return t.tampered().select("entity_id", F.year("period_start").alias("reporting_year")).distinct(
+    ).withColumn("baseline_year", F.when(year % 3 == 1, year - 2).when(year % 3 == 2, F.lit(1995)))
+
+
+@_query
+def q_yoy_chosen(t: Testbed) -> DataFrame:
+    """Variance and omission against chosen baselines, with their details."""
+    yearly = anomalies.yearly_scopes(t.tampered())
+    chosen = _chosen_baselines(t)
+    flags = anomalies.yoy_flags(yearly, comparisons=chosen).unionByName(
+        anomalies.omission_flags(yearly, chosen))
+    return flags.select(
+        "entity_id", "reporting_period", "flag_type", "subject_id", "severity", "description",
+        F.get_json_object("details_json", "$.baseline_period").alias("baseline_period"),
+        F.get_json_object("details_json", "$.prior_tco2e").cast("double").alias("prior_tco2e"),
+        F.get_json_object("details_json", "$.current_tco2e").cast("double").alias("current_tco2e"),
+    )
+
+
+@_query
+def q_scan_audit(t: Testbed) -> DataFrame:
+    """Audit rows of scans against chosen baselines or none."""
+    chosen = _chosen_baselines(t)
+    flags = anomalies.anomaly_scan(
+        t.tampered(), rel_stdev_floor=STDEV_FLOOR, comparisons=chosen)
+    scanned = chosen.select("entity_id", F.col("reporting_year").cast("string").alias(
+        "reporting_period"), F.col("baseline_year").cast("string").alias("baseline_period"))
+    audit_log = anomalies.scan_audit(flags, scanned, F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    return audit_log.select(
+        "entity_type", "entity_id", "action", "actor",
+        *[F.get_json_object("detail", f"$.{c}").alias(c)
+          for c in ("current_period", "baseline_period")],
+        F.get_json_object("detail", "$.flags_generated").cast("bigint").alias("flags_generated"))
+
+
+@_query
+def q_context_chosen(t: Testbed) -> DataFrame:
+    context = narrative.ledger_context(t.tampered(), _chosen_baselines(t))
+    return context.select("entity_id", "reporting_year", "baseline_year",
+                          narrative.context_text().alias("data_context"))
+
+
+@_query
+def q_narrative_flags(t: Testbed) -> DataFrame:
+    """Flags of the narratives that claim too much; every third narrative claims nothing."""
+    told = t.narratives().withColumn("narrative", F.when(
+        F.col("narrative_id") % 3 == 0, F.lit("We kept our promises.")).otherwise(
+        F.col("narrative")))
+    context = narrative.ledger_context(t.tampered())
+    checked = narrative.check_narratives(told, context)
+    flags = narrative.narrative_flags(checked).select(
+        "subject_id", "entity_id", "reporting_period", "flag_type", "severity", "status", "metric")
+    clean = checked.where("overall_status = 'CLEAN'").select(
+        F.col("narrative_id").cast("string").alias("subject_id"), "entity_id",
+        F.col("reporting_year").cast("string").alias("reporting_period"),
+        F.coalesce("verdict", F.lit("NO_CLAIM")).alias("flag_type"), F.lit("NONE").alias("severity"),
+        F.lit("CLEAN").alias("status"), F.col("claimed_pct").alias("metric"))
+    return flags.unionByName(clean)
 
 
 @_query
