@@ -171,12 +171,9 @@ def bill_lines(headed: DataFrame, key: str = "doc_id", pivot_year: int = 2025) -
     lines = pages.select(
         "*", F.posexplode(F.split("_text", LINE_BREAK, -1)).alias("_line", "_raw")
     ).drop("_text").withColumn("_raw", strip(F.col("_raw")))
-    readings = lines.withColumn("_readings", consumption_readings(F.col("_raw"))).where(
-        F.size("_readings") > 0
-    )
     unit_of, activity_of = bill_units()
-    found = readings.select(
-        "*", F.posexplode("_readings").alias("_n", "_r")
+    found = lines.select(
+        "*", F.posexplode(consumption_readings(F.col("_raw"))).alias("_n", "_r")
     ).where(F.col("_r.quantity").isNotNull() & unit_of[F.col("_r.spelling")].isNotNull())
     own = detect_line_period(F.col("_raw"), pivot_year)
     return found.withColumn("_own", own).select(

@@ -213,6 +213,20 @@ def review_audit(reviewed: DataFrame) -> DataFrame:
     )
 
 
+def benchmark(predicted: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """Accuracy and confusion by labelled scope, from one join and one aggregation."""
+    counts = predicted.join(expected, key).groupBy("expected_scope", "scope").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("ghg_category") == F.col("expected_category")).alias("same_category"))
+    return counts.groupBy("expected_scope").agg(
+        F.sum("n").alias("items"),
+        (F.coalesce(F.sum(F.when(F.col("scope") == F.col("expected_scope"), F.col("n"))),
+                    F.lit(0)) / F.sum("n")).alias("scope_accuracy"),
+        (F.sum("same_category") / F.sum("n")).alias("category_accuracy"),
+        *[F.coalesce(F.sum(F.when(F.col("scope") == s, F.col("n"))), F.lit(0))
+          .alias(f"predicted_scope_{s}") for s in TAXONOMY])
+
+
 def classifier_accuracy(predicted: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Scope and category accuracy against labels ``(key, expected_scope, expected_category)``."""
     joined = predicted.join(expected, key)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from emberledger.constants import FRAMEWORK_TITLES
 from emberledger.operators.audit import audit_rows
 from emberledger.operators.inventory import SCOPES, TOTAL, scope_or_three
+from emberledger.operators.ledger import answer_requests
 
 REQUEST = ["entity_id", "framework", "reporting_period"]
 
@@ -100,23 +101,9 @@ def requested_lines(ledger: DataFrame, requests: DataFrame) -> DataFrame:
     A period selects the start year of the activities; a quarter selects its whole year. A
     request that matches nothing falls back to all rows of the entity.
     """
-    wanted = requests.select(*REQUEST).distinct().withColumn(
-        "_year",
-        F.when(F.rlike("reporting_period", F.lit(r"^\d{4}(-Q[1-4])?$")),
-               F.substring("reporting_period", 1, 4).cast("int")),
-    )
-    rows = labelled(ledger)
-    years = rows.select("entity_id", "reporting_year").distinct()
-    answered = wanted.join(years, "entity_id").groupBy(*REQUEST, "_year").agg(
-        F.coalesce(F.bool_or(F.col("_year") == F.col("reporting_year")), F.lit(False))
-        .alias("_answered")
-    )
-    return (
-        rows.join(answered, "entity_id")
-        .where((F.col("_year") == F.col("reporting_year")) | ~F.col("_answered"))
-        .select(disclosure_id(), *REQUEST, "scope", "ghg_category", "calculation_id",
-                "result_tco2e")
-    )
+    rows = answer_requests(labelled(ledger), requests.select(*REQUEST), "start_year", True)
+    return rows.select(disclosure_id(), *REQUEST, "scope", "ghg_category", "calculation_id",
+                       "result_tco2e")
 
 
 def disclosure_rows(lines: DataFrame, requests: DataFrame) -> DataFrame:

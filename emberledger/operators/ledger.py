@@ -45,56 +45,58 @@ def by_overlap_year(ledger: DataFrame) -> DataFrame:
     )
 
 
-def in_period(period: Column, start: Column, end: Column, mode: str) -> Column:
-    """Does an activity fall into ``period``?
+def period_keys(start: Column, end: Column, mode: str) -> Column:
+    """The periods, as text, that an activity is selected by.
 
-    ``overlap_year``: the period is the year of the start or of the end.
-    ``start_year``: the period is the year of the start, or any quarter ``Y-Qn`` of it.
-    ``quarter``: like ``start_year``, but a quarter selects only its own activities.
+    ``overlap_year``: the years of its start and of its end. ``start_year``: the year of its
+    start; a request for a quarter ``Y-Qn`` counts as one for its year. ``quarter``: the year and
+    the quarter of its start.
     """
     year = F.year(start).cast("string")
     if mode == "overlap_year":
-        return (period == year) | (period == F.year(end).cast("string"))
+        return F.array_compact(F.array_distinct(F.array(year, F.year(end).cast("string"))))
     if mode == "start_year":
-        return F.rlike(period, F.lit(r"^\d{4}(-Q[1-4])?$")) & (F.substring(period, 1, 4) == year)
+        return F.array_compact(F.array(year))
     if mode == "quarter":
-        return (period == year) | (
-            period == F.concat(year, F.lit("-Q"), F.quarter(start).cast("string"))
-        )
+        return F.array_compact(F.array(
+            year, F.concat(year, F.lit("-Q"), F.quarter(start).cast("string"))))
     raise ValueError(f"unknown period mode {mode!r}")
 
 
+def request_key(period: Column, mode: str) -> Column:
+    """The period key that a request asks for; null for a text that is none."""
+    if mode != "start_year":
+        return period
+    return F.when(F.rlike(period, F.lit(r"^\d{4}(-Q[1-4])?$")), F.substring(period, 1, 4))
+
+
+def answer_requests(
+    ledger: DataFrame, requests: DataFrame, mode: str, fallback_all: bool
+) -> DataFrame:
+    """Ledger rows with the columns of the requests that they answer, and ``is_fallback``.
+
+    Rows meet requests of their entity and period alone. With ``fallback_all`` the requests that
+    no row answers, and only they, meet all rows of their entity.
+    """
+    wanted = requests.distinct().withColumn("_key", request_key(F.col("reporting_period"), mode))
+    keyed = ledger.withColumn(
+        "_key", F.explode(period_keys(F.col("period_start"), F.col("period_end"), mode)))
+    hits = keyed.join(wanted, ["entity_id", "_key"]).drop("_key").withColumn(
+        "is_fallback", F.lit(False))
+    if not fallback_all:
+        return hits
+    known = keyed.select("entity_id", "_key").distinct()
+    unanswered = wanted.join(known, ["entity_id", "_key"], "left_anti").drop("_key")
+    return hits.unionByName(
+        ledger.join(unanswered, "entity_id").withColumn("is_fallback", F.lit(True)))
+
+
 def select_period(
     ledger: DataFrame, requests: DataFrame, mode: str = "start_year", fallback_all: bool = False
 ) -> DataFrame:
-    """Ledger rows of each requested (entity_id, reporting_period).
+    """Ledger rows of each requested (entity_id, reporting_period), see ``period_keys``.
 
     With ``fallback_all`` a request that matches nothing gets every row of its entity.
-    Whether a request matches is a per-request aggregate that is joined back, so an entity
-    of any size stays spread over many tasks.
     """
-    hit = in_period(
-        F.col("reporting_period"), F.col("period_start"), F.col("period_end"), mode
-    )
-    wanted = requests.select("entity_id", "reporting_period").distinct()
-    if not fallback_all:
-        return ledger.join(wanted, "entity_id").where(hit).withColumn("is_fallback", F.lit(False))
-    periods = (
-        ledger.select("entity_id", "period_start", "period_end")
-        .withColumn("_y", F.year("period_start"))
-        .withColumn("_q", F.quarter("period_start"))
-        .withColumn("_e", F.year("period_end"))
-        .groupBy("entity_id", "_y", "_q", "_e")
-        .agg(F.min("period_start").alias("period_start"), F.min("period_end").alias("period_end"))
-    )
-    answered = (
-        periods.join(wanted, "entity_id")
-        .groupBy("entity_id", "reporting_period")
-        .agg(F.bool_or(hit).alias("_answered"))
-    )
-    return (
-        ledger.join(answered, "entity_id")
-        .where(hit | ~F.col("_answered"))
-        .withColumn("is_fallback", ~F.col("_answered"))
-        .drop("_answered")
-    )
+    wanted = requests.select("entity_id", "reporting_period")
+    return answer_requests(ledger, wanted, mode, fallback_all)

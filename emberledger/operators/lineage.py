@@ -38,16 +38,9 @@ def trace(
     )
 
 
-def trace_events(
-    traced: DataFrame, audit_log: DataFrame, carry: Sequence[str] = ()
-) -> DataFrame:
-    """Audit events of each traced calculation: its own, its activity's and its document's.
-
-    One row per calculation and event, in place of a list per calculation: the three kinds of
-    subject are unpivoted so that a single equi join with the log finds them all. Columns to
-    ``carry`` along spare a join of the events back to the trace.
-    """
-    subjects = traced.select(
+def trace_subjects(traced: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """What the log may speak of for each calculation: itself, its activity, its document."""
+    return traced.select(
         "calculation_id", *carry,
         F.explode(
             F.array_compact(
@@ -65,12 +58,44 @@ def trace_events(
             )
         ).alias("s"),
     ).select("calculation_id", *carry, "s.*")
+
+
+def trace_events(
+    traced: DataFrame, audit_log: DataFrame, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Audit events of each traced calculation: its own, its activity's and its document's.
+
+    One row per calculation and event, in place of a list per calculation: the three kinds of
+    subject are unpivoted so that a single equi join with the log finds them all. Columns to
+    ``carry`` along spare a join of the events back to the trace.
+    """
+    subjects = trace_subjects(traced, carry)
     log = audit_log.select(
         F.col("entity_id").alias("subject_id"), "action", "actor", "event_ts"
     )
     return subjects.join(log, "subject_id")
 
 
+def trace_summary(
+    traced: DataFrame, audit_log: DataFrame, linked: DataFrame
+) -> DataFrame:
+    """One row per traced calculation: what it rests on, how many audit events its subjects have
+    and when the last was, and the disclosures that cite it. Events are counted per subject
+    before they meet the calculations, so a document with many of both multiplies nothing."""
+    events = audit_log.groupBy(F.col("entity_id").alias("subject_id")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("event_ts").alias("_last"))
+    subjects = trace_subjects(traced).join(events, "subject_id").groupBy("calculation_id").agg(
+        F.sum("_n").alias("event_count"), F.max("_last").alias("last_event_ts"))
+    cited = linked.groupBy("calculation_id").agg(
+        F.count(F.lit(1)).alias("disclosure_count"),
+        F.min("disclosure_id").alias("first_disclosure_id"))
+    return traced.select(
+        "calculation_id", "activity_id", "factor_source", "filename", "document_status",
+    ).join(subjects, "calculation_id", "left").join(cited, "calculation_id", "left").withColumns({
+        "event_count": F.coalesce("event_count", F.lit(0)),
+        "disclosure_count": F.coalesce("disclosure_count", F.lit(0))})
+
+
 def linked_disclosures(lines: DataFrame, disclosures: DataFrame) -> DataFrame:
     """Disclosures that cite a calculation, one row per pair."""
     return lines.select("calculation_id", "disclosure_id").distinct().join(

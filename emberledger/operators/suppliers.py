@@ -60,8 +60,12 @@ def outreach_drafts(requests: DataFrame) -> DataFrame:
     """Outreach drafts for a table of requests.
 
     Columns of ``requests``: the gap key, supplier_name, template_type, custom_subject and
-    custom_body; a custom text wins over the template.
+    custom_body; a custom text wins over the template. ``supplier_email`` and ``contact_name``
+    come along where the requests have them.
     """
+    def recipient(c: str) -> Column:
+        return (F.col(c) if c in requests.columns else F.lit(None).cast("string")).alias(c)
+
     named = requests.withColumn(
         "_name",
         F.coalesce(F.when(F.col("supplier_name") != "", F.col("supplier_name")), "supplier_ref"),
@@ -72,7 +76,8 @@ def outreach_drafts(requests: DataFrame) -> DataFrame:
 
     return named.select(
         F.md5(F.concat_ws("|", *GAP, "template_type")).alias("outreach_id"),
-        *GAP, "supplier_name", "template_type",
+        *GAP, "supplier_name", recipient("supplier_email"), recipient("contact_name"),
+        "template_type",
         custom_or("custom_subject", _letter(0)).alias("subject"),
         custom_or("custom_body", _letter(1)).alias("body"),
         F.lit("DRAFT").alias("status"),
@@ -118,21 +123,26 @@ def outreach_state(actions: DataFrame) -> DataFrame:
     )
 
 
-def outreach_audit(actions: DataFrame) -> DataFrame:
-    """Audit row of every outreach action."""
+def outreach_audit(actions: DataFrame, drafts: DataFrame) -> DataFrame:
+    """Audit row of every outreach action, with what it was about: the recipient of a draft, the
+    time of sending, the answer with the time it was recorded."""
     action = (
         F.when(F.col("action") == "RESPOND", F.lit("RECORD_SUPPLIER_PRIMARY_DATA"))
         .when(F.col("action") == "SEND", F.lit("DISPATCH_SUPPLIER_OUTREACH"))
         .otherwise(F.lit("CREATE_SUPPLIER_OUTREACH"))
     )
+    at = F.date_format("action_ts", "yyyy-MM-dd'T'HH:mm:ss")
     answer = F.struct(
-        "primary_factor_value", "primary_factor_unit", "verified_quantity", "response_notes"
+        "primary_factor_value", "primary_factor_unit", "verified_quantity", "response_notes",
+        at.alias("recorded_at"),
     )
-    return actions.select(
+    draft = F.struct("supplier_ref", "supplier_email", "template_type")
+    about = drafts.select("outreach_id", "supplier_ref", "supplier_email", "template_type")
+    return actions.join(about, "outreach_id", "left").select(
         F.lit("supplier_outreach").alias("entity_type"), F.col("outreach_id").alias("entity_id"),
         action.alias("action"), F.lit("outreach_agent").alias("actor"),
         F.col("action_ts").alias("event_ts"),
         F.when(F.col("action") == "RESPOND", F.to_json(answer))
-        .otherwise(F.to_json(F.struct(F.col("action_ts").cast("string").alias("at"))))
-        .alias("detail"),
+        .when(F.col("action") == "SEND", F.to_json(F.struct(at.alias("sent_at"))))
+        .otherwise(F.to_json(draft)).alias("detail"),
     )

@@ -1103,3 +1103,36 @@ _oracle("q_bill_lines", f"""
         {{'raw_line_ref': 'page:1,line:7', 'reading_no': 2, 'activity_type': 'freight_road',
           'quantity': CAST(doc_id % 70 + 2 AS DOUBLE), 'unit': 'tonne.km'}}], recursive := true)
       FROM b)""")
+
+_oracle("q_outreach_audit", f"""
+    WITH {_with("", "led")[5:]},
+    d AS (SELECT *, md5(entity_id || '|' || reporting_period || '|' || supplier_ref || '|'
+        || activity_type || '|REDUCTION_PLEDGE') AS outreach_id, 'Desk of ' || entity_id AS contact
+      FROM ({_GAPS}) WHERE line_item_count > 1)
+    SELECT 'supplier_outreach' AS entity_type, outreach_id AS entity_id,
+      'CREATE_SUPPLIER_OUTREACH' AS action, 'outreach_agent' AS actor,
+      '2025-03-01 08:00:00' AS event_ts, '{{"supplier_ref":"' || supplier_ref
+        || '","supplier_email":"esg@' || lower(supplier_ref)
+        || '.example","template_type":"REDUCTION_PLEDGE"}}' AS detail, contact AS contact_name FROM d
+    UNION ALL SELECT 'supplier_outreach', outreach_id, 'DISPATCH_SUPPLIER_OUTREACH',
+      'outreach_agent', '2025-03-02 08:00:00', '{{"sent_at":"2025-03-02T08:00:00"}}', contact FROM d
+    UNION ALL SELECT 'supplier_outreach', outreach_id, 'RECORD_SUPPLIER_PRIMARY_DATA',
+      'outreach_agent', '2025-03-03 08:00:00', '{{"primary_factor_value":"0.25","primary_factor_unit":'
+        || '"kgCO2e/kg","verified_quantity":"100","response_notes":"audited","recorded_at":'
+        || '"2025-03-03T08:00:00"}}', contact FROM d WHERE entity_id = 'BUILDING'""")
+_oracle("q_trace_whole", """
+    SELECT calculation_id, activity_id, f_source AS factor_source, filename,
+      d.status AS document_status, COALESCE(n, 0) AS event_count,
+      strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_event_ts,
+      CAST(line_status = 'F' AS BIGINT) AS disclosure_count,
+      CASE WHEN line_status = 'F' THEN md5(led.entity_id || '|GHG_PROTOCOL|' || yr) END
+        AS first_disclosure_id
+    FROM led LEFT JOIN docs d ON d.document_id = led.source_document_id
+      LEFT JOIN (SELECT 'doc-' || event_id AS id, count(*) AS n, max(ts) AS ts FROM events
+        GROUP BY 1) e ON e.id = d.document_id""", "led", "docs")
+_oracle("q_stored_ledger", """
+    SELECT calculation_id, activity_id, factor_id, f_source AS factor_source, entity_id,
+      CAST(scope AS BIGINT) AS scope, ghg_category, CAST(result_tco2e AS DOUBLE) AS result_tco2e
+    FROM led""", "led")
+_oracle("q_pending_activities", """
+    SELECT activity_id, entity_id, status FROM cls WHERE status = 'pending_review'""", "cls")

@@ -385,9 +385,7 @@ def _labels(t: Testbed) -> DataFrame:
 @_query
 def q_classify_accuracy(t: Testbed) -> DataFrame:
     predicted, expected = t.classified(), _labels(t)
-    accuracy = classification.classifier_accuracy(predicted, expected, "activity_id")
-    confusion = classification.confusion_matrix(predicted, expected, "activity_id")
-    return accuracy.join(confusion, "expected_scope").withColumns(
+    return classification.benchmark(predicted, expected, "activity_id").withColumns(
         {c: F.round(c, 6) for c in ("scope_accuracy", "category_accuracy")}
     )
 
@@ -667,6 +665,36 @@ def q_trace(t: Testbed) -> DataFrame:
     return lineage.trace_events(traced, log, facts).drop("subject_id")
 
 
+@_query
+def q_trace_whole(t: Testbed) -> DataFrame:
+    """How much every traced calculation rests on: its subjects' events and its disclosures,
+    for calculations without either as well; the disclosure with the least id by name."""
+    calcs = t.computed().where("calc_status = 'computed'").select(
+        "calculation_id", "activity_id", "factor_id", "result_tco2e")
+    traced = lineage.trace(calcs, t.activities(), t.factors(), t.documents())
+    table = disclosures.disclosure_rows(
+        disclosures.requested_lines(t.ledger(), t.disclosure_requests()), t.disclosure_requests())
+    return lineage.trace_summary(
+        traced, t.audit_log(), lineage.linked_disclosures(t.disclosure_lines(), table))
+
+
+@_query
+def q_stored_ledger(t: Testbed) -> DataFrame:
+    """The ledger joined from its stored tables: calculation, activity and factor."""
+    computed = t.computed()
+    calcs = emissions.calculations(computed, "calc_engine_v1", F.col("created_at"))
+    rows = ledger.join_ledger(calcs, t.classified(), t.factors())
+    return rows.select("calculation_id", "activity_id", "factor_id", "factor_source", "entity_id",
+                       "scope", "ghg_category", "result_tco2e")
+
+
+@_query
+def q_pending_activities(t: Testbed) -> DataFrame:
+    """Activities that wait for a review."""
+    return classification.pending_activities(t.classified()).select(
+        "activity_id", "entity_id", "status")
+
+
 @_query
 def q_calc_deletable(t: Testbed) -> DataFrame:
     return lineage.calculation_deletable(
@@ -926,7 +954,36 @@ def q_outreach_drafts(t: Testbed) -> DataFrame:
         .alias("custom_subject"),
         F.lit(None).cast("string").alias("custom_body"),
     )
-    return suppliers.outreach_drafts(requests)
+    return suppliers.outreach_drafts(requests).drop("supplier_email", "contact_name")
+
+
+@_query
+def q_outreach_audit(t: Testbed) -> DataFrame:
+    """Every outreach of a supplier's main gap is drafted to a recipient, sent, and answered by
+    some; each step leaves its audit row."""
+    gaps = suppliers.supplier_gaps(t.ledger()).where("line_item_count > 1")
+    drafts = suppliers.outreach_drafts(gaps.select(
+        *suppliers.GAP, F.lit(None).cast("string").alias("supplier_name"),
+        F.concat(F.lit("esg@"), F.lower("supplier_ref"), F.lit(".example")).alias("supplier_email"),
+        F.concat(F.lit("Desk of "), "entity_id").alias("contact_name"),
+        F.lit("REDUCTION_PLEDGE").alias("template_type"),
+        F.lit(None).cast("string").alias("custom_subject"),
+        F.lit(None).cast("string").alias("custom_body")))
+    steps = F.filter(
+        F.array(F.lit("CREATE"), F.lit("SEND"),
+                F.when(F.col("entity_id") == "BUILDING", F.lit("RESPOND"))),
+        lambda x: x.isNotNull())
+    answered = F.col("action") == "RESPOND"
+    actions = drafts.select("outreach_id", F.posexplode(steps).alias("nth", "action")).select(
+        "outreach_id", "action",
+        F.expr("timestamp'2025-03-01 08:00:00' + make_interval(0, 0, 0, nth)").alias("action_ts"),
+        F.when(answered, F.lit("0.25")).alias("primary_factor_value"),
+        F.when(answered, F.lit("kgCO2e/kg")).alias("primary_factor_unit"),
+        F.when(answered, F.lit("100")).alias("verified_quantity"),
+        F.when(answered, F.lit("audited")).alias("response_notes"))
+    log = suppliers.outreach_audit(actions, drafts)
+    return log.join(drafts.select(F.col("outreach_id").alias("entity_id"), "contact_name"),
+                    "entity_id")
 
 
 @_query
