@@ -2,7 +2,8 @@
 
 Files are read as lines, so large ones stay splittable, and any mix of layouts is read in one
 job: delimiter, encoding and column mapping are found per file from its first lines and
-joined to the lines of the file. A quoted cell may hold delimiters but not line breaks.
+joined to the lines of the file. A file with a line of unbalanced quotes has cells with line
+breaks; such files are read whole, one by one, and cut into records.
 """
 
 from __future__ import annotations
@@ -49,6 +50,27 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Records of files read whole: they end at line breaks outside quotes."""
+    whole = spark.read.text(paths, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file_id"), "value")
+    record = F.lit(r'(?:[^"\r\n]|"(?:[^"]|"")*(?:"|\z))+')
+    return whole.select(
+        "file_id", F.lit(0).cast("bigint").alias("_block"),
+        F.posexplode(F.regexp_extract_all("value", record, F.lit(0))).alias("_pos", "value"),
+    ).withColumn("_pos", F.col("_pos").cast("bigint"))
+
+
+def _rows(spark: SparkSession, paths) -> DataFrame:
+    """Lines, and records of the files whose cells hold line breaks."""
+    lines = _lines(spark, paths)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = [r.file_id for r in lines.where(quotes % 2 == 1).select("file_id").distinct().collect()]
+    if not broken:
+        return lines
+    return lines.where(~F.col("file_id").isin(broken)).unionByName(_records(spark, broken))
+
+
 def _decoded(value: Column, is_utf8: Column) -> Column:
     return F.when(is_utf8, value).otherwise(F.decode(value.cast("binary"), "ISO-8859-1"))
 
@@ -124,7 +146,7 @@ def read_delimited(
     default_geography: str = DEFAULT_GEOGRAPHY,
 ) -> DelimitedRead:
     """Read activity exports; the path of a file is the id of its document."""
-    lines = _lines(spark, paths)
+    lines = _rows(spark, paths)
     heads = sniff(lines)
     headers = heads.select(
         "file_id", F.posexplode("header_cells").alias("pos", "header")
@@ -149,7 +171,11 @@ def read_delimited(
         )
         .where(F.exists("_cells", lambda c: c != ""))
     )
-    numbered = _number_rows(data)
+    # Only rows without a line reference of their own have to be counted.
+    numbered = _number_rows(data.where(F.col("_p_raw_line_ref").isNull())).unionByName(
+        data.where(F.col("_p_raw_line_ref").isNotNull()).withColumns(
+            {"_n": F.lit(None).cast("int"), "_offset": F.lit(None).cast("bigint"),
+             "row_no": F.lit(None).cast("bigint")}))
     raw = numbered.select(
         F.col("file_id").alias("document_id"), "row_no",
         *[F.get("_cells", F.col(f"_p_{t}")).alias(t) for t in TARGET_FIELDS],
@@ -169,6 +195,18 @@ def read_delimited(
     return DelimitedRead(rows, files)
 
 
+def identified(rows: DataFrame) -> DataFrame:
+    """Rows with an ``activity_id`` of their document and all of their fields. Rows of a document
+    that are equal throughout are told apart by a number; which is which makes no difference."""
+    fields = [c for c in rows.columns if c not in ("document_id", "row_errors")]
+    content = F.md5(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    same = Window.partitionBy("document_id", "_content").orderBy("raw_line_ref")
+    return rows.withColumn("_content", content).withColumn(
+        "_nth", F.row_number().over(same)).select(
+        F.md5(F.concat_ws("|", "document_id", "_content", "_nth")).alias("activity_id"),
+        *rows.columns)
+
+
 def _number_rows(data: DataFrame) -> DataFrame:
     """Ordinal of each row in its file, counted per block so that no file is one group."""
     per_block = data.groupBy("file_id", "_block").agg(F.count(F.lit(1)).alias("_rows"))

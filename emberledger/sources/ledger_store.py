@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberledger.operators.bounds import settled
+
 PARTITIONS = ["period_year", "entity_bucket"]
 ENTITY_BUCKETS = 64
 
@@ -31,20 +33,28 @@ def replace_rows(
 ) -> None:
     """Insert rows in place of stored rows with the same key (recomputed calculations).
 
-    Only the partitions the new rows fall into are read and rewritten. ``df`` is evaluated
-    twice and has to be deterministic; a row must not move to another partition.
+    A row may move to another year or entity: the stored partitions that hold one of the keys are
+    rewritten along with those that the new rows fall into, and no others are. The keys' search
+    reads two columns of the table. What is written is settled on shared storage first, so that
+    the overwrite reads nothing that it replaces.
     """
     rows = with_partitions(df, buckets)
-    touched = rows.select(*PARTITIONS).distinct()
     stored = spark.read.parquet(path)
-    kept = stored.join(F.broadcast(touched), PARTITIONS, "left_semi").join(
-        rows.select(key), key, "left_anti"
-    )
-    merged = kept.unionByName(rows.select(*stored.columns))
+    held = stored.select(key, *PARTITIONS).join(rows.select(key), key, "left_semi")
+    touched = held.select(*PARTITIONS).union(rows.select(*PARTITIONS)).distinct()
+    kept = stored.join(touched, PARTITIONS, "left_semi").join(rows.select(key), key, "left_anti")
+    merged = settled(kept.unionByName(rows.select(*stored.columns)), "ledger-rows")
+    emptied = touched.join(merged.select(*PARTITIONS).distinct(), PARTITIONS, "left_anti").collect()
     (
         merged.hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS)
         .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     )
+    # A partition whose only rows moved away gets no new files, so it is taken out.
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
+        spark._jsc.hadoopConfiguration()) if emptied else None
+    for year, bucket in emptied:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(
+            path, f"period_year={year}/entity_bucket={bucket}"), True)
 
 
 def scan(

@@ -14,41 +14,43 @@ from pyspark.sql.streaming import StreamingQuery
 
 from emberledger.constants import DEFAULT_GEOGRAPHY
 from emberledger.operators.classification import classify
-from emberledger.operators.cleansing import build_activities, map_columns
 from emberledger.operators.emissions import compute
 from emberledger.operators.factors import FactorIndex
 from emberledger.operators.inventory import TOTAL, scope_or_three
 from emberledger.session import checkpoint_root
+from emberledger.sources.delimited import identified, read_delimited
 
 
-def arriving_exports(
+def ingest_exports(
     spark: SparkSession,
     folder: str,
-    headers: list[str],
+    name: str,
+    write: Callable[[DataFrame, int], None],
     mapping: dict[str, str] | None = None,
     default_geography: str = DEFAULT_GEOGRAPHY,
-    delimiter: str = ",",
-) -> DataFrame:
-    """Stream of built activity rows from exports of one layout that arrive in a folder.
+    files_per_batch: int = 100,
+) -> StreamingQuery:
+    """Hand the built rows of the exports that arrive in a folder to ``write(rows, batch_id)``.
 
-    A row is identified by its file and content, so that replaying a file after a failure
-    yields the same ids. Rows keep their ``row_errors``.
+    The stream is one of files, not of lines: each micro-batch reads its files with the batch
+    reader, so that layouts may differ, rows have their line references, and ids are those of a
+    batch read (see ``delimited.identified``). Rows keep their ``row_errors``. A batch may be
+    handed over again after a failure, with the same ids.
     """
-    schema = ", ".join(f"`{h}` string" for h in headers)
     files = (
-        spark.readStream.schema(schema).option("header", True).option("sep", delimiter)
-        .csv(folder).select("*", F.col("_metadata.file_path").alias("_ctx_file"))
-    )
-    built = build_activities(map_columns(files, mapping), default_geography)
-    return built.select(
-        F.md5(F.concat_ws("|", "_ctx_file", "raw_line_ref", "activity_type", "unit",
-                          F.col("quantity").cast("string"),
-                          F.col("period_start").cast("string"))).alias("activity_id"),
-        F.col("_ctx_file").alias("source_document_id"), *[
-            c for c in built.columns if c != "_ctx_file"
-        ],
+        spark.readStream.format("binaryFile").schema(
+            "path string, modificationTime timestamp, length bigint, content binary")
+        .option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
     )
 
+    def read(batch: DataFrame, batch_id: int) -> None:
+        paths = [r.path for r in batch.collect()]  # at most files_per_batch
+        if paths:
+            rows = read_delimited(batch.sparkSession, paths, mapping, default_geography).rows
+            write(identified(rows), batch_id)
+
+    return upsert_available(files, name, read, "append")
+
 
 def calculated(activities: DataFrame, index: FactorIndex) -> DataFrame:
     """Classified and calculated activities; works on streams and on tables alike."""

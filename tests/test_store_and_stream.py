@@ -8,7 +8,7 @@ from emberledger.operators.classification import classify
 from emberledger.operators.factors import FactorIndex
 from emberledger.session import checkpoint_root
 from emberledger.sources import ledger_store
-from emberledger.sources.delimited import read_delimited
+from emberledger.sources.delimited import identified, read_delimited
 from emberledger.sources.factor_tables import published_factors, read_factor_files
 from emberledger.streaming import ingest
 
@@ -33,8 +33,16 @@ def test_stream_equals_batch(spark, tmp_path):
     index = FactorIndex.build(published_factors(spark))
     run = str(uuid.uuid4())
 
+    rows_path = str(tmp_path / "rows")
+
     def stream():
-        arriving = ingest.arriving_exports(spark, str(inbox), HEADERS)
+        ingest.ingest_exports(
+            spark, str(inbox), f"in-{run}",
+            lambda rows, batch: rows.write.mode("append").parquet(rows_path),
+            files_per_batch=1).awaitTermination()
+        schema = spark.read.parquet(rows_path).schema
+        arriving = spark.readStream.schema(schema).parquet(rows_path).withColumnRenamed(
+            "document_id", "source_document_id")
         good = arriving.where(F.size("row_errors") == 0).withColumn("entity_id", F.lit("E"))
         done = ingest.calculated(good, index)
         ingest.append_available(done, out, f"rows-{run}").awaitTermination()
@@ -67,6 +75,34 @@ def test_stream_equals_batch(spark, tmp_path):
     assert totals == {**first, **second}
 
 
+def test_streamed_rows_are_those_of_a_batch(spark, tmp_path):
+    """Equal rows, rows that differ in supplier, place or end only, files without references."""
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    head = "Fuel,Quantity,Unit,Country,Date,End date,Supplier\n"
+    line = "electricity_purchase,10,kWh,{},2025-01-15,{},{}\n"
+    (inbox / "a.csv").write_text(head + line.format("US", "2025-01-31", "Acme")
+                                 + line.format("GB", "2025-01-31", "Beta")
+                                 + line.format("US", "2025-02-28", "Acme")
+                                 + line.format("US", "2025-01-31", "Acme") * 2)
+    (inbox / "b.csv").write_text("Line," + head + ("7," + line.format("US", "", "Acme")) * 3)
+    (inbox / "c.csv").write_text(
+        head + line.format("US", "", '"Acme, ""North""\nand sons"') + line.format("US", "", "B"))
+    ingest.ingest_exports(spark, str(inbox), f"in-{uuid.uuid4()}", lambda rows, batch: (
+        rows.write.mode("append").parquet(out)), files_per_batch=1).awaitTermination()
+    streamed = spark.read.parquet(out)
+    batch = identified(read_delimited(spark, str(inbox)).rows)
+    got, want = (sorted(map(str, df.select(sorted(batch.columns)).collect()))
+                 for df in (streamed, batch))
+    assert got == want and len(got) == 10
+    assert streamed.select("activity_id").distinct().count() == 10
+    refs = {r.raw_line_ref for r in streamed.where("document_id like '%a.csv'").collect()}
+    assert refs == {f"row:{n}" for n in range(1, 6)}
+    assert streamed.where("size(row_errors) > 0").count() == 0
+    names = streamed.where("document_id like '%c.csv'").select("supplier_ref").distinct()
+    assert names.count() == 2
+
+
 def test_store_prunes_and_replaces(spark, table, tmp_path):
     path = str(tmp_path / "ledger")
     ddl = "activity_id string, entity_id string, period_start date, result_tco2e decimal(20,8)"
@@ -77,6 +113,14 @@ def test_store_prunes_and_replaces(spark, table, tmp_path):
         "activity_id")
     rows = {r.activity_id: int(r.result_tco2e) for r in ledger_store.scan(spark, path).collect()}
     assert rows == {"a": 1, "b": 20, "c": 3, "d": 4}
+    ledger_store.replace_rows(  # rows that move to another year or entity leave nothing behind
+        spark, table([("a", "E", "2025-07-01", "10"), ("c", "G", "2025-05-01", "30")], ddl), path,
+        "activity_id")
+    rows = sorted((r.activity_id, r.entity_id, int(r.result_tco2e))
+                  for r in ledger_store.scan(spark, path).collect())
+    assert rows == [("a", "E", 10), ("b", "E", 20), ("c", "G", 30), ("d", "E", 4)]
+    ledger_store.replace_rows(
+        spark, table([("a", "E", "2024-05-01", "1")], ddl), path, "activity_id")
     one = ledger_store.scan(spark, path, entity_id="E", year=2025)
     assert {r.activity_id for r in one.collect()} == {"b", "d"}
     plan = one._jdf.queryExecution().explainString(
