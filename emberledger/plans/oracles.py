@@ -1136,3 +1136,41 @@ _oracle("q_stored_ledger", """
     FROM led""", "led")
 _oracle("q_pending_activities", """
     SELECT activity_id, entity_id, status FROM cls WHERE status = 'pending_review'""", "cls")
+
+_oracle("q_emissions_range", f"""
+    WITH r AS (SELECT {_LINE_ID} AS activity_id, l_linenumber = 7 AS odd,
+        CAST(CAST(l_quantity AS DECIMAL(5,2)) * 100 AS HUGEINT)
+          * CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000000000 ELSE 1800000000000 END
+          * 12345678901 AS digits FROM lineitem),
+    e AS (SELECT activity_id, odd, digits // 100000 + CAST(digits % 100000 >= 50000 AS INT) AS p
+      FROM r)
+    SELECT activity_id, CASE WHEN odd OR p >= 100000000000000000000 THEN 'calculation_error'
+        ELSE 'computed' END AS calc_status,
+      CASE WHEN NOT odd AND p < 100000000000000000000 THEN (p // 100000000) || '.'
+        || lpad(CAST(p % 100000000 AS VARCHAR), 8, '0') END AS result_text,
+      CASE WHEN odd THEN 'Cannot convert' WHEN p >= 100000000000000000000 THEN 'The result doe' END
+        AS reason
+    FROM e""")
+_oracle("q_redact_names", """
+    SELECT doc_id, 'From TOKEN_SUPP_' || upper(substr(sha256('depot 00' || n || ' north'), 1, 10))
+      || ' TOKEN_SUPP_' || upper(substr(sha256('&&'), 1, 10)) || ' to '
+      || CASE WHEN n < 9 THEN 'TOKEN_SUPP_' || upper(substr(sha256('depot 10' || n), 1, 10))
+        ELSE 'depot 109' END || '.' AS redacted_text,
+      CASE WHEN n < 9 THEN '&&|Depot 00' || n || ' North|Depot 10' || n
+        ELSE '&&|Depot 00' || n || ' North' END AS names
+    FROM (SELECT doc_id, doc_id % 10 AS n FROM documents)""")
+_oracle("q_spelled_dates", f"""
+    SELECT {_LINE_ID} AS line_id, CASE l_linenumber % 7 WHEN 0 THEN strftime(l_shipdate, '%d-%b-%y')
+        WHEN 1 THEN strftime(l_shipdate, '%d/%b/%Y') WHEN 2 THEN strftime(l_shipdate, '%b %-d, %y')
+        WHEN 3 THEN strftime(l_shipdate, '%Y%m%d') || 'T1000'
+        WHEN 4 THEN strftime(l_shipdate, '%Y %b %-d')
+        WHEN 5 THEN strftime(l_shipdate, '%a, %-d %b %Y') || ' 10:00:00 GMT'
+        ELSE strftime(l_shipdate, '%b %Y') END AS raw_date,
+      CASE WHEN l_linenumber % 7 < 6 THEN strftime(l_shipdate, '%Y-%m-%d') END AS clean_date
+    FROM lineitem""")
+_oracle("q_exports", """
+    SELECT strftime(l_shipdate, '%Y-%m-%d') AS period_start, 'TOKEN_SUPP_' || upper(substr(sha256(
+        CASE WHEN l_suppkey % 2 = 0 THEN 'firm "' || l_suppkey || '" and sons'
+          ELSE 'firm ' || l_suppkey END), 1, 10)) AS supplier_ref,
+      count(*) AS n_rows, count(*) AS n_ids, CAST(0 AS BIGINT) AS n_errors
+    FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL""")

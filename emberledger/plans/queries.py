@@ -169,6 +169,43 @@ def q_clean_date(t: Testbed) -> DataFrame:
     )
 
 
+@_query
+def q_spelled_dates(t: Testbed) -> DataFrame:
+    """Dates with month names, compact ones with a time, two-digit years."""
+    d = F.col("l_shipdate")
+    spelled = F.element_at(F.array(
+        F.date_format(d, "dd-MMM-yy"), F.date_format(d, "dd/MMM/yyyy"),
+        F.date_format(d, "MMM d, yy"), F.concat(F.date_format(d, "yyyyMMdd"), F.lit("T1000")),
+        F.date_format(d, "yyyy MMM d"), F.concat(F.date_format(d, "EEE, d MMM yyyy"),
+                                                 F.lit(" 10:00:00 GMT")),
+        F.date_format(d, "MMM yyyy")), (F.col("l_linenumber") % 7 + 1).cast("int"))
+    return t.table("lineitem").select(
+        _line_id(), spelled.alias("raw_date"), dates.parse_date(spelled).alias("clean_date"))
+
+
+@_query
+def q_exports(t: Testbed) -> DataFrame:
+    """Line items written as exports to shared storage and streamed in, file by file: suppliers
+    with quotes and line breaks in their names, rows that differ in their supplier only."""
+    run = f"{checkpoint_root(t.spark)}/exports-{uuid.uuid4().hex}"
+    lines = t.table("lineitem").where("l_linenumber <= 2").select(
+        F.lit("electricity_purchase").alias("Fuel"), F.lit("10").alias("Quantity"),
+        F.lit("kWh").alias("Unit"), F.lit("US").alias("Country"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("Date"),
+        F.when(F.col("l_suppkey") % 2 == 0, F.concat(
+            F.lit('Firm "'), F.col("l_suppkey").cast("string"), F.lit('"\nand sons')))
+        .otherwise(F.concat(F.lit("Firm "), F.col("l_suppkey").cast("string"))).alias("Supplier"))
+    lines.repartition(4, "Date").write.option("header", True).option("escape", '"').csv(f"{run}/in")
+    ingest.ingest_exports(
+        t.spark, f"{run}/in", f"exports-{uuid.uuid4().hex}",
+        lambda rows, _batch: rows.write.mode("append").parquet(f"{run}/out"),
+        files_per_batch=2).awaitTermination()
+    rows = t.spark.read.parquet(f"{run}/out")
+    return rows.groupBy("period_start", "supplier_ref").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("activity_id").alias("n_ids"),
+        F.sum(F.size("row_errors")).cast("bigint").alias("n_errors"))
+
+
 @_query
 def q_activity_validate(t: Testbed) -> DataFrame:
     """Line items as raw text rows with gaps, typed and validated."""
@@ -246,6 +283,22 @@ def q_token_map(t: Testbed) -> DataFrame:
     return privacy.token_map(privacy.redact(_redaction_text(t), "body", REDACTED_NAMES))
 
 
+@_query
+def q_redact_names(t: Testbed) -> DataFrame:
+    """A list of 120 names: one without letters, ten that stand within another one only."""
+    names = ["&&", *[f"Depot {n:03d}" for n in range(109)], *[f"Depot {n:03d} North"
+                                                               for n in range(10)]]
+    n = F.col("doc_id") % 10
+    body = F.concat(F.lit("From DEPOT 00"), n.cast("string"), F.lit("  north && to depot 1"),
+                    F.lpad(n.cast("string"), 2, "0"), F.lit("."))
+    docs = t.table("documents").select("doc_id", body.alias("body"))
+    done = privacy.redact(docs, "body", names)
+    return done.select(
+        "doc_id", "redacted_text",
+        F.array_join(F.array_sort(F.transform("redactions", lambda r: r["raw_value"])), "|")
+        .alias("names"))
+
+
 @_query
 def q_redact_dictionary(t: Testbed) -> DataFrame:
     """Redaction against the supplier table as dictionary: each text names three suppliers."""
@@ -455,6 +508,27 @@ def q_emissions(t: Testbed) -> DataFrame:
     )
 
 
+@_query
+def q_emissions_range(t: Testbed) -> DataFrame:
+    """Line items counted in billions and in fractions: from a millionth to 9 x 10^13 units, with
+    the outcome of results that the ledger cannot hold."""
+    scale = F.element_at(F.array(*[F.lit(x).cast("decimal(13,0)") for x in (
+        1, 1000000000, 1800000000000)]), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    acts = t.table("lineitem").select(
+        _line_id().alias("activity_id"), F.lit("freight_road").alias("activity_type"),
+        (F.col("l_quantity").cast("decimal(5,2)") * scale).cast("decimal(20,6)").alias("quantity"),
+        F.when(F.col("l_linenumber") == 7, F.lit("kWh")).otherwise(F.lit("tonne.km")).alias("unit"),
+        F.lit("GB").alias("geography"), F.col("l_shipdate").cast("date").alias("period_start"))
+    facts = t.factors().where("factor_id = 'FR-GB-1'").withColumn(
+        "effective_from", F.lit("1990-01-01").cast("date")).withColumn(
+        "factor_value", F.lit("123.45678901").cast("decimal(20,8)"))
+    done = emissions.compute(acts, factors.FactorIndex.build(facts))
+    errors = emissions.unit_errors(done).select("activity_id", "error")
+    return done.join(errors, "activity_id", "left").select(
+        "activity_id", "calc_status", F.col("result_tco2e").cast("string").alias("result_text"),
+        F.substring("error", 1, 14).alias("reason"))
+
+
 @_query
 def q_formula(t: Testbed) -> DataFrame:
     return emissions.calculations(t.computed(), "calc_engine_v1", F.col("created_at")).select(
