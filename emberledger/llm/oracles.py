@@ -21,6 +21,46 @@ judged as (
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from judged group by doc_id""",
+    "op5_substring_dedup": rf"""
+with split as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_BLANK}+'),
+    lambda x: x <> '') as w from documents),
+windows as (
+  select doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') as k from (
+    select doc_id, w, unnest(range(1, len(w) - 18)) as i from split where len(w) >= 20)),
+later as (
+  select doc_id, i from windows
+  qualify row_number() over (partition by k order by doc_id, i) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as place from later),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as place from split),
+kept as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by place) as t
+  from words anti join gone using (doc_id, place) group by doc_id)
+select s.doc_id, len(s.w) as n_words, len(s.w) - coalesce(k.n, 0) as n_removed,
+  sha256(coalesce(k.t, '')) as kept_sha256
+from split s left join kept k using (doc_id)""",
+    "op9_ngram_jaccard_join": rf"""
+with recursive split as (
+  select doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_BLANK}+'), lambda x: x <> '') as w
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 3), ' ') as k from (
+    select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from split
+    where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+both_of as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n
+  from shingles a join shingles b on a.k = b.k and a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from both_of p join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * p.n >= 85 * (x.n + y.n - p.n)),
+reached as (
+  select doc_id as a, doc_id as b from split
+  union select r.a, l.b from reached r join links l on r.b = l.a)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, min(r.b) as component_id
+from split d join reached r on r.a = d.doc_id left join sizes s on s.doc_id = d.doc_id
+group by d.doc_id, s.n""",
     "op10_decontamination": r"""
 with source as (
   select 'd' as kind, cast(doc_id as varchar) as id, text from documents
@@ -42,7 +82,7 @@ found as (
   select p.id, p.i, p.n, s.id as item from places p join spans s on p.win = s.win and p.n = s.n),
 hits as (
   select id, count(*) as n_hit from (
-    select distinct id, unnest(range(i, i + n)) as at from (select distinct id, i, n from found))
+    select distinct id, unnest(range(i, i + n)) as place from (select distinct id, i, n from found))
   group by id),
 items as (
   select id, count(distinct item) as n_items,
