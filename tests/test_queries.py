@@ -15,13 +15,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 SAMPLE = (
     "q_scope_totals", "q_emissions", "q_factor_match", "q_anomaly_scan", "q_review_apply",
     "q_redact_text", "q_bill_lines", "q_macc", "q_disclosures", "q_trace", "q_calc_audit",
+    "q_emissions_range", "q_redact_names", "q_yoy_chosen", "q_scan_audit", "q_trace_whole",
 )
 
 
 def _names():
-    import __spark_entry__ as entry
+    from emberledger.plans.queries import registered
 
-    return list(entry.queries()) if os.environ.get("EMBERLEDGER_ALL_QUERIES") else SAMPLE
+    return list(registered()) if os.environ.get("EMBERLEDGER_ALL_QUERIES") else SAMPLE
 
 
 @pytest.fixture(scope="module")
@@ -33,8 +34,11 @@ def con():
 
 def test_every_query_has_an_oracle():
     import __spark_entry__ as entry
+    from emberledger.plans.oracles import oracles
+    from emberledger.plans.queries import registered
 
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(oracles()) == set(registered())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) >= set(registered())
 
 
 @pytest.mark.parametrize("name", _names())
