@@ -52,14 +52,6 @@ _MEASURES = {
 }
 
 
-def year_before(yearly: DataFrame) -> DataFrame:
-    """Comparisons of every entity and year with the year before: the default. Years that only
-    their baseline has rows for are among them."""
-    years = yearly.select("entity_id", F.explode(F.array(
-        "reporting_year", F.col("reporting_year") + 1)).alias("reporting_year")).distinct()
-    return years.withColumn("baseline_year", F.col("reporting_year") - 1)
-
-
 def year_over_year(yearly: DataFrame, comparisons: DataFrame | None = None) -> DataFrame:
     """The compared (entity, year, baseline year, scope) with the measures of both years.
 
@@ -70,19 +62,24 @@ def year_over_year(yearly: DataFrame, comparisons: DataFrame | None = None) -> D
     the rows of all scopes.
     """
     if comparisons is None:
-        comparisons = year_before(yearly)
-    asked = comparisons.select(
-        "entity_id", F.col("reporting_year").cast("int").alias("reporting_year"),
-        F.col("baseline_year").cast("int").alias("baseline_year")).distinct()
-    roles = asked.select("*", F.explode(F.array(
-        F.struct(F.col("reporting_year").alias("year"), F.lit(True).alias("is_current")),
-        F.struct(F.col("baseline_year").alias("year"), F.lit(False).alias("is_current")),
-    )).alias("role")).select("*", F.col("role.year").alias("_year"))
-    played = yearly.withColumnRenamed("reporting_year", "_year").join(
-        roles, ["entity_id", "_year"])
+        year = F.col("reporting_year")
+        played = yearly.select("entity_id", "scope", *_MEASURES, F.inline(F.array(
+            F.struct(year.alias("reporting_year"), (year - 1).alias("baseline_year"),
+                     F.lit(True).alias("is_current")),
+            F.struct((year + 1).alias("reporting_year"), year.alias("baseline_year"),
+                     F.lit(False).alias("is_current")))))
+    else:
+        asked = comparisons.select(
+            "entity_id", F.col("reporting_year").cast("int").alias("reporting_year"),
+            F.col("baseline_year").cast("int").alias("baseline_year")).distinct()
+        roles = asked.select("*", F.inline(F.array(
+            F.struct(F.col("reporting_year").alias("_year"), F.lit(True).alias("is_current")),
+            F.struct(F.col("baseline_year").alias("_year"), F.lit(False).alias("is_current")))))
+        played = yearly.withColumnRenamed("reporting_year", "_year").join(
+            roles, ["entity_id", "_year"])
 
     def part(measure: str, dtype: str, current: bool) -> Column:
-        mine = F.col("role.is_current") if current else ~F.col("role.is_current")
+        mine = F.col("is_current") if current else ~F.col("is_current")
         return F.coalesce(F.sum(F.when(mine, F.col(measure))), F.lit(0)).cast(dtype).alias(
             ("current_" if current else "prior_") + measure
         )

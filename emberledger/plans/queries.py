@@ -594,7 +594,7 @@ def q_trend(t: Testbed) -> DataFrame:
 
 
 def _flags(t: Testbed) -> DataFrame:
-    return anomalies.anomaly_scan(t.tampered(), rel_stdev_floor=STDEV_FLOOR)
+    return anomalies.anomaly_scan(t.stored_tampered(), rel_stdev_floor=STDEV_FLOOR)
 
 
 @_query
@@ -606,7 +606,7 @@ def q_open_flags(t: Testbed) -> DataFrame:
 def q_dashboard(t: Testbed) -> DataFrame:
     """Flat view of the dashboard rows: first hotspot, number of trend points, open flags."""
     board = inventory.dashboard(
-        inventory.inventory(t.tampered()), inventory.open_flag_counts(_flags(t))
+        inventory.inventory(t.stored_tampered()), inventory.open_flag_counts(_flags(t))
     )
     return board.select(
         "entity_id", "reporting_year", "gross_tco2e", "scope1_tco2e", "scope2_tco2e",
@@ -904,7 +904,7 @@ def q_scan_audit(t: Testbed) -> DataFrame:
     """Audit rows of scans against chosen baselines or none."""
     chosen = _chosen_baselines(t)
     flags = anomalies.anomaly_scan(
-        t.tampered(), rel_stdev_floor=STDEV_FLOOR, comparisons=chosen)
+        t.stored_tampered(), rel_stdev_floor=STDEV_FLOOR, comparisons=chosen)
     scanned = chosen.select("entity_id", F.col("reporting_year").cast("string").alias(
         "reporting_period"), F.col("baseline_year").cast("string").alias("baseline_period"))
     audit_log = anomalies.scan_audit(flags, scanned, F.lit("2025-01-01 00:00:00").cast("timestamp"))

@@ -17,7 +17,7 @@ from emberledger import schemas
 from emberledger.constants import KNOWN_UTILITIES
 from emberledger.functions.tokens import tokenize_supplier
 from emberledger.operators.classification import classify
-from emberledger.operators.bounds import fixed_table
+from emberledger.operators.bounds import fixed_table, settled
 from emberledger.operators.emissions import compute
 from emberledger.operators.factors import FactorIndex
 from emberledger.operators.ledger import ledger_of
@@ -163,6 +163,14 @@ class Testbed:
     def ledger(self, *extra: str) -> DataFrame:
         return ledger_of(self.computed(), *extra)
 
+    def stored_tampered(self) -> DataFrame:
+        """The tampered ledger as the table that reports of several passes read: settled once."""
+        return self._stored_tampered
+
+    @cached_property
+    def _stored_tampered(self) -> DataFrame:
+        return settled(self.tampered(), "ledger")
+
     def tampered(self) -> DataFrame:
         """Ledger with planted anomalies: a drop, a surge, an omission and outliers."""
         year, end = F.year("period_start"), F.year("period_end")
