@@ -3,7 +3,7 @@ import random
 
 import brute
 import pytest
-from conftest import ODD, SF
+from odd_rows import ODD, SF
 
 from emberledger.llm import near_duplicates, queries
 from emberledger.llm.components import components

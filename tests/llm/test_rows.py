@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 from brute import ALNUM_WORDS, LOWER
-from conftest import ODD, SF
+from odd_rows import ODD, SF
 from test_whole_contracts import rows
 
 from emberledger.llm import boosting, licenses, personal_data, queries, token_counts

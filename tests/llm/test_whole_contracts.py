@@ -1,7 +1,7 @@
 """Operators against plain versions, on odd rows and on the smallest test tables."""
 import brute
 import pytest
-from conftest import ODD, SF
+from odd_rows import ODD, SF
 
 from emberledger.llm import decontamination, line_dedup, queries, quality, sentence_pieces
 
