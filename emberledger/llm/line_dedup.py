@@ -47,11 +47,11 @@ def dropped_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("before", F.lag("doc").over(one))
         .where((F.col("nth") == 1) | ~F.col("before").eqNullSafe(F.col("doc")))
     )
-    frequent = (
+    # Written out, so that the join below shuffles both sides anew and can split a hot key.
+    frequent = stored(
         firsts.groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs).drop("n_docs")
-    )
+        .where(F.col("n_docs") >= min_docs).drop("n_docs"), "frequent-lines")
     gone = lines.join(frequent, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
     blocks = gone.groupBy("doc", "mark", F.floor(F.col("pos") / 64).alias("block")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
