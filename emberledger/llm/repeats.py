@@ -87,9 +87,11 @@ def _passes(core: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _runs(docs: DataFrame, kind: Kind, passing: Broadcast | None = None) -> DataFrame:
-    """A row for each run: those that pass the filter of cores, or the cores of all."""
+    """The runs that pass the filter of cores, or the cores of all runs. Runs of one text with
+    equal contexts, of which periodic texts have many, are one row: the first, and ``more``."""
     whole = passing is not None
-    schema = "core long, ctx long, doc long, mark long, lo long, n int" if whole else "core long"
+    schema = ("core long, ctx long, doc long, mark long, lo long, n int, more array<long>"
+              if whole else "core long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "text"):
@@ -97,13 +99,23 @@ def _runs(docs: DataFrame, kind: Kind, passing: Broadcast | None = None) -> Data
             if whole:
                 keep = _passes(core, passing.value)
                 owner, lo, n, core, ctx = (x[keep] for x in found)
-            columns = [pa.array(core.view(np.int64))]
-            if whole:
-                columns += [pa.array(ctx.view(np.int64)),
-                            *(part.column(c).take(pa.array(owner)) for c in ("doc", "mark")),
-                            pa.array(lo.astype(np.int64)), pa.array(n.astype(np.int32))]
+            if not whole:
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64))], ["core"])
+                continue
+            same = mix(core + mix(ctx + mix(owner)))
+            order = np.lexsort((lo, same))
+            first = np.ones(len(order), bool)
+            first[1:] = same[order][1:] != same[order][:-1]
+            rows = order[first]
+            more = np.diff(np.append(np.flatnonzero(first), len(order))) - 1
             yield pa.RecordBatch.from_arrays(
-                columns, ["core", "ctx", "doc", "mark", "lo", "n"][:len(columns)])
+                [pa.array(core[rows].view(np.int64)), pa.array(ctx[rows].view(np.int64)),
+                 *(part.column(c).take(pa.array(owner[rows])) for c in ("doc", "mark")),
+                 pa.array(lo[rows].astype(np.int64)), pa.array(n[rows].astype(np.int32)),
+                 pa.ListArray.from_arrays(
+                     np.concatenate(([0], np.cumsum(more))).astype(np.int32),
+                     lo[order[~first]].astype(np.int64))],
+                ["core", "ctx", "doc", "mark", "lo", "n", "more"])
 
     return docs.mapInArrow(run, schema)
 
@@ -245,10 +257,11 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     passing = docs.sparkSession.sparkContext.broadcast(_core_filter(cores))
     runs = stored(_runs(docs, kind, passing).join(cores, "core"), "runs")
     contexts = stored(runs.groupBy("core", "ctx").agg(
-        F.count("*").alias("copies"), F.min(F.struct("doc", "mark", "lo", "n")).alias("at")),
+        F.sum(F.size("more") + 1).alias("copies"), F.min(F.struct("doc", "mark", "lo", "n")).alias("at")),
         "contexts")
     again = contexts.where("copies > 1").select("core", "ctx", "at")
-    copies = runs.join(again, ["core", "ctx"])
+    copies = runs.join(again, ["core", "ctx"]).withColumn(
+        "lo", F.explode(F.concat(F.array("lo"), "more")))
     if kind.later:
         copies = copies.where(F.struct("doc", "mark", "lo", "n") != F.col("at"))
     copies = copies.select("doc", "mark", F.col("lo").alias("begin"),
@@ -284,7 +297,7 @@ def without_spans(docs: DataFrame, kind: Kind, added: str,
         return work
 
     rows = dealt.join(spans, ["doc", "mark"], "left").select("doc", "text", "spans")
-    return add_columns(rows, "text", added, make, "spans")
+    return add_columns(rows, "text", added, make, "spans", spent=("text", "spans"))
 
 
 def marked(n: int, spans: np.ndarray) -> np.ndarray:

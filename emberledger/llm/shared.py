@@ -78,13 +78,15 @@ def steps(batches: Iterator[pa.RecordBatch], text: str,
 
 
 def add_columns(docs: DataFrame, text: str, added: str,
-                make: Callable[[], Callable[..., list[pa.Array]]], *more: str) -> DataFrame:
+                make: Callable[[], Callable[..., list[pa.Array]]], *more: str,
+                spent: tuple[str, ...] = ()) -> DataFrame:
     """The rows with further columns computed from the text, in Arrow batches without a shuffle.
 
     ``make`` is called once in each task and gives the function from a text array, and those of
-    the columns named in ``more``, to the arrays of the added columns.
+    the columns named in ``more``, to the arrays of the added columns. ``spent`` columns do not
+    come back.
     """
-    schema = extended(docs.schema, added)
+    schema = T.StructType([f for f in extended(docs.schema, added) if f.name not in spent])
     keep = [f.name for f in schema.fields[:len(schema.fields) - len(T.StructType.fromDDL(added))]]
     names = [*keep, *(f.name for f in T.StructType.fromDDL(added))]
 
