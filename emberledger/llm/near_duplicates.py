@@ -31,6 +31,8 @@ from emberledger.llm.tokens import BLANKS, Texts, Words, mix, windows, within
 SIZE, PERCENT = 4, 85
 #: Groups that order the coordinates, and groups of the vectors that bound an overlap.
 ORDER_BITS, GROUPS = 21, 64
+#: Ids that are broadcast to pick the sets of pairs before these are shuffled, at most.
+BROADCAST_IDS = 1_000_000
 _NO_ID = (1 << 63) - 1  # stands for a null id: the largest
 
 
@@ -143,7 +145,7 @@ def _points(docs: DataFrame, size: int, percent: int,
         return work
 
     added = "n long, c1 long, c2 long" + ("" if frequency is None else ", leaves array<long>")
-    return add_columns(docs, "text", added, make).drop("text")
+    return add_columns(docs, "text", added, make, spent=("text",))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -161,14 +163,19 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
         return work
 
-    return add_columns(docs, "text", "counts binary, shingles binary", make).drop("text")
+    return add_columns(docs, "text", "counts binary, shingles binary", make, spent=("text",))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: first by the bound on the overlap, then by the shingles."""
     def joined(pairs, column):
+        ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(),
+                     "pair-ids")
+        if ids.count() <= BROADCAST_IDS:  # 8 bytes each; beyond, the join shuffles
+            ids = F.broadcast(ids)
+        own = sets.select("doc", column).join(ids, F.col("doc") == F.col("id"), "left_semi")
         for side in ("a", "b"):
-            pairs = pairs.join(sets.select(
+            pairs = pairs.join(own.select(
                 F.col("doc").alias(side), F.col(column).alias(f"{side}_{column}")), side)
         return pairs
 
@@ -191,7 +198,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    near = stored(joined(pairs, "counts").mapInArrow(bound, "a long, b long"), "near")
+    near = stored(joined(stored(pairs, "pairs"), "counts").mapInArrow(bound, "a long, b long"), "near")
     return joined(near, "shingles").mapInArrow(exact, "a long, b long")
 
 
@@ -228,10 +235,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("leaf", "node", "n", (F.col("n") - F.col("before")).alias("rest"))
         .repartition("leaf")
     )
+    # The counts read all columns of the leaves, so that both sides of the join share one shuffle.
     crowded = leaves.groupBy("leaf").agg(
-        F.count("*").alias("crowd"), F.min("n").alias("least")).where("crowd > 1")
+        F.count("*").alias("crowd"), F.min("n").alias("least"), F.max("rest").alias("most"),
+        F.max("node").alias("last")).where("crowd > 1")
     met = stored(leaves.join(crowded, "leaf").where(
-        _enough("rest", "rest", "n", "least", percent)).drop("least"), "met")
+        _enough("rest", "most", "n", "least", percent) & F.col("last").isNotNull()).select(
+        "leaf", "node", "n", "rest", "crowd"), "met")
 
     wanted = met.select("node").distinct()
     sets = stored(_sets(
