@@ -14,6 +14,10 @@ from emberledger.llm.shared import ship, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Words of a shingle and percent of similarity from which the stage takes texts for near copies;
+#: op9 has settings of its own.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
+
 
 def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
     """The columns of documents with the new text and its length."""
@@ -34,7 +38,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id."""
-    groups = near_duplicates.near_groups(docs.select("doc_id", "text"))
+    groups = near_duplicates.near_groups(
+        docs.select("doc_id", "text"), size=NEAR_SIZE, percent=NEAR_PERCENT)
     others = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("near_copy"))
     return docs.join(others, F.col("doc_id") == F.col("near_copy"), "left_anti")
 

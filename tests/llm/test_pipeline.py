@@ -66,3 +66,19 @@ def test_stages_on_odd_rows(spark, name):
     assert len(ids) <= len(rows) and set(ids) <= {r[0] for r in rows}
     if name in ("line_dedup", "decontamination"):
         assert len(ids) == len(rows)
+
+
+def test_near_copies_are_those_of_five_words_and_eighty_percent(spark):
+    """One block of each copy is changed, from none of it to more than links at all."""
+    docs = []
+    for family in range(4):
+        base = [f"w{family}x{i}" for i in range(100)]
+        docs += [(100 * family + cut, " ".join(base[:100 - cut] + [
+            f"e{family}y{cut}z{i}" for i in range(cut)])) for cut in (0, 7 + family, 30)]
+    rows = spark.createDataFrame(
+        [(d, t, None, "s", len(t)) for d, t in docs],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    want, loose = (brute.near_classes(docs, *x) for x in ((5, 80), (4, 85)))
+    assert want != loose
+    got = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, rows, SF).collect()}
+    assert got == {d for d in want if want[d][1] == d}
