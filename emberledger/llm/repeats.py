@@ -139,8 +139,9 @@ def _contexts(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
                  lo, n, copies, pa.array(units, pa.binary())],
                 ["core", "doc", "mark", "lo", "n", "copies", "units"])
 
-    return docs.join(lists, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(
-        run, schema)
+    # Rows with equal keys hold the same text: one of them gives the contexts of all.
+    single = docs.join(lists, ["doc", "mark"]).select("doc", "mark", "text", "runs")
+    return single.dropDuplicates(["doc", "mark"]).mapInArrow(run, schema)
 
 
 def _window_keys(rows: pa.Table, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

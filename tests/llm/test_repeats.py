@@ -66,3 +66,20 @@ def test_no_rows_null_ids_repeated_rows_and_clashing_columns(spark, work):
         assert got == [(-1, 0), (5, 0), (5, 40), (5, 40), (7, 0)]
     else:
         assert got == [(-1, len(text)), (5, 0), (5, len(text)), (5, len(text)), (7, 0)]
+
+
+@pytest.mark.parametrize("crowd", [4096, 3])
+def test_repeated_rows_keep_the_first_occurrence(spark, monkeypatch, crowd):
+    """Repeated rows beside documents that share a part of their text: all rows of a document
+    get what it gets as one row."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    passage = [f"p{i}" for i in range(60)]
+    docs = [(d, " ".join([f"a{d}x{i}" for i in range(9)] + passage[d:50 + d]
+                         + [f"b{d}x{i}" for i in range(9)])) for d in range(1, 7)]
+    docs += [(10 + d, t) for d, t in woven(2)]
+    df = spark.createDataFrame(docs + docs[:1] * 2 + docs[3:5] + docs[9:30],
+                               "doc_id long, text string").repartition(4)
+    want = brute.repeated_words(docs)
+    got = recompression.digest(df).collect()
+    assert len(got) == len(docs) + 25 and {tuple(r) for r in got} == {
+        (d, *v) for d, v in want.items()}
