@@ -188,7 +188,7 @@ def q_exports(t: Testbed) -> DataFrame:
     """Line items written as exports to shared storage and streamed in, file by file: suppliers
     with quotes and line breaks in their names, rows that differ in their supplier only."""
     run = f"{checkpoint_root(t.spark)}/exports-{uuid.uuid4().hex}"
-    lines = t.table("lineitem").where("l_linenumber <= 2").select(
+    lines = t.table("lineitem").select(
         F.lit("electricity_purchase").alias("Fuel"), F.lit("10").alias("Quantity"),
         F.lit("kWh").alias("Unit"), F.lit("US").alias("Country"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("Date"),
@@ -1035,7 +1035,7 @@ def q_outreach_drafts(t: Testbed) -> DataFrame:
 def q_outreach_audit(t: Testbed) -> DataFrame:
     """Every outreach of a supplier's main gap is drafted to a recipient, sent, and answered by
     some; each step leaves its audit row."""
-    gaps = suppliers.supplier_gaps(t.ledger()).where("line_item_count > 1")
+    gaps = suppliers.supplier_gaps(t.ledger())
     drafts = suppliers.outreach_drafts(gaps.select(
         *suppliers.GAP, F.lit(None).cast("string").alias("supplier_name"),
         F.concat(F.lit("esg@"), F.lower("supplier_ref"), F.lit(".example")).alias("supplier_email"),
