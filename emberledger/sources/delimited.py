@@ -2,8 +2,10 @@
 
 Files are read as lines, so large ones stay splittable, and any mix of layouts is read in one
 job: delimiter, encoding and column mapping are found per file from its first lines and
-joined to the lines of the file. A file with a line of unbalanced quotes has cells with line
-breaks; such files are read whole, one by one, and cut into records.
+joined to the lines of the file. A quote opens a cell only where the cell begins; elsewhere it
+is text. In files with cells that are open where a line ends, lines are put together to records:
+what a line does to the state is a map of it, and the maps are composed over the lines of each
+block of a file and over its blocks, so that no file is read whole.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from emberledger.constants import DEFAULT_GEOGRAPHY, TARGET_FIELDS
 from emberledger.functions.text import strip
+from emberledger.operators.bounds import settled
 from emberledger.operators.cleansing import build_activities, missing_fields, resolve_headers
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -24,7 +27,7 @@ _SAMPLE_LINES = 10
 def cells_of(line: Column, delimiter: str) -> Column:
     """Cells of a line; a doubled quote inside a quoted cell stands for one."""
     d = "\\" + delimiter if delimiter == "|" else delimiter
-    pattern = F.lit(rf'{d}(?:"((?:[^"]|"")*)"|([^{d}]*))')
+    pattern = F.lit(rf'{d}(?:"([^"]*(?:""[^"]*)*)"|([^{d}]*))')
     led = F.concat(F.lit(delimiter), line)
     quoted = F.regexp_extract_all(led, pattern, F.lit(1))
     plain = F.regexp_extract_all(led, pattern, F.lit(2))
@@ -50,25 +53,117 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+#: The inside of a quoted cell, up to the quote that closes it or the end.
+_INSIDE = '[^"]*+(?:""[^"]*+)*+'
+
+
+def _opens(line: Column, delimiter: str) -> tuple[Column, Column]:
+    """Whether a quoted cell is open at the end of a line that begins a record, and of one that
+    begins inside a quoted cell."""
+    d = "\\" + delimiter if delimiter == "|" else delimiter
+    left_open = rf'(?:(?:"{_INSIDE}"[^{d}]*+|(?!")[^{d}]*+){d})*+"{_INSIDE}\z'
+    return (F.rlike(line, F.lit(rf"\A{left_open}")),
+            F.rlike(line, F.lit(rf'\A{_INSIDE}(?:"[^{d}]*+{d}{left_open}|\z)')))
+
+
+def _sample_delimiters(lines: DataFrame) -> DataFrame:
+    """(file_id, delimiter) from the first lines of each file, which every delimiter cuts into
+    records of its own: the one of most records that have as many cells as the first."""
+    first = Window.partitionBy("file_id").orderBy("_block", "_pos")
+    text = lines.withColumn("_n", F.row_number().over(first)).where(
+        F.col("_n") <= 5 * _SAMPLE_LINES).groupBy("file_id").agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("_n", "value"))), lambda x: x["value"]),
+            "\n").alias("_text"))
+
+    def score(place: int, delimiter: str) -> Column:
+        d = "\\" + delimiter if delimiter == "|" else delimiter
+        cell = rf'(?:"{_INSIDE}(?:"[^{d}\n]*+|\z)|(?!")[^{d}\n]*+)'
+        records = F.slice(F.filter(
+            F.regexp_extract_all("_text", F.lit(f"{cell}(?:{d}{cell})*+"), F.lit(0)),
+            lambda x: F.rlike(x, F.lit(r"\S"))), 1, _SAMPLE_LINES)
+        counts = F.transform(records, lambda x: F.size(cells_of(x, delimiter)) - 1)
+        head = F.get(counts, F.lit(0))
+        agreeing = F.size(F.filter(counts, lambda c: c == head))
+        return F.struct(
+            F.when(head > 0, agreeing).otherwise(0).alias("agreeing"), head.alias("cells"),
+            F.lit(-place).alias("place"), F.lit(delimiter).alias("delimiter"))
+
+    scores = [score(i, d) for i, d in enumerate(DELIMITERS)]
+    return text.select("file_id", F.array_max(F.array(*scores))["delimiter"].alias("_delimiter"))
+
+
+def _composed(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows with the composition of all maps (``_outer``, ``_inner``) up to each of them: the
+    state that it ends in whatever it began with (``_fixed``), else whether it turns the state."""
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    turns = F.sum((F.col("_outer") & ~F.col("_inner")).cast("bigint")).over(so_far)
+    fixes = F.when(F.col("_outer") == F.col("_inner"), F.struct("_outer", "_turns"))
+    return rows.withColumn("_turns", turns).withColumn(
+        "_last", F.last(fixes, ignorenulls=True).over(so_far)).withColumns({
+            "_fixed": F.col("_last._outer")
+            != ((F.col("_turns") - F.col("_last._turns")) % 2 == 1),
+            "_turned": F.col("_turns") % 2 == 1}).drop("_turns", "_last", "_outer", "_inner")
+
+
 def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of files read whole: they end at line breaks outside quotes."""
-    whole = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file_id"), "value")
-    record = F.lit(r'(?:[^"\r\n]|"(?:[^"]|"")*(?:"|\z))+')
-    return whole.select(
-        "file_id", F.lit(0).cast("bigint").alias("_block"),
-        F.posexplode(F.regexp_extract_all("value", record, F.lit(0))).alias("_pos", "value"),
-    ).withColumn("_pos", F.col("_pos").cast("bigint"))
+    """Records of files whose cells hold line breaks, which become line feeds. A cell that is
+    never closed reaches to the end of its file."""
+    lines = _lines(spark, paths)
+    delimited = lines.join(_sample_delimiters(lines), "file_id")
+    opens = {d: _opens(F.col("value"), d) for d in DELIMITERS}
+
+    def chosen(side: int) -> Column:
+        chain = F
+        for d in DELIMITERS[1:]:
+            chain = chain.when(F.col("_delimiter") == d, opens[d][side])
+        return chain.otherwise(opens[DELIMITERS[0]][side])
+
+    block = ["file_id", "_block"]
+    maps = _composed(delimited.select(
+        *block, "_pos", "value", chosen(0).alias("_outer"), chosen(1).alias("_inner")),
+        block, "_pos")
+    whole = maps.groupBy(*block).agg(
+        F.max_by(F.struct("_fixed", "_turned"), "_pos").alias("_map")).select(
+        *block, F.coalesce("_map._fixed", "_map._turned").alias("_outer"),
+        F.coalesce(F.col("_map._fixed"), ~F.col("_map._turned")).alias("_inner"))
+    blocks = _composed(whole, ["file_id"], "_block").select(
+        *block, F.coalesce(F.lag(F.coalesce("_fixed", "_turned")).over(
+            Window.partitionBy("file_id").orderBy("_block")), F.lit(False)).alias("_begun"))
+    in_block = Window.partitionBy(*block).orderBy("_pos")
+    after = F.coalesce(F.col("_fixed"), F.col("_begun") != F.col("_turned"))
+    stated = maps.join(blocks, block).withColumn("_after", after).withColumn(
+        "_before", F.coalesce(F.lag("_after").over(in_block), F.col("_begun")))
+
+    alone = stated.where(~F.col("_before") & ~F.col("_after"))
+    parts = stated.where(F.col("_before") | F.col("_after")).withColumn(
+        "_nth", F.sum((~F.col("_before")).cast("bigint")).over(in_block))
+    starts = parts.groupBy(*block).agg(F.max("_nth").alias("_starts"))
+    earlier = Window.partitionBy("file_id").orderBy("_block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = starts.select(
+        *block, F.coalesce(F.sum("_starts").over(earlier), F.lit(0)).alias("_offset"))
+    joined = parts.join(offsets, block).groupBy(
+        "file_id", (F.col("_nth") + F.col("_offset")).alias("_record")).agg(
+        F.array_sort(F.collect_list(F.struct("_block", "_pos", "value"))).alias("_lines"))
+    return alone.select(*block, "_pos", "value").unionByName(joined.select(
+        "file_id", F.col("_lines")[0]["_block"].alias("_block"),
+        F.col("_lines")[0]["_pos"].alias("_pos"),
+        F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("value")))
 
 
 def _rows(spark: SparkSession, paths) -> DataFrame:
     """Lines, and records of the files whose cells hold line breaks."""
     lines = _lines(spark, paths)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    broken = [r.file_id for r in lines.where(quotes % 2 == 1).select("file_id").distinct().collect()]
+    left_open = F.lit(False)
+    for d in DELIMITERS:
+        left_open = left_open | _opens(F.col("value"), d)[0]
+    broken = [r.file_id for r in lines.where(F.contains("value", F.lit('"')) & left_open).select(
+        "file_id").distinct().collect()]
     if not broken:
         return lines
-    return lines.where(~F.col("file_id").isin(broken)).unionByName(_records(spark, broken))
+    return lines.where(~F.col("file_id").isin(broken)).unionByName(
+        settled(_records(spark, broken), "export-records"))
 
 
 def _decoded(value: Column, is_utf8: Column) -> Column:

@@ -1,5 +1,7 @@
 """Redaction, bills, delimited exports, registry."""
+import csv
 import hashlib
+import io
 import random
 import re
 from datetime import date
@@ -204,3 +206,37 @@ def test_registry_and_bill_files(spark, tmp_path):
     assert got == [("a_b.pdf", "pdf"), ("file", None), ("q.XLSX", "xlsx")]
     assert bill_text.read_bill_texts(spark, str(tmp_path / "y.txt")).first().pages == [
         "Duke Energy", "page two"]
+
+
+def test_stray_quotes_lose_no_rows(spark, tmp_path):
+    """A quote inside a cell is text; cells with line breaks go on over blocks of their file."""
+    head = "Fuel,Quantity,Unit,Date,Line\n"
+    plain = "".join(f"Oil,{i},l,2025-01-01,P{i}\n" for i in range(30))
+    (tmp_path / "a.csv").write_text(head + 'Oil,1,l,2025-01-01,5" pipe\n' + plain)
+    text, rng = head, random.Random(3)
+    cells = ['5" pipe', '"two\nlines"', '"a ""b""\n,c\n"', '3" x 4"', '"z"', '"\n\n""q""\n"', "y",
+             '"' + "long\n" * 60 + '"']
+    for i in range(60):
+        last = rng.choice(cells)
+        last = f'{last[:-1]}-{i}"' if last.startswith('"') else f"{last}-{i}"
+        text += f"{rng.choice(cells)},{i},l,2025-01-01,{last}\n"
+    (tmp_path / "b.csv").write_text(text)
+    (tmp_path / "c.csv").write_text(
+        'Fuel;Quantity;Unit;Date;Line\nOil;1;l;2025-01-01;"x\ny"\nGas 5";2;l;2025-01-01;Z\n'
+        'Oil;3;l;2025-01-01;"never\nclosed\n')
+    want = [tuple(x.strip() for x in (r[0], r[4])) for r in csv.reader(io.StringIO(text))][1:]
+    kept = {k: spark.conf.get(k) for k in (
+        "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "3000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            rows = read_delimited(spark, str(tmp_path)).rows.collect()
+            of = {n: [r for r in rows if r.document_id.endswith(n)] for n in ("a.csv", "b.csv", "c.csv")}
+            assert {r.raw_line_ref for r in of["a.csv"]} == {'5" pipe', *(f"P{i}" for i in range(30))}
+            assert sorted((r.activity_type, r.raw_line_ref) for r in of["b.csv"]) == sorted(want)
+            assert sorted(int(r.quantity) for r in of["b.csv"]) == list(range(60))
+            assert sorted(r.activity_type for r in of["c.csv"]) == ['Gas 5"', "Oil", "Oil"]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
