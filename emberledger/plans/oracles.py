@@ -1108,7 +1108,7 @@ _oracle("q_outreach_audit", f"""
     WITH {_with("", "led")[5:]},
     d AS (SELECT *, md5(entity_id || '|' || reporting_period || '|' || supplier_ref || '|'
         || activity_type || '|REDUCTION_PLEDGE') AS outreach_id, 'Desk of ' || entity_id AS contact
-      FROM ({_GAPS}) WHERE line_item_count > 1)
+      FROM ({_GAPS}))
     SELECT 'supplier_outreach' AS entity_type, outreach_id AS entity_id,
       'CREATE_SUPPLIER_OUTREACH' AS action, 'outreach_agent' AS actor,
       '2025-03-01 08:00:00' AS event_ts, '{{"supplier_ref":"' || supplier_ref
@@ -1173,4 +1173,4 @@ _oracle("q_exports", """
         CASE WHEN l_suppkey % 2 = 0 THEN 'firm "' || l_suppkey || '" and sons'
           ELSE 'firm ' || l_suppkey END), 1, 10)) AS supplier_ref,
       count(*) AS n_rows, count(*) AS n_ids, CAST(0 AS BIGINT) AS n_errors
-    FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL""")
+    FROM lineitem GROUP BY ALL""")

@@ -249,8 +249,8 @@ def test_supplier_gaps_and_outreach(table):
                  "string, supplier_name string, template_type string, custom_subject string, "
                  "custom_body string")
     draft = suppliers.outreach_drafts(asks).first()
-    assert draft.subject.endswith("FY2025 Decarbonization Targets — S")
-    assert draft.body.startswith("Dear S Leadership,\n\nIn alignment")
+    assert draft.subject == "Your climate targets, 2025 — S"
+    assert draft.body.startswith("To the management of S,\n\n'freight' bought from you")
     actions = table(
         [("o", "CREATE", "2025-01-01 00:00:00", 1, None), ("o", "SEND", "2025-01-02 00:00:00", 2, None),
          ("o", "RESPOND", "2025-01-03 00:00:00", 3, "0.5"), ("p", "CREATE", "2025-01-01 00:00:00", 4, None)],
