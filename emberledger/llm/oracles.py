@@ -91,4 +91,35 @@ select cast(d.id as bigint) as doc_id, len(d.w) as n_words, coalesce(h.n_hit, 0)
   coalesce(m.n_items, 0) as n_items, sha256(coalesce(m.names, '')) as items_sha256,
   coalesce(h.n_hit, 0) > 0 as contaminated
 from split d left join hits h using (id) left join items m using (id) where d.kind = 'd'""",
+    "op11_fill_in_middle": rf"""
+with base as (
+  select doc_id, coalesce(text, '') as t, sha256('42:' || doc_id) as h,
+    regexp_extract_all(coalesce(text, ''),
+      '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u from documents),
+drawn as (
+  select *, len(u) as n, cast('0x' || substr(h, 1, 8) as bigint) as h1,
+    cast('0x' || substr(h, 9, 8) as bigint) as h2, cast('0x' || substr(h, 17, 8) as bigint) as h3,
+    cast('0x' || substr(h, 25, 8) as bigint) as h4 from base),
+cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>')
+        or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form
+  from drawn),
+parts as (
+  select *, array_to_string(list_slice(u, 1, a), '') as p,
+    array_to_string(list_slice(u, a + 1, b), '') as m,
+    array_to_string(list_slice(u, b + 1, n), '') as s from cut),
+made as (
+  select *, case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end as o from parts),
+found as (
+  select *, strpos(o, '<P>') as at_p, strpos(o, '<S>') as at_s, strpos(o, '<M>') as at_m from made)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars,
+  case when form <> 'plain' then length(m) end as middle_chars, sha256(o) as output_sha256,
+  sha256(case form when 'plain' then o
+    when 'psm' then substr(o, at_p + 3, at_s - at_p - 3) || substr(o, at_m + 3)
+      || substr(o, at_s + 3, at_m - at_s - 3)
+    else substr(o, at_p + 3, at_m - at_p - 3) || substr(o, at_m + 3)
+      || substr(o, at_s + 3, at_p - at_s - 3) end) as restored_sha256
+from found""",
 }

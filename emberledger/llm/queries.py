@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberledger.llm import (
-    decontamination, licenses, line_dedup, near_duplicates, personal_data, quality,
-    recompression, sentence_pieces, suffix_dedup, token_counts,
+    decontamination, fill_in_middle, licenses, line_dedup, near_duplicates, personal_data, quality,
+    recompression, sentence_pieces, simhash, suffix_dedup, token_counts,
 )
 from emberledger.llm.shared import ship
 
@@ -84,7 +84,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(documents(spark, sf_dir)).drop("text")
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_line_dedup, op3_sentence_pieces, op4_quality_rules,
     op5_substring_dedup, op6_token_counts, op7_personal_data, op8_license_scans,
-    op9_ngram_jaccard_join, op10_decontamination)}
+    op9_ngram_jaccard_join, op10_decontamination, op11_fill_in_middle,
+    op13_simhash_near_dedup)}
