@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberledger.llm import (
     decontamination, fill_in_middle, licenses, line_dedup, near_duplicates, personal_data, quality,
-    recompression, sentence_pieces, simhash, suffix_dedup, token_counts,
+    recompression, sentence_pieces, simhash, spelling, suffix_dedup, token_counts,
 )
 from emberledger.llm.shared import ship
 
@@ -88,6 +88,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digest(documents(spark, sf_dir)).drop("text")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
@@ -96,4 +100,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_line_dedup, op3_sentence_pieces, op4_quality_rules,
     op5_substring_dedup, op6_token_counts, op7_personal_data, op8_license_scans,
     op9_ngram_jaccard_join, op10_decontamination, op11_fill_in_middle,
-    op13_simhash_near_dedup)}
+    op12_spelling_variants, op13_simhash_near_dedup)}
