@@ -32,6 +32,7 @@ SAMPLE_WORDS, CELL_WORDS = 32_768, 16_384
 _LEAST_SAMPLE = 8  # sampled words of a cell, at least
 _HELD_WORDS = 100_000  # distinct words that a task counts before it hands them on
 _LEAF = 16  # words of a leaf of the trees within a cell
+_AT_ONCE = 1 << 15  # pairs of words that are looked at in one numpy step
 _POINT, _SAME, _SHORTER = range(3)
 
 #: Letters a-z and U+00C0 to U+00FF, by Latin-1 code, as coordinates.
@@ -301,11 +302,11 @@ class _Boxes:
 def _close(one: _Boxes, two: _Boxes, levels: tuple[int, int], p: np.ndarray, q: np.ndarray,
            distance: int) -> np.ndarray:
     out = np.zeros(len(p), bool)
-    for at in range(0, len(p), 8192):
-        a, b = p[at:at + 8192], q[at:at + 8192]
+    for at in range(0, len(p), 2048):
+        a, b = p[at:at + 2048], q[at:at + 2048]
         gap = np.maximum(one.low[levels[0]][a] - two.high[levels[1]][b], 0)
         gap += np.maximum(two.low[levels[1]][b] - one.high[levels[0]][a], 0)
-        out[at:at + 8192] = gap.sum(1) <= distance
+        out[at:at + 2048] = gap.sum(1) <= distance
     return out
 
 
@@ -340,7 +341,7 @@ def _one_more(longer: np.ndarray, shorter: np.ndarray) -> np.ndarray:
 class Cell:
     """Words of one length with their letters, points and tree."""
 
-    def __init__(self, words: list[str]) -> None:
+    def __init__(self, words: list[str], axes: np.ndarray | None = None) -> None:
         letters, begins = spelled(words)
         self.letters = letters.reshape(len(words), -1)
         points = letter_counts(words)
@@ -348,8 +349,10 @@ class Cell:
         self.odd = np.zeros(len(words), np.uint64)
         for axis in range(LETTERS):
             self.odd ^= np.where(points[:, axis] & 1, bits[axis], np.uint64(0))
-        self.points = points.astype(np.int16 if points.max(initial=0) < 1 << 14 else np.int32)
-        self.tree = _Boxes(self.points)
+        # Axes along which the cell's own words lie at zero can be left out: less is ruled out.
+        self.axes = np.flatnonzero(points.any(0)) if axes is None else axes
+        kind = np.int16 if points.max(initial=0) < 1 << 14 else np.int32
+        self.tree = _Boxes(np.ascontiguousarray(points[:, self.axes].astype(kind)))
 
 
 def near_pairs(points: Cell, asking: Cell | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -361,21 +364,32 @@ def near_pairs(points: Cell, asking: Cell | None) -> Iterator[tuple[np.ndarray,
     one, two = points.tree, other.tree
     p, q = near_leaves(one, two, distance)
     odd = [x.odd[x.tree.order].reshape(-1, x.tree.width) for x in (points, other)]
-    real = [x.tree.real.reshape(-1, x.tree.width) for x in (points, other)]
-    step = max(1, (1 << 18) // (one.width * two.width))
-    for at in range(0, len(p), step):
-        a, b = p[at:at + step], q[at:at + step]
-        # One edit changes at most two counts from odd to even or back.
-        near = np.bitwise_count(odd[0][a][:, :, None] ^ odd[1][b][:, None, :]) <= distance
-        near &= real[0][a][:, :, None] & real[1][b][:, None, :]
-        pair, x, y = np.nonzero(near)
-        i, j = one.order[a[pair] * one.width + x], two.order[b[pair] * two.width + y]
+    size = one.width * two.width
+    step = max(1, _AT_ONCE // size)
+    held, n_held = [], 0
+
+    def checked() -> tuple[np.ndarray, np.ndarray]:
+        pair, cell = np.divmod(np.concatenate(held), size)
+        x, y = p[pair] * one.width + cell // two.width, q[pair] * two.width + cell % two.width
+        i, j = one.order[x], two.order[y]
+        use = one.real[x] & two.real[y]
         if asking is None:
-            once = (a[pair] != b[pair]) | (i < j)  # a leaf meets itself both ways
-            i, j = i[once], j[once]
+            use &= (p[pair] != q[pair]) | (i < j)  # a leaf meets itself both ways
+        i, j = i[use], j[use]
         good = check(points.letters[i], other.letters[j])
-        if good.any():
-            yield i[good], j[good]
+        return i[good], j[good]
+
+    for at in range(0, len(p), step):
+        # One edit changes at most two counts from odd to even or back.
+        changed = np.bitwise_count(odd[0][p[at:at + step]][:, :, None]
+                                   ^ odd[1][q[at:at + step]][:, None, :])
+        held.append(np.flatnonzero(changed <= distance) + at * size)
+        n_held += len(held[-1])
+        if n_held > _AT_ONCE:
+            yield checked()
+            held, n_held = [], 0
+    if n_held:
+        yield checked()
 
 
 def _search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -388,7 +402,7 @@ def _search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     for kind, table in ((None, of[_POINT]), (_SAME, of[_SAME]), (_SHORTER, of[_SHORTER])):
         if not len(table):
             continue
-        asking = None if kind is None else Cell(table.column("word").to_pylist())
+        asking = None if kind is None else Cell(table.column("word").to_pylist(), points.axes)
         for i, j in near_pairs(points, asking):
             a, b = of[_POINT].take(pa.array(i)), table.take(pa.array(j))
             for x, y in ((a, b), (b, a)):
