@@ -17,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from emberledger.llm.repeats import Kind, doc_id, keyed, marked, without_spans
+from emberledger.llm.repeats import Kind, doc_id, in_stretches, keyed, marked, without_spans
 from emberledger.llm.tokens import Texts, Words, mix, windows, within
 
 #: Words of a repeated window, and rounds of pairs after the one of runs.
 WINDOW, ROUNDS = 20, 1
+_STRETCH = 1 << 17  # windows of a long text that are looked at together
 _FAR = 1 << 40  # a boundary of the text itself rests on what no window holds
 
 
@@ -66,11 +67,18 @@ def boundaries(keys: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, ...]:
 def anchored_runs(column: pa.Array, size: int) -> tuple[np.ndarray, ...]:
     """Runs of windows of ``size`` words that share an anchor; see ``repeats.Kind.runs``."""
     words = Words(Texts.of(column))
-    keys, n = words.keys, len(words.begins)
-    at, none = within(words.ranges, size), np.zeros(0, np.int64)
+    if len(words.texts) > 1 or len(words.begins) <= _STRETCH:
+        return _runs(words.keys, words.ranges, size)
+    return in_stretches(len(words.begins), _STRETCH, size, lambda begin, end: _runs(
+        words.keys[begin:end], np.array([0, end - begin]), size))
+
+
+def _runs(keys: np.ndarray, ranges: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    n = len(keys)
+    at, none = within(ranges, size), np.zeros(0, np.int64)
     if not len(at):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    place, low, high, name = boundaries(keys, words.ranges)
+    place, low, high, name = boundaries(keys, ranges)
     best = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     anchor = np.full(n, -1, np.int64)
     rank, first, last = (np.zeros(n + size, t) for t in (np.uint64, np.int64, np.int64))
@@ -102,8 +110,8 @@ def anchored_runs(column: pa.Array, size: int) -> tuple[np.ndarray, ...]:
         core = mix((sums[b] - sums[a]) * down[a] + mix((b - a) << 8 | alone))
         context = mix((whole[lo] ^ mix(whole[hi])) + mix((hi - lo) << 20 | (
             np.where(alone, 0, anchor - lo))))
-    owner = words.owners[lo]
-    return owner, lo - words.ranges[owner], hi - lo + 1, core, context
+    owner = np.searchsorted(ranges, lo, "right") - 1
+    return owner, lo - ranges[owner], hi - lo + 1, core, context
 
 
 def _cut(column: pa.Array, owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
@@ -124,14 +132,20 @@ def kind_of(size: int) -> Kind:
 def _kept(column: pa.Array, spans: list[np.ndarray]) -> tuple[list[int], list[int], list[bytes]]:
     words = Words(Texts.of(column))
     raw, counts, removed, kept = words.texts.data.tobytes(), [], [], []
-    begins, ends = words.begins.tolist(), words.ends.tolist()
     for i, own in enumerate(spans):
         low, high = int(words.ranges[i]), int(words.ranges[i + 1])
-        gone = marked(high - low, own) if len(own) else None
-        kept.append(b" ".join([raw[begins[j]:ends[j]] for j in range(low, high)
-                               if gone is None or not gone[j - low]]))
+        stay = np.arange(low, high)
+        if len(own):
+            gone = marked(high - low, own)
+            stay = stay[~gone]
+        parts = []
+        for at in range(0, len(stay), _STRETCH):
+            some = stay[at:at + _STRETCH]
+            parts.append(b" ".join([raw[b:e] for b, e in zip(
+                words.begins[some].tolist(), words.ends[some].tolist(), strict=True)]))
+        kept.append(b" ".join(parts))
         counts.append(high - low)
-        removed.append(0 if gone is None else int(gone.sum()))
+        removed.append(high - low - len(stay))
     return counts, removed, kept
 
 

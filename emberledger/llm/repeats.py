@@ -58,7 +58,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, mark, text): never null; ``mark`` tells apart texts that share an id."""
     text = text_of(docs, text_col)
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"),
-                       F.crc32(F.encode(text, "utf-8")).alias("mark"), text.alias("text"))
+                       F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def doc_id(name: str) -> Column:
@@ -139,9 +139,9 @@ def _contexts(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
                  lo, n, copies, pa.array(units, pa.binary())],
                 ["core", "doc", "mark", "lo", "n", "copies", "units"])
 
-    # Rows with equal keys hold the same text: one of them gives the contexts of all.
-    single = docs.join(lists, ["doc", "mark"]).select("doc", "mark", "text", "runs")
-    return single.dropDuplicates(["doc", "mark"]).mapInArrow(run, schema)
+    # Repeated rows give their contexts once each: the comparisons know them by their places.
+    return docs.join(lists, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(
+        run, schema)
 
 
 def _window_keys(rows: pa.Table, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,8 +168,11 @@ def _repeated_in_groups(rows: pa.Table, kind: Kind) -> pa.RecordBatch:
     first = np.ones(len(order), bool)
     first[1:] = sorted_key[1:] != sorted_key[:-1]
     repeated = np.zeros(len(order), bool)
-    if kind.later:
-        repeated[order] = ~first
+    if kind.later:  # not in the first place, which rows of equal id and text share
+        of = order[np.repeat(np.flatnonzero(first), np.diff(np.append(
+            np.flatnonzero(first), len(order))))]
+        repeated[order] = (doc[owner[order]] != doc[owner[of]]) | (
+            mark[owner[order]] != mark[owner[of]]) | (at[order] != at[of])
     elif len(order):
         starts = np.flatnonzero(first)
         total = np.add.reduceat(copies[owner][order], starts)
@@ -271,7 +274,7 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     crowds = contexts.groupBy("core").agg(F.count("*").alias("crowd")).where("crowd > 1")
     mixed = stored(contexts.join(crowds, "core").select(
         "core", "at.*", "copies", "crowd"), "mixed")
-    dealt = docs.repartition("doc")
+    dealt = docs.repartition("doc", "mark")
     spans = copies.union(_compare_groups(
         _contexts(dealt, mixed.where(F.col("crowd") <= CROWD), kind), kind))
     crowded = mixed.where(F.col("crowd") > CROWD)
@@ -303,7 +306,23 @@ def without_spans(docs: DataFrame, kind: Kind, added: str,
 
 def marked(n: int, spans: np.ndarray) -> np.ndarray:
     """Which of ``n`` units lie in a span."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, spans[:, 0], 1)
-    np.add.at(change, spans[:, 1], -1)
-    return np.cumsum(change[:-1]) > 0
+    out = np.zeros(n, bool)
+    if len(spans):
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(spans[:, 1])
+        new = np.flatnonzero(np.concatenate(([True], spans[1:, 0] > reach[:-1])))
+        ends = reach[np.append(new[1:], len(spans)) - 1]
+        for begin, end in zip(spans[new, 0].tolist(), ends.tolist(), strict=True):
+            out[begin:end] = True
+    return out
+
+
+def in_stretches(n: int, limit: int, size: int,
+                 runs: Callable[[int, int], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """The runs of one long text of ``n`` units, which ``runs(begin, end)`` finds for stretches
+    of ``limit`` windows as if each were a text. A run that is cut in two has two contexts."""
+    found = []
+    for begin in range(0, max(1, n - size + 1), limit):
+        owner, lo, *rest = runs(begin, min(n, begin + limit + size - 1))
+        found.append((owner, lo + begin, *rest))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))

@@ -18,7 +18,11 @@ import emberledger
 from emberledger.session import checkpoint_root
 
 #: Text bytes that one numpy step works on; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 256 << 10
+#: Bytes of an Arrow batch between the JVM and Python, at most (a longer row is one of its own);
+#: by default Spark counts rows only, however wide they are.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -32,8 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> SparkSession:
     """Makes this package importable on executors that were started without it, once for each
-    application, as ``--py-files`` does."""
+    application, as ``--py-files`` does, and bounds the Arrow batches of the session in bytes,
+    where it does not say itself how large they may be."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
     if _SHIPPED.get("to") != context.applicationId:
         root = Path(emberledger.__file__).resolve().parent
         archive = Path(tempfile.mkdtemp()) / "emberledger-code.zip"

@@ -17,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from emberledger.llm.repeats import Kind, doc_id, keyed, marked, without_spans
+from emberledger.llm.repeats import Kind, doc_id, in_stretches, keyed, marked, without_spans
 from emberledger.llm.tokens import Texts, fingerprints, mix, within
 
 #: Bytes of a repeated string, and bytes by which anchors are ranked first.
 THRESHOLD, CORE = 200, 48
-_SEED = 12  # bytes whose fingerprint says which position becomes an anchor
+_SEED = 12  # bytes whose hash says which position becomes an anchor
+_STRETCH = 1 << 20  # windows of a long text that are looked at together
 
 
 def _lowest(values: np.ndarray, span: int) -> np.ndarray:
@@ -38,15 +39,22 @@ def _lowest(values: np.ndarray, span: int) -> np.ndarray:
 def anchored_runs(column: pa.Array, size: int, core: int) -> tuple[np.ndarray, ...]:
     """Runs of windows of ``size`` bytes that share an anchor; see ``repeats.Kind.runs``."""
     texts = Texts.of(column)
+    if len(texts) > 1 or len(texts.data) <= _STRETCH:
+        return _runs(texts, size, core)
+    return in_stretches(len(texts.data), _STRETCH, size, lambda begin, end: _runs(
+        Texts(texts.data[begin:end], np.array([0, end - begin])), size, core))
+
+
+def _runs(texts: Texts, size: int, core: int) -> tuple[np.ndarray, ...]:
     n, none = len(texts.data), np.zeros(0, np.int64)
     at = within(texts.offsets, size)
     if not len(at):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     sums = texts.sums()
-    seeds = np.arange(n - _SEED + 1)
-    value = fingerprints(sums, seeds, seeds + _SEED)
+    eight = np.ndarray(n - 7, "<u8", np.ascontiguousarray(texts.data), strides=(1,))
+    value = mix(eight[:n - _SEED + 1] ^ mix(eight[_SEED - 8:]))
     low = np.uint64(0xFFFFFFFF)
-    order = (value & ~low) | seeds.astype(np.uint64)  # the first of equal ones wins
+    order = (value & ~low) | np.arange(len(value)).astype(np.uint64)  # the first of equal wins
     anchor = (_lowest(order, size - core + 1)[at] & low).astype(np.int64)
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
@@ -68,6 +76,8 @@ def _cut(column: pa.Array, owner: np.ndarray, begin: np.ndarray, end: np.ndarray
 
 
 def kind_of(threshold: int) -> Kind:
+    if threshold < _SEED:
+        raise ValueError(f"the threshold has to be {_SEED} bytes at least")
     core = min(CORE, threshold)
 
     def prints(units: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
