@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberledger.llm.shared import add_columns, text_of
-from emberledger.llm.tokens import Texts, Words, covered, fingerprints, mix, windows, within
+from emberledger.llm.tokens import Texts, Words, covered, mix, windows, within
 
 #: Labelled documents that the model is fitted on, at most; every fourth calibrates it.
 SAMPLE_ROWS = 4096
@@ -24,6 +24,7 @@ BUCKETS = 1 << 16
 THRESHOLD = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _ROUNDS, _RATE, _SHRINK = 80, 1.0, 1e-5
+_FIT_ROWS = 128  # documents whose n-grams are weighed at once while fitting
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 
@@ -62,32 +63,42 @@ def fit(texts: list[str], good: np.ndarray) -> np.ndarray | None:
     held = np.arange(len(good)) % 4 == 3
     if not 0 < good[~held].sum() < (~held).sum():
         return None
-    owners, numbers, shares = [], [], []
-    for i, text in enumerate(texts):
-        words = Words(Texts.of(pa.array([text])))
-        for found, _ranges in ngrams(words):
-            own, count = np.unique(found, return_counts=True)
-            owners.append(np.full(len(own), i))
-            numbers.append(own)
-            shares.append(count / max(1, len(found)))
-    owners, numbers, shares = map(np.concatenate, (owners, numbers, shares))
+    chunks: dict[bool, list[tuple[np.ndarray, ...]]] = {False: [], True: []}
+    for first in range(0, len(texts), _FIT_ROWS):
+        rows: dict[bool, list[tuple[np.ndarray, ...]]] = {False: [], True: []}
+        for i in range(first, min(first + _FIT_ROWS, len(texts))):
+            for found, _ranges in ngrams(Words(Texts.of(pa.array([texts[i]])))):
+                own, count = np.unique(found, return_counts=True)
+                rows[bool(held[i])].append((
+                    np.full(len(own), i, np.int32), own.astype(np.int32),
+                    (count / max(1, len(found))).astype(np.float32)))
+        for side, found in rows.items():
+            if found:
+                chunks[side].append(tuple(map(np.concatenate, zip(*found, strict=True))))
     size = 3 * BUCKETS
-    train = ~held[owners]
     balance = np.where(good > 0, 0.5 / good[~held].mean(), 0.5 / (1 - good[~held].mean()))
     balance[held] = 0
-    o, n, s = owners[train], numbers[train], shares[train]
+
+    def scores(side: bool) -> np.ndarray:
+        z = np.full(len(good), bias)
+        for o, n, s in chunks[side]:
+            z += np.bincount(o, s * w[n], len(good))
+        return z
+
     w, bias = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, _ROUNDS + 1):
-        z = np.bincount(o, s * w[n], len(good)) + bias
+        z = scores(False)
         error = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good) / len(good)
-        g, gb = np.bincount(n, s * error[o], size) + _SHRINK * w / len(good), error.sum()
+        g, gb = _SHRINK * w / len(good), error.sum()
+        for o, n, s in chunks[False]:
+            g += np.bincount(n, s * error[o], size)
         m, mb = 0.9 * m + 0.1 * g, 0.9 * mb + 0.1 * gb
         v, vb = 0.99 * v + 0.01 * g * g, 0.99 * vb + 0.01 * gb * gb
         rate = _RATE * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)
         w -= rate * m / (np.sqrt(v) + 1e-9)
         bias -= 0.1 * rate * mb / (np.sqrt(vb) + 1e-9)
-    z = np.bincount(owners, shares * w[numbers], len(good)) + bias
+    z = scores(True)
     slope, shift = calibrate(z[held], good[held])
     return np.concatenate((w, [slope, shift, bias]))
 
@@ -151,7 +162,6 @@ def _repeated(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
 def base_counts(words: Words) -> dict[str, np.ndarray]:
     """The counts that the base rules stand on, of each text."""
     texts = words.texts
-    sums = texts.sums()
 
     def per_text(flags: np.ndarray, ranges: np.ndarray) -> np.ndarray:
         before = np.concatenate(([0], np.cumsum(flags)))
@@ -172,7 +182,7 @@ def base_counts(words: Words) -> dict[str, np.ndarray]:
     begins, ends = begins[real], ends[real]
     ranges = texts.ranges(begins)
     owners = np.repeat(np.arange(len(texts)), np.diff(ranges))
-    lines = mix(fingerprints(sums, begins, ends) + mix(owners))
+    lines = mix(texts.prints(begins, ends) + mix(owners))
     order = np.argsort(lines, kind="stable")
     later = np.zeros(len(lines), bool)
     later[order[1:][lines[order][1:] == lines[order][:-1]]] = True
