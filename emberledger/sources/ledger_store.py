@@ -1,4 +1,7 @@
-"""Ledger tables on shared storage, partitioned so that period filters prune files."""
+"""Ledger tables on shared storage, partitioned so that period filters prune files.
+
+Every change is a commit of a ``SnapshotTable``: readers see the table before it or after it.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberledger.operators.bounds import settled
+from emberledger.sources.snapshots import Partition, SnapshotTable
 
 PARTITIONS = ["period_year", "entity_bucket"]
 ENTITY_BUCKETS = 64
@@ -22,39 +26,34 @@ def entity_bucket(entity_id, buckets: int = ENTITY_BUCKETS):
     return F.pmod(F.xxhash64(entity_id), F.lit(buckets)).cast("int")
 
 
-def append(df: DataFrame, path: str, buckets: int = ENTITY_BUCKETS) -> None:
-    """Add rows. Rebalancing lets AQE split the partition of a large entity among tasks."""
-    rows = with_partitions(df, buckets)
-    rows.hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS).mode("append").parquet(path)
+def ledger_table(spark: SparkSession, path: str) -> SnapshotTable:
+    return SnapshotTable(spark, path, PARTITIONS)
+
+
+def append(df: DataFrame, path: str, buckets: int = ENTITY_BUCKETS) -> int:
+    """Add rows; returns the version that has them."""
+    return ledger_table(df.sparkSession, path).append(with_partitions(df, buckets))
 
 
 def replace_rows(
     spark: SparkSession, df: DataFrame, path: str, key: str, buckets: int = ENTITY_BUCKETS
-) -> None:
+) -> int:
     """Insert rows in place of stored rows with the same key (recomputed calculations).
 
     A row may move to another year or entity: the stored partitions that hold one of the keys are
     rewritten along with those that the new rows fall into, and no others are. The keys' search
-    reads two columns of the table. What is written is settled on shared storage first, so that
-    the overwrite reads nothing that it replaces.
+    reads two columns of the table. Returns the version that has the rows; ``ConcurrentWrite`` if
+    another writer has changed one of those partitions, or one of the keys, in the meantime.
     """
-    rows = with_partitions(df, buckets)
-    stored = spark.read.parquet(path)
+    table = ledger_table(spark, path)
+    rows, base = settled(with_partitions(df, buckets), "ledger-rows"), table.snapshot()
+    stored = base.rows()
     held = stored.select(key, *PARTITIONS).join(rows.select(key), key, "left_semi")
-    touched = held.select(*PARTITIONS).union(rows.select(*PARTITIONS)).distinct()
-    kept = stored.join(touched, PARTITIONS, "left_semi").join(rows.select(key), key, "left_anti")
-    merged = settled(kept.unionByName(rows.select(*stored.columns)), "ledger-rows")
-    emptied = touched.join(merged.select(*PARTITIONS).distinct(), PARTITIONS, "left_anti").collect()
-    (
-        merged.hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS)
-        .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-    )
-    # A partition whose only rows moved away gets no new files, so it is taken out.
-    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
-        spark._jsc.hadoopConfiguration()) if emptied else None
-    for year, bucket in emptied:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(
-            path, f"period_year={year}/entity_bucket={bucket}"), True)
+    touched = table.partitions_of(held.select(*PARTITIONS).union(rows.select(*PARTITIONS)))
+    kept = base.rows(touched.__contains__).join(rows.select(key), key, "left_anti")
+    return table.commit(
+        base, kept.unionByName(rows.select(*stored.columns)), touched,
+        clash=lambda new: bool(new.join(rows.select(key), key, "left_semi").limit(1).count()))
 
 
 def scan(
@@ -64,9 +63,14 @@ def scan(
     year: int | None = None,
     document_id: str | None = None,
     buckets: int = ENTITY_BUCKETS,
+    version: int | None = None,
 ) -> DataFrame:
-    """Stored rows; entity and year prune directories, the document is pushed to the files."""
-    df = spark.read.parquet(path)
+    """Stored rows of the latest version, or of the one asked for. The folders of other years are
+    not opened; the bucket of the entity and the document are pushed to the scan."""
+    def wanted(partition: Partition) -> bool:
+        return year is None or partition[0] == str(year)
+
+    df = ledger_table(spark, path).snapshot(version).rows(wanted)
     if year is not None:
         df = df.where(F.col("period_year") == year)
     if entity_id is not None:
