@@ -964,6 +964,19 @@ _oracle("q_stream_scope_totals", """
       CAST(sum(t) AS DOUBLE) AS total_tco2e, CAST(sum(n) AS BIGINT) AS activity_count
     FROM inv GROUP BY ALL""", "inv")
 
+_AGAIN = "CASE WHEN return_flag = 'R' THEN 1 ELSE 0 END"
+_oracle("q_stream_net_totals", f"""
+    SELECT entity_id, yr + {_AGAIN} AS reporting_year, CAST(scope AS BIGINT) AS scope,
+      CAST(sum(result_tco2e * (1 + {_AGAIN})) AS DOUBLE) AS total_tco2e,
+      count(*) AS activity_count
+    FROM led GROUP BY ALL""", "led")
+_oracle("q_ledger_versions", f"""
+    SELECT CAST(v AS BIGINT) AS version, entity_id,
+      yr + CASE v WHEN 2 THEN {_AGAIN} ELSE 0 END AS reporting_year,
+      CAST(sum(result_tco2e * (1 + CASE v WHEN 2 THEN {_AGAIN} ELSE 0 END)) AS DOUBLE)
+        AS total_tco2e, count(*) AS activity_count
+    FROM led, (VALUES (1), (2)) AS versions(v) GROUP BY ALL""", "led")
+
 # -- scenarios and suppliers -----------------------------------------------------------
 
 _SCENARIO = f"""

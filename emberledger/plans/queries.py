@@ -30,8 +30,8 @@ from emberledger.operators import (
 )
 from emberledger.plans.testbed import Testbed, flat, line_id
 from emberledger.session import checkpoint_root
-from emberledger.sources import documents
-from emberledger.streaming import ingest
+from emberledger.sources import documents, ledger_store
+from emberledger.streaming import ingest, retraction
 
 _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {}
 
@@ -965,6 +965,52 @@ def q_stream_scope_totals(t: Testbed) -> DataFrame:
     return t.spark.read.parquet(out)
 
 
+def _recalculated(rows: DataFrame) -> DataFrame:
+    """Calculations of returned items done again: twice the result, and a year later."""
+    return rows.where("return_flag = 'R'").withColumns({
+        "result_tco2e": (F.col("result_tco2e") * 2).cast("decimal(20,8)"),
+        "period_start": F.add_months("period_start", 12)})
+
+
+@_query
+def q_stream_net_totals(t: Testbed) -> DataFrame:
+    """Scope totals after a stream of calculations, of which those of returned items come again
+    with new results, and those of accepted items arrive twice."""
+    folder = f"{checkpoint_root(t.spark)}/net-totals-{uuid.uuid4()}"
+    runs = t.computed().select(
+        "activity_id", "calculation_id", F.col("created_at").alias("computed_at"), "entity_id",
+        "period_start", "scope", "result_tco2e", "calc_status", "return_flag")
+    runs.write.parquet(f"{folder}/runs")
+    first = t.spark.read.parquet(f"{folder}/runs")
+    again = _recalculated(first).withColumns({
+        "calculation_id": F.md5(F.concat("calculation_id", F.lit("|2"))),
+        "computed_at": F.col("computed_at") + F.expr("INTERVAL 1 DAY")})
+    arrivals = (first, again.unionByName(first.where("return_flag = 'A'")))
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema(first.schema).parquet(f"{folder}/in")
+        retraction.keep_differences(stream, f"{folder}/out", folder.rsplit("/", 1)[1]
+                                    ).awaitTermination()
+    return retraction.net_scope_totals(t.spark, f"{folder}/out")
+
+
+@_query
+def q_ledger_versions(t: Testbed) -> DataFrame:
+    """Yearly totals of a stored ledger before and after the results of returned items were
+    replaced, each from its own version."""
+    path = f"{checkpoint_root(t.spark)}/ledger-versions-{uuid.uuid4()}"
+    ledger_store.append(t.ledger("return_flag"), path)
+    stored = ledger_store.scan(t.spark, path, version=1)
+    ledger_store.replace_rows(
+        t.spark, _recalculated(stored).drop(*ledger_store.PARTITIONS), path, "activity_id")
+    versions = [ledger_store.scan(t.spark, path, version=v).withColumn("version", F.lit(v))
+                for v in (1, 2)]
+    return versions[0].union(versions[1]).groupBy(
+        "version", "entity_id", F.year("period_start").alias("reporting_year")).agg(
+        F.sum("result_tco2e").cast(inventory.TOTAL).alias("total_tco2e"),
+        F.count("*").alias("activity_count"))
+
+
 # -- scenarios and suppliers -----------------------------------------------------------
 
 
