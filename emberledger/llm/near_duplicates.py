@@ -1,16 +1,15 @@
-"""N-gram Jaccard join over a tree of count vectors.
-
-Shingles are hashed into groups, and how many shingles of all documents fall into each group
-orders the coordinates of the space: rare groups come first. A document is the point of its
-counts. The tree splits by one coordinate after the other and holds a point under each of its
-first coordinates, as many as it takes until the minima of the others cannot sum up to the
-overlap of a link. So linked points share a leaf, and shared passages, which lie in frequent
-groups, hardly ever make one. Points meet in the first leaf that they share, where the minima of
-both from that coordinate on must still suffice; then they are bounded by the summed minima of
-short count vectors, and what survives is verified on the shingles.
-
-Equal points are one class from the start. Links inside a class, or between nodes that are
-joined already, need no look: only the components are asked for.
+"""N-gram Jaccard join by prefix filtering, in place of a tree of count vectors.
+
+Of n shingles a link needs a share, so linked documents have one of the first n - needed + 1 of
+their shingles in common, whatever one order all documents follow. Here shingles of rare groups
+come first: how many shingles of all documents fall into each hashed group gives the order, so
+shared passages, which lie in frequent groups, hardly ever make a pair. These first shingles are an
+inverted index (its lists are called leaves below); pairs that meet there are bounded by what
+is left of both from that place on, then by the summed minima of short vectors of group counts,
+and what survives is verified on the shingles. No index over the vectors themselves is built.
+
+Equal points (documents of equal sets) are one class from the start. Links inside a class, or
+between nodes that are joined already, need no look: only the components are asked for.
 """
 
 from __future__ import annotations
@@ -103,7 +102,7 @@ def _packed(total: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def leaf_keys(sets: np.ndarray, ranges: np.ndarray, percent: int,
               frequency: np.ndarray) -> list[np.ndarray]:
-    """The leaves of each document: its first coordinates. Of n shingles a link needs ``percent``
+    """The leaves of each document: its first shingles. Of n shingles a link needs ``percent``
     in a hundred at least, so if two documents share none of the first n - needed + 1 of theirs,
     what is left is too little."""
     order = (frequency[group_of(sets)].astype(np.uint64) << np.uint64(32)) | (

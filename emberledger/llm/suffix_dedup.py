@@ -1,12 +1,12 @@
-"""Suffix-array dedup by distributed prefix doubling.
-
-Ranking every byte position would put ten times the text into each shuffle, so the doubling runs
-over sampled positions (anchors), of which every window of the threshold's length holds one that
-depends on its own bytes only. Ranks grow with the length that is compared: anchors are ranked by
-their first ``CORE`` bytes, those of unique rank are done, the others are ranked anew by the pair
-of that rank and the bytes around, up to the whole context and so past the threshold; where
-contexts differ, positions are ranked one by one by the whole threshold. A rank is a fingerprint,
-which Spark counts and joins; equal strings have equal ranks in all documents.
+"""Suffix-array dedup over sampled positions, in place of prefix doubling.
+
+Ranking every byte position by pairs of ranks would put many times the text into each shuffle, so
+only sampled positions (anchors) are ranked, of which every window of the threshold's length holds
+one that depends on its own bytes only. The length that is compared grows: anchors are grouped by
+their first ``CORE`` bytes, those of a unique group are done, the others are grouped anew with
+their whole context, past the threshold; where contexts differ, positions are compared one by one
+by the whole threshold. A rank is a fingerprint, which Spark counts and joins; nothing is reranked
+by pairs at doubled offsets. Equal strings have equal ranks in all documents.
 """
 
 from __future__ import annotations
