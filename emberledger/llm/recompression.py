@@ -1,7 +1,8 @@
 """Substring dedup by the first level of recompression.
 
-Further levels are left out: windows are verified on their words instead. The rounds name runs of equal tokens, then pairs of neighbours of which the first falls on one side
-of a global coin and the second on the other. A name is a fingerprint of what it stands for, so
+Further levels are left out: windows are verified on their words instead. The rounds name runs of
+equal tokens, then pairs of neighbours of which the first falls on one side of a global coin and
+the second on the other. A name is a fingerprint of what it stands for, so
 it is the same in all documents and needs no dictionary. Whether a boundary between symbols is
 left by a round depends on the symbols beside it only; each boundary carries the range of words
 that its survival rests on. Equal windows therefore hold the same surviving boundaries wherever
