@@ -75,16 +75,31 @@ def regex_quote(c: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def regex_substitute(c: Column, pattern: str, replacement: Callable[[Column], Column]) -> Column:
-    """Replace each match by an expression of the match, in a single pass over the text.
+_MARK = "\u0001"
 
-    The text between matches comes from ``split``, the matches from ``regexp_extract_all``;
-    both see the same matches, so zipping them back together substitutes exactly.
+
+def regex_parts(c: Column, pattern: str) -> Column:
+    """The text around the matches and the matches in turn: text first and last, matches between.
+
+    The matches are marked in a single pass and the text is split at the marks. Only a text that
+    has the mark itself takes two passes, one for the text around and one for the matches.
     """
-    pieces = F.split(c, pattern, -1)
+    marked = F.split(F.regexp_replace(c, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    around = F.split(c, pattern, -1)
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    swapped = F.concat(F.transform(found, replacement), F.array(F.lit("")))
-    return F.array_join(F.zip_with(pieces, swapped, lambda a, b: F.concat(a, b)), "")
+    apart = F.flatten(F.zip_with(around, found, lambda a, b: F.array_compact(F.array(a, b))))
+    return F.when(F.contains(c, F.lit(_MARK)), apart).otherwise(marked)
+
+
+def matches_of(parts: Column) -> Column:
+    """The matches among the parts of ``regex_parts``."""
+    return F.filter(parts, lambda _p, n: n % 2 == 1)
+
+
+def substituted(parts: Column, replacement: Callable[[Column], Column]) -> Column:
+    """The text of the parts of ``regex_parts`` with an expression in place of each match."""
+    return F.array_join(F.transform(
+        parts, lambda p, n: F.when(n % 2 == 1, replacement(p)).otherwise(p)), "")
 
 
 def fill(template: str, **values: Column) -> Column:

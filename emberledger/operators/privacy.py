@@ -13,9 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberledger.constants import ACCOUNT_LABEL_PATTERN, ACCOUNT_STANDALONE_PATTERN
-from emberledger.functions.text import bind, regex_quote, regex_substitute, squeeze, strip
+from emberledger.functions.text import (
+    bind,
+    matches_of,
+    regex_parts,
+    regex_quote,
+    squeeze,
+    strip,
+    substituted,
+)
 from emberledger.functions.tokens import SUPPLIER_PREFIX, tokenize_account, tokenize_supplier
 from emberledger.operators.bounds import fixed_table
+from emberledger.operators.names import ENTRY, with_names
 
 
 def supplier_pattern(name: Column) -> Column:
@@ -27,15 +36,9 @@ def supplier_pattern(name: Column) -> Column:
 
 
 def supplier_dictionary(suppliers: DataFrame) -> DataFrame:
-    """Names (column ``name``) with length, token, pattern and key word, tokens left out.
-
-    The key word of a name is the one fewest other names share, so that a text meets few
-    names that it does not contain, however many names begin alike. A name without a letter or
-    digit has the empty key word, which every text meets.
-    """
-    name = strip(F.col("name"))
-    names = (
-        suppliers.select(name.alias("name"))
+    """Names (column ``name``) with length, token and pattern, tokens left out."""
+    return (
+        suppliers.select(strip(F.col("name")).alias("name"))
         .where((F.col("name") != "") & ~F.startswith("name", F.lit(SUPPLIER_PREFIX)))
         .distinct()
         .select(
@@ -44,20 +47,6 @@ def supplier_dictionary(suppliers: DataFrame) -> DataFrame:
             supplier_pattern(F.col("name")).alias("pattern"),
         )
     )
-    words = names.select("name", F.explode(_words(F.col("name"))).alias("word"))
-    shared = words.groupBy("word").agg(F.count(F.lit(1)).alias("_names"))
-    key = words.join(shared, "word").groupBy("name").agg(
-        F.min_by("word", F.struct("_names", -F.length("word"), "word")).alias("key_word")
-    )
-    return names.join(key, "name", "left").withColumn("key_word", F.coalesce("key_word", F.lit("")))
-
-
-def _words(text: Column) -> Column:
-    """Distinct words of a text; words of a name occur in a text as whole words only."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1)))
-
-
-_ENTRY = "array<struct<name_length:int,name:string,token:string,pattern:string>>"
 
 
 def name_candidates(
@@ -65,25 +54,11 @@ def name_candidates(
 ) -> DataFrame:
     """Add ``_names``: the dictionary entries that may be in each text, longest name first.
 
-    One way for lists and tables of any length: each distinct word of a text finds the names it
-    is the key word of. Words that are no key word are dropped before anything is shuffled by
-    them, and the texts themselves are joined once.
+    One way for lists and tables of any length: a trie of all names walks each text once.
     """
-    longest_first = lambda a, b: (
-        F.when(a["name_length"] > b["name_length"], -1)
-        .when(a["name_length"] < b["name_length"], 1)
-        .when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
-    )
     if not isinstance(suppliers, DataFrame):
         suppliers = fixed_table(docs.sparkSession, [(s,) for s in suppliers] or [("",)], ["name"])
-    entries = supplier_dictionary(suppliers)
-    words = docs.select(
-        key, F.explode(F.array_append(_words(F.col(text)), F.lit(""))).alias("key_word"))
-    found = words.join(entries, "key_word").groupBy(key).agg(F.array_sort(
-        F.collect_set(F.struct("name_length", "name", "token", "pattern")), longest_first
-    ).alias("_names"))
-    return docs.join(found, key, "left").withColumn(
-        "_names", F.coalesce("_names", F.array().cast(_ENTRY)))
+    return with_names(docs, text, supplier_dictionary(suppliers), key)
 
 
 def _replace_names(text: Column, entries: Column) -> Column:
@@ -95,7 +70,7 @@ def _replace_names(text: Column, entries: Column) -> Column:
 def replaced_names(text: Column, entries: Column) -> Column:
     """(text, names): the running text after each name in turn, and the entries that changed it.
     A name inside a longer one that is replaced already does not count."""
-    start = F.struct(text.alias("text"), F.array().cast(_ENTRY).alias("names"))
+    start = F.struct(text.alias("text"), F.array().cast(f"array<{ENTRY}>").alias("names"))
     return F.aggregate(entries, start, lambda acc, e: F.when(
         F.rlike(acc["text"], e["pattern"]),
         F.struct(F.regexp_replace(acc["text"], e["pattern"], e["token"]).alias("text"),
@@ -103,15 +78,13 @@ def replaced_names(text: Column, entries: Column) -> Column:
     ).otherwise(acc))
 
 
-def labelled_matches(text: Column) -> tuple[Column, Column]:
-    """(whole matches, identifiers) of the labelled pattern, position by position."""
-    whole = F.regexp_extract_all(text, F.lit(ACCOUNT_LABEL_PATTERN), F.lit(0))
-    return whole, F.regexp_extract_all(text, F.lit(ACCOUNT_LABEL_PATTERN), F.lit(2))
+def _label_identifier(match: Column) -> Column:
+    return F.regexp_extract(match, ACCOUNT_LABEL_PATTERN, 2)
 
 
 def _redact_label(match: Column) -> Column:
     return bind(
-        F.regexp_extract(match, ACCOUNT_LABEL_PATTERN, 2),
+        _label_identifier(match),
         lambda identifier: F.concat(
             F.substr(match, F.lit(1), F.length(match) - F.length(identifier)),
             tokenize_account(identifier),
@@ -127,21 +100,18 @@ def redact(
                          suppliers, key)
     df = df.withColumn("_done", replaced_names(F.col("_text"), F.col("_names"))).withColumns(
         {"_t1": F.col("_done.text"), "_suppliers": F.col("_done.names")})
-    df = df.withColumn(
-        "_standalone",
-        F.regexp_extract_all("_t1", F.lit(ACCOUNT_STANDALONE_PATTERN), F.lit(0)),
-    ).withColumn("_t2", regex_substitute(F.col("_t1"), ACCOUNT_STANDALONE_PATTERN,
-                                         tokenize_account))
-    df = df.withColumn("_labelled", labelled_matches(F.col("_t2"))[1]).withColumn(
-        "_t3", regex_substitute(F.col("_t2"), ACCOUNT_LABEL_PATTERN, _redact_label)
-    )
-    df = df.withColumn("_raws", F.array_distinct(F.concat("_standalone", "_labelled")))
+    df = df.withColumn("_p1", regex_parts(F.col("_t1"), ACCOUNT_STANDALONE_PATTERN))
+    df = df.withColumn("_p2", regex_parts(
+        substituted(F.col("_p1"), tokenize_account), ACCOUNT_LABEL_PATTERN))
+    df = df.withColumn("_t3", substituted(F.col("_p2"), _redact_label)).withColumn(
+        "_raws", F.array_distinct(F.concat(
+            matches_of(F.col("_p1")), F.transform(matches_of(F.col("_p2")), _label_identifier))))
     leftover = F.aggregate(
         F.col("_raws"), F.col("_t3"),
-        lambda acc, raw: F.regexp_replace(
+        lambda acc, raw: F.when(F.contains(acc, raw), F.regexp_replace(
             acc, F.concat(F.lit(r"(?<!TOKEN_)\b"), regex_quote(raw), F.lit(r"\b")),
             tokenize_account(raw),
-        ),
+        )).otherwise(acc),
     )
     redactions = F.concat(
         F.transform("_suppliers", lambda e: F.struct(

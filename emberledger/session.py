@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -45,3 +47,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     folder = os.path.abspath(tempfile.mkdtemp(prefix="emberledger-"))
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers that were started without it, once for
+    each application, as ``--py-files`` does."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp()) / "emberledger-package.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, file.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
