@@ -173,17 +173,13 @@ class FactorIndex:
         )
 
 
-_LEVELS = ("exact", "national_fallback", "global_fallback")
+LEVELS = ("exact", "national_fallback", "global_fallback")
 
 
-def match_factors(activities: DataFrame, index: FactorIndex) -> DataFrame:
-    """Attach the best factor: own geography, then the country of ``CC-RR``, then ``GLO``.
-
-    Adds ``factor_id, factor_source, factor_version, factor_value, factor_unit`` (null when
-    nothing fits) and ``fallback_level``. One row in, one row out.
-    """
+def placed(activities: DataFrame) -> DataFrame:
+    """Add the keys of the lookups: ``_type`` and the place of each level, ``_geo0`` to ``_geo2``."""
     geo = F.col("_geo0")
-    df = activities.select(
+    return activities.select(
         "*", _type_key(F.col("activity_type")).alias("_type"),
         _geo_key(F.col("geography")).alias("_geo0"),
     ).select(
@@ -191,14 +187,28 @@ def match_factors(activities: DataFrame, index: FactorIndex) -> DataFrame:
         F.when(F.contains(geo, F.lit("-")), strip(F.substring_index(geo, "-", 1))).alias("_geo1"),
         F.when(geo != "GLO", F.lit("GLO")).alias("_geo2"),
     )
-    for n in range(len(_LEVELS)):
+
+
+def span_factor() -> Column:
+    """The factor of a span of the timeline, under the names that matched activities get."""
+    return F.struct(
+        "factor_id", F.col("source").alias("factor_source"),
+        F.col("source_version").alias("factor_version"), "factor_value", "factor_unit",
+    )
+
+
+def match_factors(activities: DataFrame, index: FactorIndex) -> DataFrame:
+    """Attach the best factor: own geography, then the country of ``CC-RR``, then ``GLO``.
+
+    Adds ``factor_id, factor_source, factor_version, factor_value, factor_unit`` (null when
+    nothing fits) and ``fallback_level``. One row in, one row out.
+    """
+    df = placed(activities)
+    for n in range(len(LEVELS)):
         span = index.timeline.select(
             F.col("f_type").alias(f"_t{n}"), F.col("f_geo").alias(f"_g{n}"),
             F.col("span_from").alias(f"_from{n}"), F.col("span_to").alias(f"_to{n}"),
-            F.struct(
-                "factor_id", F.col("source").alias("factor_source"),
-                F.col("source_version").alias("factor_version"), "factor_value", "factor_unit",
-            ).alias(f"_f{n}"),
+            span_factor().alias(f"_f{n}"),
         )
         df = df.join(
             span,
@@ -207,11 +217,11 @@ def match_factors(activities: DataFrame, index: FactorIndex) -> DataFrame:
             "left",
         )
     level = F
-    for n, name in enumerate(_LEVELS):
+    for n, name in enumerate(LEVELS):
         level = level.when(F.col(f"_f{n}").isNotNull(), F.lit(name))
     return df.select(
         *activities.columns,
-        F.coalesce(*[F.col(f"_f{n}") for n in range(len(_LEVELS))]).alias("_factor"),
+        F.coalesce(*[F.col(f"_f{n}") for n in range(len(LEVELS))]).alias("_factor"),
         level.otherwise(F.lit("none")).alias("fallback_level"),
     ).select(*activities.columns, "_factor.*", "fallback_level")
 

@@ -560,6 +560,12 @@ _oracle("q_classify_accuracy", f"""
 _oracle("q_factor_match", """
     SELECT activity_id, factor_id, f_source AS factor_source, f_version AS factor_version,
       fallback_level FROM matched""", "matched")
+_SQL["q_factor_match_merged"] = _SQL["q_factor_match"].replace(
+    _PLACE_CASE, f"CASE WHEN l_quantity <= 45 THEN 'US-CA' ELSE {_PLACE_CASE} END")
+_oracle("q_recalculated", """
+    SELECT activity_id, factor_id, calc_status, CASE WHEN calc_status = 'computed'
+      THEN CAST(result_tco2e AS DOUBLE) END AS result_tco2e
+    FROM calc WHERE factor_id IN ('EL-US-2', 'GA-US-1')""", "calc")
 _oracle("q_pending_factor", f"""
     SELECT activity_id, activity_type, geography, CAST(period_start AS VARCHAR) AS period_start,
       active AS has_active_factor,

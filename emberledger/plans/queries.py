@@ -19,6 +19,7 @@ from emberledger.operators import (
     disclosures,
     eligibility,
     emissions,
+    factor_merge,
     factors,
     inventory,
     ledger,
@@ -28,6 +29,7 @@ from emberledger.operators import (
     scenario,
     suppliers,
 )
+from emberledger.operators.bounds import settled
 from emberledger.plans.testbed import Testbed, flat, line_id
 from emberledger.session import checkpoint_root
 from emberledger.sources import documents, ledger_store
@@ -269,6 +271,7 @@ def _redaction_text(t: Testbed) -> DataFrame:
     )
 
 
+NEW_FACTORS = ("EL-US-2", "GA-US-1")
 REDACTED_NAMES = ("Regional Fuel", "Regional Fuel Depot")
 
 
@@ -453,6 +456,33 @@ def q_factor_match(t: Testbed) -> DataFrame:
     )
 
 
+def _hot_place(activities: DataFrame) -> DataFrame:
+    """The activities with nine of ten in one place."""
+    return activities.withColumn("geography", F.when(
+        F.col("quantity") <= 45, F.lit("US-CA")).otherwise(F.col("geography")))
+
+
+@_query
+def q_factor_match_merged(t: Testbed) -> DataFrame:
+    """Matching by sorting, with nine of ten activities in one place."""
+    acts = settled(_hot_place(t.activities()), "hot-activities")
+    return factor_merge.match_by_merge(acts, t.index(), hot_rows=20_000).select(
+        "activity_id", "factor_id", "factor_source", "factor_version", "fallback_level")
+
+
+@_query
+def q_recalculated(t: Testbed) -> DataFrame:
+    """What the calculations of a stored table become when two factors arrive: one that follows
+    an earlier version and one for a type that had none."""
+    path = f"{checkpoint_root(t.spark)}/recalculated-{uuid.uuid4()}"
+    before = factors.FactorIndex.build(t.factors().where(~F.col("factor_id").isin(*NEW_FACTORS)))
+    ledger_store.append(t.classified(), path)
+    stored = ledger_store.ledger_table(t.spark, path).snapshot()
+    return factor_merge.recalculated(stored, before, t.index()).where(
+        F.col("factor_id").isin(*NEW_FACTORS)).select(
+        "activity_id", "factor_id", "calc_status", "result_tco2e")
+
+
 @_query
 def q_pending_factor(t: Testbed) -> DataFrame:
     matched = factors.match_factors(t.activities(), t.index())
