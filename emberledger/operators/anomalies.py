@@ -214,33 +214,68 @@ def omission_flags(yearly: DataFrame, comparisons: DataFrame | None = None) -> D
 COHORT = ["entity_id", "reporting_year", "activity_type", "unit"]
 
 
+def _with_intensity(ledger: DataFrame) -> DataFrame:
+    return by_overlap_year(ledger).withColumn(
+        "intensity",
+        F.when(
+            F.col("quantity") > 0,
+            F.col("result_tco2e").cast("double") / F.col("quantity").cast("double"),
+        ),
+    )
+
+
+def cohort_moments(ledger: DataFrame, *keys: str) -> DataFrame:
+    """Count of rows, and count, mean and sum of squared deviations of the intensities, of each
+    cohort; with ``keys`` in parts, which ``merged_cohorts`` puts together."""
+    return _with_intensity(ledger).groupBy(*COHORT, *keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("intensity").alias("n"),
+        F.coalesce(F.avg("intensity"), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop("intensity") * F.count("intensity"), F.lit(0.0)).alias("m2"))
+
+
+def merged_cohorts(parts: DataFrame) -> DataFrame:
+    """Statistics of whole cohorts. Parts are merged two by two, which loses no digits to
+    cancellation; a cohort has a part for each stored partition that it lies in."""
+    def merge(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        apart = b["mean"] - a["mean"]
+        share = F.when(n > 0, b["n"] / n).otherwise(F.lit(0.0))
+        return F.struct(
+            n.alias("n"), (a["mean"] + apart * share).alias("mean"),
+            (a["m2"] + b["m2"] + apart * apart * a["n"] * share).alias("m2"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"),
+                     F.lit(0.0).alias("m2"))
+    one = F.aggregate(F.array_sort(F.collect_list(F.struct("n", "mean", "m2"))), start, merge)
+    whole = parts.groupBy(*COHORT).agg(F.sum("n_rows").alias("_rows"), one.alias("_all"))
+    return whole.select(
+        *COHORT, "_rows", F.col("_all.n").alias("cohort_size"),
+        F.when(F.col("_all.n") > 0, F.col("_all.mean")).alias("cohort_mean"),
+        F.when(F.col("_all.n") > 1, F.sqrt(F.col("_all.m2") / (F.col("_all.n") - 1)))
+        .alias("cohort_stdev"))
+
+
 def intensity_scores(
-    ledger: DataFrame, zscore_cutoff: float = ZSCORE_CUTOFF, rel_stdev_floor: float = 0.0
+    ledger: DataFrame, zscore_cutoff: float = ZSCORE_CUTOFF, rel_stdev_floor: float = 0.0,
+    cohorts: DataFrame | None = None,
 ) -> DataFrame:
     """Lines whose tCO2e per unit lies ``zscore_cutoff`` deviations or more from their cohort.
 
     Cohort statistics are aggregated first and joined back, so that a cohort of any size is
     never gathered in one task. ``rel_stdev_floor`` skips cohorts whose deviation is mere
-    rounding noise relative to the mean (0 keeps every positive deviation).
+    rounding noise relative to the mean (0 keeps every positive deviation). With the ``cohorts``
+    of a kept table (see ``moment_store``) the lines are read once, else twice.
     """
-    lines = by_overlap_year(ledger).withColumn(
-        "intensity",
-        F.when(
-            F.col("quantity") > 0,
-            F.col("result_tco2e").cast("double") / F.col("quantity").cast("double"),
-        ),
-    )
+    lines = _with_intensity(ledger)
     period = Window.partitionBy("entity_id", "reporting_year")
-    cohorts = (
-        lines.groupBy(*COHORT)
-        .agg(
+    if cohorts is None:
+        cohorts = lines.groupBy(*COHORT).agg(
             F.count(F.lit(1)).alias("_rows"),
             F.count("intensity").alias("cohort_size"),
             F.avg("intensity").alias("cohort_mean"),
             F.stddev_samp("intensity").alias("cohort_stdev"),
         )
-        .withColumn("_period_rows", F.sum("_rows").over(period))
-    )
+    cohorts = cohorts.withColumn("_period_rows", F.sum("_rows").over(period))
     floor = F.abs("cohort_mean") * F.lit(float(rel_stdev_floor))
     # The largest score that a cohort of n can hold is (n - 1) / sqrt(n): smaller ones need no
     # join back. The tolerance is for the rounding of the scores.
@@ -254,9 +289,10 @@ def intensity_scores(
 
 
 def intensity_flags(
-    ledger: DataFrame, zscore_cutoff: float = ZSCORE_CUTOFF, rel_stdev_floor: float = 0.0
+    ledger: DataFrame, zscore_cutoff: float = ZSCORE_CUTOFF, rel_stdev_floor: float = 0.0,
+    cohorts: DataFrame | None = None,
 ) -> DataFrame:
-    scored = intensity_scores(ledger, zscore_cutoff, rel_stdev_floor)
+    scored = intensity_scores(ledger, zscore_cutoff, rel_stdev_floor, cohorts)
     z = fixed_text(F.col("z_score"), 2)
     words = {
         "activity_type": F.col("activity_type"), "unit": F.col("unit"), "z": z,

@@ -843,6 +843,7 @@ _oracle("q_intensity_outliers", """
     SELECT calculation_id, activity_id, entity_id, yr AS reporting_year, activity_type, unit,
       n AS cohort_size, round(x, 9) AS intensity, round(round(mu, 12), 9) AS cohort_mean,
       round(z, 6) AS z_score FROM zsc""", "zsc")
+_SQL["q_intensity_kept"] = _SQL["q_intensity_outliers"]
 _oracle("q_anomaly_scan", "SELECT * REPLACE (round(metric, 6) AS metric) FROM flags", "flags")
 _oracle("q_anomaly_list", """
     SELECT flag_id, entity_id, reporting_period, flag_type, title FROM flags

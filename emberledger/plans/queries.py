@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberledger import schemas
 from emberledger.constants import HEADER_SYNONYMS
 from emberledger.functions import dates, numbers, tokens, units
 from emberledger.operators import (
@@ -32,7 +33,7 @@ from emberledger.operators import (
 from emberledger.operators.bounds import settled
 from emberledger.plans.testbed import Testbed, flat, line_id
 from emberledger.session import checkpoint_root
-from emberledger.sources import documents, ledger_store
+from emberledger.sources import documents, ledger_store, moment_store
 from emberledger.streaming import ingest, retraction
 
 _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {}
@@ -853,7 +854,10 @@ def q_yoy(t: Testbed) -> DataFrame:
 
 @_query
 def q_intensity_outliers(t: Testbed) -> DataFrame:
-    scored = anomalies.intensity_scores(t.tampered(), rel_stdev_floor=STDEV_FLOOR)
+    return _outlier_rows(anomalies.intensity_scores(t.tampered(), rel_stdev_floor=STDEV_FLOOR))
+
+
+def _outlier_rows(scored: DataFrame) -> DataFrame:
     return scored.select(
         "calculation_id", "activity_id", "entity_id", "reporting_year", "activity_type", "unit",
         "cohort_size", F.round("intensity", 9).alias("intensity"),
@@ -861,6 +865,24 @@ def q_intensity_outliers(t: Testbed) -> DataFrame:
     )
 
 
+@_query
+def q_intensity_kept(t: Testbed) -> DataFrame:
+    """Outliers of a stored ledger by kept statistics, which follow a correction of two years:
+    their results stood ten times too high when the statistics were first worked out."""
+    root = f"{checkpoint_root(t.spark)}/intensity-kept-{uuid.uuid4()}"
+    right, wrong = t.stored_tampered(), F.year("period_start").isin(1995, 1996)
+    ledger_store.append(right.withColumn("result_tco2e", F.when(
+        wrong, F.col("result_tco2e") * 10).otherwise(F.col("result_tco2e")).cast(schemas.TCO2E)),
+        f"{root}/ledger")
+    table = ledger_store.ledger_table(t.spark, f"{root}/ledger")
+    moment_store.refresh(t.spark, table.snapshot(), f"{root}/moments")
+    ledger_store.replace_rows(t.spark, right.where(wrong), f"{root}/ledger", "calculation_id")
+    moment_store.refresh(t.spark, table.snapshot(), f"{root}/moments")
+    return _outlier_rows(anomalies.intensity_scores(
+        ledger_store.scan(t.spark, f"{root}/ledger"), rel_stdev_floor=STDEV_FLOOR,
+        cohorts=moment_store.cohorts(t.spark, f"{root}/moments")))
+
+
 @_query
 def q_scope_omission(t: Testbed) -> DataFrame:
     return anomalies.omission_flags(anomalies.yearly_scopes(t.tampered())).drop("details_json")
