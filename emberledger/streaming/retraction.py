@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberledger.operators.emissions import COMPUTED
 from emberledger.operators.inventory import TOTAL, scope_or_three
+from emberledger.session import ship_package
 from emberledger.streaming.ingest import upsert_available
 
 _PLACE = ["entity_id", "reporting_year", "scope"]
@@ -55,6 +56,7 @@ def differences(calculations: DataFrame) -> DataFrame:
     calculations with activity_id, calculation_id, computed_at, entity_id, period_start, scope
     and result_tco2e. Rows without a result, such as those with another ``calc_status``, or
     without an activity, time or id are left out. State grows with activities, not with runs."""
+    ship_package(calculations.sparkSession)
     rows = calculations.where(F.col("calc_status") == COMPUTED) \
         if "calc_status" in calculations.columns else calculations
     rows = rows.select(
