@@ -25,18 +25,23 @@ def share_pct(part: Column, whole: Column) -> Column:
     )
 
 
-def inventory(ledger: DataFrame) -> DataFrame:
-    """Totals per entity, start year, scope and category (dashboard labelling)."""
+def labelled(ledger: DataFrame) -> DataFrame:
+    """Entity, start year, scope and category (dashboard labelling) of each result."""
     scope = scope_or_three(F.col("scope"))
     label = F.coalesce(
         F.when(F.col("ghg_category") != "", F.col("ghg_category")),
         F.concat(F.lit("Scope "), scope.cast("string"), F.lit(" Uncategorized")),
     )
+    return ledger.select(
+        "entity_id", F.year("period_start").alias("reporting_year"), scope.alias("scope"),
+        label.alias("ghg_category"), "result_tco2e",
+    )
+
+
+def inventory(ledger: DataFrame) -> DataFrame:
+    """Totals per entity, start year, scope and category."""
     return (
-        ledger.select(
-            "entity_id", F.year("period_start").alias("reporting_year"), scope.alias("scope"),
-            label.alias("ghg_category"), "result_tco2e",
-        )
+        labelled(ledger)
         .groupBy("entity_id", "reporting_year", "scope", "ghg_category")
         .agg(
             F.sum("result_tco2e").cast(TOTAL).alias("total_tco2e"),

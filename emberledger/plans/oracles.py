@@ -668,6 +668,7 @@ _oracle("q_hotspots", """
       FROM (SELECT entity_id, yr, ghg_category, max(scope) AS sc, sum(t) AS t, sum(n) AS n
         FROM inv GROUP BY ALL))
     WHERE rk <= 5""", "inv")
+_SQL["q_hotspots_kept"] = _SQL["q_hotspots"]
 _oracle("q_trend", f"""
     SELECT entity_id, yr AS reporting_year,
       {', '.join(f'CAST({_sum_scope(s)} AS DOUBLE) AS scope{s}_tco2e' for s in (1, 2, 3))},
@@ -1150,6 +1151,7 @@ _oracle("q_trace_whole", """
     FROM led LEFT JOIN docs d ON d.document_id = led.source_document_id
       LEFT JOIN (SELECT 'doc-' || event_id AS id, count(*) AS n, max(ts) AS ts FROM events
         GROUP BY 1) e ON e.id = d.document_id""", "led", "docs")
+_SQL["q_trace_indexed"] = _SQL["q_trace_whole"]
 _oracle("q_stored_ledger", """
     SELECT calculation_id, activity_id, factor_id, f_source AS factor_source, entity_id,
       CAST(scope AS BIGINT) AS scope, ghg_category, CAST(result_tco2e AS DOUBLE) AS result_tco2e

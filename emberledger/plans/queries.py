@@ -33,7 +33,7 @@ from emberledger.operators import (
 from emberledger.operators.bounds import settled
 from emberledger.plans.testbed import Testbed, flat, line_id
 from emberledger.session import checkpoint_root
-from emberledger.sources import documents, ledger_store, moment_store
+from emberledger.sources import cube_store, documents, ledger_store, moment_store, trace_store
 from emberledger.streaming import ingest, retraction
 
 _QUERIES: dict[str, Callable[[Testbed], DataFrame]] = {}
@@ -624,6 +624,29 @@ def q_trend(t: Testbed) -> DataFrame:
     return inventory.yearly_trend(inventory.inventory(t.ledger()))
 
 
+@_query
+def q_hotspots_kept(t: Testbed) -> DataFrame:
+    """Hotspots from the kept inventory, which follows the stored ledger by differences: results
+    of returned items were too high and a year late until replaced, and rows of an entity that
+    does not exist were there until deleted."""
+    root = f"{checkpoint_root(t.spark)}/hotspots-kept-{uuid.uuid4()}"
+    right = settled(t.ledger("return_flag"), "ledger")
+    back = F.col("return_flag") == "R"
+    ledger_store.append(right.where(~back).unionByName(_recalculated(right)), f"{root}/ledger")
+    ledger_store.append(right.where(back).withColumns({
+        "entity_id": F.lit("GHOST"),
+        "calculation_id": F.concat(F.lit("ghost-"), "calculation_id")}), f"{root}/ledger")
+    table = ledger_store.ledger_table(t.spark, f"{root}/ledger")
+    cube_store.refresh(t.spark, table.snapshot(), f"{root}/cube")
+    ledger_store.replace_rows(t.spark, right.where(back), f"{root}/ledger", "calculation_id")
+    base = table.snapshot()
+    ghosts = base.rows().where("entity_id = 'GHOST'")
+    held = table.partitions_of(ghosts)
+    table.commit(base, base.rows(held.__contains__).where("entity_id <> 'GHOST'"), held)
+    cube_store.refresh(t.spark, table.snapshot(), f"{root}/cube")
+    return inventory.hotspots(cube_store.kept_inventory(t.spark, f"{root}/cube"))
+
+
 def _flags(t: Testbed) -> DataFrame:
     return anomalies.anomaly_scan(t.stored_tampered(), rel_stdev_floor=STDEV_FLOOR)
 
@@ -783,6 +806,31 @@ def q_trace_whole(t: Testbed) -> DataFrame:
         traced, t.audit_log(), lineage.linked_disclosures(t.disclosure_lines(), table))
 
 
+@_query
+def q_trace_indexed(t: Testbed) -> DataFrame:
+    """``q_trace_whole`` from the kept index of traces. Returned items were indexed without their
+    document and citations first and were put right after; the log came in two commits."""
+    path = f"{checkpoint_root(t.spark)}/traces-{uuid.uuid4()}"
+    calcs = t.computed().where("calc_status = 'computed'").select(
+        "calculation_id", "activity_id", "factor_id", "result_tco2e", "return_flag")
+    traced = settled(
+        lineage.trace(calcs, t.activities(), t.factors(), t.documents()), "traced")
+    table = disclosures.disclosure_rows(
+        disclosures.requested_lines(t.ledger(), t.disclosure_requests()), t.disclosure_requests())
+    linked = settled(lineage.linked_disclosures(t.disclosure_lines(), table), "linked")
+    back, bought = F.col("return_flag") == "R", F.col("action") == "PURCHASE"
+    returned = traced.where(back).select("calculation_id")
+    unknown = {c: F.when(~back, F.col(c)) for c in ("source_document_id", "filename",
+                                                    "document_status")}
+    trace_store.append(t.spark, path, trace_store.entries(
+        traced.withColumns(unknown), t.audit_log().where(bought),
+        linked.join(returned, "calculation_id", "left_anti")))
+    trace_store.append(t.spark, path, trace_store.entries(log=t.audit_log().where(~bought)))
+    trace_store.replace(t.spark, path, returned, trace_store.entries(
+        traced.where(back), linked=linked.join(returned, "calculation_id", "left_semi")))
+    return trace_store.summary(trace_store.trace_table(t.spark, path).snapshot())
+
+
 @_query
 def q_stored_ledger(t: Testbed) -> DataFrame:
     """The ledger joined from its stored tables: calculation, activity and factor."""
