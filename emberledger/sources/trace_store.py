@@ -3,7 +3,9 @@
 Three relations share one ``SnapshotTable``, so that a commit changes them together: calculations
 (with activity, factor and document) and their citations by calculation, log events by subject.
 Each is dealt to folders by a checksum of its key, which a reader works out without a job; within
-a folder the files are sorted by key and carry Bloom filters of it.
+a folder the files are sorted by key and carry Bloom filters of it. A folder's number tells the
+relation and the number of folders it was one of: one whole number, and never the same for all rows
+of a commit, as the writer of Spark keeps the order of rows only for such a partition column.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ from emberledger.sources.snapshots import Partition, Snapshot, SnapshotTable
 
 KEY = "lookup_key"
 CALCULATION, CITATION, EVENT = "calculation", "citation", "event"
-#: Folders of a relation in one commit; a table may hold commits of different numbers.
+#: Folders of a relation in one commit, a power of two; commits of one table may differ.
 BUCKETS = 64
 #: Keys of one point lookup; more of them are a join.
 MAX_KEYS = 1000
 
-_PARTITIONS = ["relation", "bucket"]
+_RELATIONS = (CALCULATION, CITATION, EVENT)
+_FOLDER = "folder"
 _FIELDS = {
     CALCULATION: "struct<activity_id string, factor_id string, source_document_id string, "
                  "result_tco2e decimal(20,8), entity_id string, activity_type string, "
@@ -50,14 +53,23 @@ class Trace:
 
 
 def trace_table(spark: SparkSession, path: str) -> SnapshotTable:
-    return SnapshotTable(spark, path, _PARTITIONS, order=[KEY], options={
+    return SnapshotTable(spark, path, [_FOLDER], order=[KEY], options={
         f"parquet.bloom.filter.enabled#{KEY}": "true",
         "parquet.block.size": str(16 << 20),  # small row groups: a point lookup reads one
     })
 
 
-def _bucket(key: Column, buckets: int) -> Column:
-    return F.concat(F.lit(f"{buckets}-"), F.pmod(F.crc32(key.cast("binary")), F.lit(buckets)))
+def _folder(key: Column, relation: str, buckets: int) -> Column:
+    """Of n buckets, bucket b of relation r is folder (n + b) * relations + r."""
+    bucket = F.pmod(F.crc32(key.cast("binary")), F.lit(buckets)) + buckets
+    return (bucket * len(_RELATIONS) + _RELATIONS.index(relation)).cast("int")
+
+
+def _place(partition: Partition) -> tuple[str, int, int]:
+    """Relation, number of buckets and bucket of a folder."""
+    slot, relation = divmod(int(partition[0]), len(_RELATIONS))
+    buckets = 1 << (slot.bit_length() - 1)
+    return _RELATIONS[relation], buckets, slot - buckets
 
 
 def _entries(rows: DataFrame, relation: str, key: str, buckets: int) -> DataFrame:
@@ -71,7 +83,7 @@ def _entries(rows: DataFrame, relation: str, key: str, buckets: int) -> DataFram
 
     return rows.where(F.col(key).isNotNull()).select(
         F.col(key).alias(KEY), *[of(n).cast(d).alias(n) for n, d in _FIELDS.items()],
-        F.lit(relation).alias("relation"), _bucket(F.col(key), buckets).alias("bucket"))
+        _folder(F.col(key), relation, buckets).alias(_FOLDER))
 
 
 def _split(struct: str) -> list[str]:
@@ -82,6 +94,8 @@ def entries(traced: DataFrame | None = None, log: DataFrame | None = None,
             linked: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Index rows of ``lineage.trace``, of an audit log (``entity_id`` is the subject) and of
     ``lineage.linked_disclosures``; at least one of the three."""
+    if buckets < 1 or buckets & (buckets - 1):
+        raise ValueError("the number of buckets has to be a power of two")
     parts = []
     if traced is not None:
         parts.append(_entries(traced, CALCULATION, "calculation_id", buckets))
@@ -110,34 +124,30 @@ def replace(spark: SparkSession, path: str, changed: DataFrame, rows: DataFrame)
     table = trace_table(spark, path)
     base, rows = table.snapshot(), settled(rows, "trace-rows")
     ids = settled(changed.select(F.col("calculation_id").alias(KEY)).distinct(), "trace-ids")
-    sizes = {_size(p) for p, _f in base.folders}
-    hit = {(r, b) for n in sizes
-           for (b,) in ids.select(_bucket(F.col(KEY), n)).distinct().collect()
-           for r in (CALCULATION, CITATION)}
-    touched = {p for p, _f in base.folders if p in hit}
+    held = {p for p, _f in base.folders}
+    sizes = {(r, n) for r, n, _b in map(_place, held) if r != EVENT}
+    hit = {(str(c),) for r, n in sorted(sizes)
+           for (c,) in ids.select(_folder(F.col(KEY), r, n)).distinct().collect()}
+    touched = hit & held
     kept = base.rows(touched.__contains__).join(ids, KEY, "left_anti")
     # Rows of the same ids that another writer adds go to folders this commit need not touch.
     return table.commit(
         base, kept.select(*rows.columns).union(rows), touched,
         clash=lambda new: bool(
-            new.where(F.col("relation") != EVENT).join(ids, KEY, "left_semi").limit(1).count()))
-
-
-def _size(partition: Partition) -> int:
-    return int(partition[1].partition("-")[0])
+            new.where(F.col(EVENT).isNull()).join(ids, KEY, "left_semi").limit(1).count()))
 
 
 def _relation(base: Snapshot, relation: str, keys: Sequence[str] | None = None) -> DataFrame:
     """Rows of a relation: all of them, or those of some keys from the folders that can hold
     them."""
     if keys is None:
-        rows = base.rows(lambda p: p[0] == relation)
+        rows = base.rows(lambda p: _place(p)[0] == relation)
     else:
         sums = [zlib.crc32(k.encode()) for k in keys]
 
         def wanted(partition: Partition) -> bool:
-            size, _dash, bucket = partition[1].partition("-")
-            return partition[0] == relation and any(s % int(size) == int(bucket) for s in sums)
+            its, buckets, bucket = _place(partition)
+            return its == relation and any(s % buckets == bucket for s in sums)
 
         rows = base.rows(wanted).where(F.col(KEY).isin(list(keys)))
     return rows.select(KEY, f"{relation}.*")
