@@ -1,8 +1,11 @@
 """Benchmark decontamination with a generalised suffix automaton of the benchmark's words.
 
 The automaton of all items is built once and broadcast; documents stream their words through
-it. Its size is checked: items beyond ``max_item_bytes`` are split into blocks with an automaton
-each, and the documents pass through the blocks one after the other.
+it. Its size is checked: items beyond ``max_item_bytes`` are dealt to blocks with an automaton
+each, and the documents pass through the blocks one after the other. Long items are cut into
+pieces that share a window less one word, so a block never has to hold a whole one. The driver
+builds one block at a time, and after every ``CHAIN`` of them the documents are written out and
+their automata given up, so the number of items does not decide how much memory is held.
 """
 
 from __future__ import annotations
@@ -11,16 +14,21 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberledger.llm.shared import add_columns, text_of
+from emberledger.llm.shared import add_columns, stored, text_of
 from emberledger.llm.tokens import NOT_ALPHANUMERIC, Texts, Words, covered
 
 #: Windows of as many words; a shorter item is one window.
 WINDOW = 10
 #: Item text of one automaton; some 50 times as much memory.
 MAX_ITEM_BYTES = 2 << 20
+#: Words of a piece of an item, besides those that it shares with the next.
+PIECE_WORDS = 4096
+#: Automata that one pass over the documents holds, at most.
+CHAIN = 4
 #: A document is dropped where more than this share of its words is hit.
 MAX_COVERAGE = 0.5
 
@@ -117,12 +125,30 @@ class SuffixAutomaton:
                 s = self.near[self.link[s]]
 
 
-def item_words(text: str | None) -> list[bytes]:
-    """The words of an item, as those of a document."""
+def item_pieces(text: str | None, window: int, size: int = PIECE_WORDS) -> list[bytes]:
+    """The item's words, lower-cased and joined by blanks, in pieces: every window of the item
+    lies in one of them, and no piece is shorter than a window unless the item is."""
     texts = Texts.of(pa.array([text or ""], pa.string()))
     words = Words(texts, NOT_ALPHANUMERIC)
-    raw = texts.data.tobytes()
-    return [raw[b:e].lower() for b, e in zip(words.begins, words.ends, strict=True)]
+    raw, n = texts.data.tobytes(), len(words.begins)
+    return [b" ".join(raw[b:e].lower() for b, e in zip(
+                words.begins[at:at + size + window - 1], words.ends[at:at + size + window - 1],
+                strict=True))
+            for at in range(0, max(n - window + 1, min(n, 1)), size)]
+
+
+def _pieces(items: DataFrame, window: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for piece in item_pieces(text, window):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name], pa.string()), pa.array([piece.decode()])],
+                        names=["item_id", "piece"])
+
+    source = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
+                          text_of(items).alias("text"))
+    return stored(source.mapInArrow(run, "item_id string, piece string"), "leak-items")
 
 
 class _Matcher:
@@ -194,30 +220,46 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text",
     window; without items nothing is hit. Repeated items each count; rows are judged one by one,
     so repeated rows get equal results. Columns named as the added ones give way.
     """
-    source = items.select(F.col("item_id").cast("string").alias("item_id"),
-                          text_of(items).alias("text"))
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = _pieces(items, window)
+    total = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     blocks = max(1, -(-int(total) // max_item_bytes))
-    added = "n_words long, n_hit long, hit_items array<string>, over boolean, leak_mask binary"
-    added += ", clean_text string" if cut else ""
-    spark, first = docs.sparkSession, True
+    spark, held = docs.sparkSession, []
+    mask, carried = (_unused(docs, n) for n in ("leak_mask", "leak_carried"))
     for block in range(blocks):
-        rows = source.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        rows = pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(blocks)) == block)
         automaton = SuffixAutomaton(
-            sorted((r.item_id or "", item_words(r.text)) for r in rows.toLocalIterator()), window)
-        shared = spark.sparkContext.broadcast(automaton)
-        docs = _pass(docs, shared, text_col, added, first, max_coverage, cut)
-        first = False
-    return docs.drop("leak_mask")
+            sorted((r.item_id, r.piece.encode().split(b" ")) for r in rows.toLocalIterator()),
+            window)
+        held.append(spark.sparkContext.broadcast(automaton))
+        last = block == blocks - 1
+        if block:  # what earlier blocks found rides along under a name of its own
+            docs = docs.withColumn(carried, F.struct(
+                F.col(mask).alias("mask"), F.col("hit_items").alias("items")))
+        added = {"n_words": "long", "n_hit": "long", "hit_items": "array<string>",
+                 "over": "boolean", "clean_text": "string", mask: "binary"}
+        for name, needed in (("clean_text", cut and last), (mask, not last)):
+            if not needed:
+                del added[name]
+        docs = _pass(docs.drop(mask), held[-1], text_col, added, carried if block else None,
+                     max_coverage)
+        if len(held) == CHAIN and not last:
+            docs = stored(docs, "leaks")
+            while held:
+                held.pop().destroy()
+    return docs
+
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, longer by as much as it takes to be no column's."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
-def _pass(docs, shared, text_col, added, first, max_coverage, cut):
-    """One automaton over all documents; hits of earlier passes are kept in ``leak_mask``."""
-    # The earlier passes' columns ride along under names of their own.
-    carried = [] if first else ["leak_mask", "hit_items"]
-    if carried:
-        docs = docs.withColumn("leak_carried", F.struct(*carried))
 
+def _pass(docs: DataFrame, shared: Broadcast, text_col: str, added: dict[str, str],
+          carried: str | None, max_coverage: float) -> DataFrame:
+    """One automaton over all documents, with what earlier ones found in ``carried``."""
     def make():
         matcher = _Matcher(shared.value)
         names = shared.value.items
@@ -229,25 +271,26 @@ def _pass(docs, shared, text_col, added, first, max_coverage, cut):
             if earlier is not None:
                 for i, row in enumerate(earlier.to_pylist()):
                     low, high = words.ranges[i], words.ranges[i + 1]
-                    bits = np.unpackbits(np.frombuffer(row["leak_mask"], np.uint8))
+                    bits = np.unpackbits(np.frombuffer(row["mask"], np.uint8))
                     hit[low:high] |= bits[:high - low].astype(bool)
-                    found[i].update(row["hit_items"])
+                    found[i].update(row["items"])
             before = np.concatenate(([0], np.cumsum(hit)))
             n_hit = before[words.ranges[1:]] - before[words.ranges[:-1]]
-            masks = [np.packbits(hit[a:b]).tobytes()
-                     for a, b in zip(words.ranges[:-1], words.ranges[1:], strict=True)]
             made = [pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()),
                     pa.array([sorted(x) for x in found], pa.list_(pa.string())),
-                    pa.array(n_hit > max_coverage * words.counts, pa.bool_()),
-                    pa.array(masks, pa.binary())]
-            if cut:
+                    pa.array(n_hit > max_coverage * words.counts, pa.bool_())]
+            if "clean_text" in added:
                 clean = cut_spans(words, hit) if hit.any() else None
                 made.append(column.cast(pa.string()) if clean is None
                             else pa.array([x.decode() for x in clean], pa.string()))
+            if len(added) > len(made):
+                made.append(pa.array(
+                    [np.packbits(hit[a:b]).tobytes()
+                     for a, b in zip(words.ranges[:-1], words.ranges[1:], strict=True)],
+                    pa.binary()))
             return made
 
         return work
 
-    if first:
-        return add_columns(docs, text_col, added, make)
-    return add_columns(docs, text_col, added, make, "leak_carried").drop("leak_carried")
+    more, ddl = ([carried] if carried else []), ", ".join(f"`{n}` {t}" for n, t in added.items())
+    return add_columns(docs, text_col, ddl, make, *more, spent=tuple(more))

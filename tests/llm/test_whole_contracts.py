@@ -1,6 +1,7 @@
 """Operators against plain versions, on odd rows and on the smallest test tables."""
 import brute
 import pytest
+from pyspark.sql import functions as F
 from odd_rows import ODD, SF
 
 from emberledger.llm import decontamination, line_dedup, queries, quality, sentence_pieces
@@ -66,7 +67,7 @@ def test_leaks_of_documents(spark, given):
     assert any(v[4] for v in want.values())
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
+@pytest.mark.parametrize("block", [1 << 20, 200, 40])
 def test_leaks_of_odd_texts(spark, odd, block):
     items = [("a", " ".join(f"word{i}" for i in range(5, 25))), ("b", "AGAIN again"),
              ("c", "word40, word41; word42"), ("d", None), ("e", ""), ("f", "own"),
@@ -81,6 +82,27 @@ def test_leaks_of_odd_texts(spark, odd, block):
     assert clean[12].startswith("before word0 word1 word2 word3 word4 word25")
 
 
+def test_leaks_of_an_item_in_pieces(spark):
+    words = [f"w{i}" for i in range(2 * decontamination.PIECE_WORDS + 40)]
+    edge = decontamination.PIECE_WORDS
+    for n in (0, 1, 9, 10, 11, edge, edge + 9, edge + 10, len(words)):
+        pieces = [p.decode().split() for p in decontamination.item_pieces(" ".join(words[:n]), 10)]
+        windows = [p[i:i + 10] for p in pieces for i in range(max(1, len(p) - 9))]
+        assert windows == [words[:n][i:i + 10] for i in range(max(n - 9, min(n, 1)))]
+    items = [("long", " ".join(words)), ("twin", " ".join(words[edge - 20:edge + 20]))]
+    docs = [(i, " ".join(["x", *words[edge - 12 + i:edge - 2 + i], "y"])) for i in range(15)]
+    docs += [(20, " ".join(words)), (21, " ".join(words[-9:]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns(
+        {c: F.lit(7) for c in ("leak_mask", "LEAK_CARRIED", "hit_items")})
+    found = decontamination.find_leaks(
+        frame, spark.createDataFrame(items, "item_id string, text string"), max_item_bytes=9000)
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r.hit_items), brute.sha(",".join(r.hit_items)),
+                      r.n_hit > 0) for r in found.collect()}
+    assert got == brute.leaks(docs, items)
+    assert {(r.leak_mask, r.LEAK_CARRIED) for r in found.collect()} == {(7, 7)}
+    assert set(found.columns) == {*frame.columns, "n_words", "n_hit", "over", "clean_text"}
+
+
 @pytest.mark.parametrize("work", [
     line_dedup.dedup_lines,
     lambda d: sentence_pieces.encode(d, queries.piece_model()),
