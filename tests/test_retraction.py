@@ -67,3 +67,26 @@ def test_a_batch_handed_over_again_counts_once(spark, table, tmp_path, monkeypat
     retraction.keep_differences(stream, out, name).awaitTermination()
     row = retraction.net_scope_totals(spark, out).first()
     assert (int(row.total_tco2e), row.activity_count) == (5, 1)
+
+
+def test_folded_batches_count_like_all_of_them(spark, table, tmp_path, monkeypatch):
+    """No row passes through Python, and what is held is folded to one row for each activity."""
+    monkeypatch.setattr(retraction, "FOLD", 2)
+    inbox, out, name = str(tmp_path / "in"), str(tmp_path / "out"), str(uuid.uuid4())
+    for n in range(6):
+        rows = [(f"a{k}", f"c{n}", f"2025-01-{1 + (n * k) % 7:02d} 00:00:00", "E", "2024-01-01", 1,
+                 str(10 * n + k)) for k in range(5)]
+        table(rows, DDL).coalesce(1).write.mode("append").parquet(inbox)
+        retraction.keep_differences(
+            spark.readStream.schema(DDL).parquet(inbox), out, name).awaitTermination()
+    seen = spark.read.schema(DDL).parquet(inbox)
+    got = retraction.net_scope_totals(spark, out).first()
+    want = latest_calculations(seen).agg(F.sum("result_tco2e"), F.count("*")).first()
+    assert (got.total_tco2e, got.activity_count) == tuple(want)
+    kept = retraction._Kept(spark, f"{spark.conf.get('spark.checkpoint.dir')}/{name}-current")
+    folders, unfolded = kept.before(6)
+    assert folders == ["folded/batch=5"] and unfolded == 0
+    assert kept.read(*folders).count() == 5
+    assert kept._batches("changed") == [4, 5]
+    plan = retraction.changes(retraction.runs(seen), kept.read(*folders))._jdf.queryExecution()
+    assert "Python" not in plan.toString() and "Pandas" not in plan.toString()
