@@ -14,6 +14,7 @@ from emberledger.constants import (
     ACCOUNT_LABEL_PATTERN,
     ACCOUNT_STANDALONE_PATTERN,
     BARE_PERIOD_PATTERN,
+    BILL_UNIT_PATTERN,
     BILL_UNITS,
     DEFAULT_GEOGRAPHY,
     HEADER_SUPPLIER_PATTERN,
@@ -171,6 +172,9 @@ def bill_lines(headed: DataFrame, key: str = "doc_id", pivot_year: int = 2025) -
     lines = pages.select(
         "*", F.posexplode(F.split("_text", LINE_BREAK, -1)).alias("_line", "_raw")
     ).drop("_text").withColumn("_raw", strip(F.col("_raw")))
+    # Every reading has a digit and a unit: most lines of a text are passed over for less.
+    lines = lines.where(F.rlike("_raw", F.lit(r"\d"))).where(
+        F.rlike("_raw", F.lit(rf"(?i)(?:{BILL_UNIT_PATTERN})")))
     unit_of, activity_of = bill_units()
     found = lines.select(
         "*", F.posexplode(consumption_readings(F.col("_raw"))).alias("_n", "_r")
