@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberledger.operators.bounds import settled
-from emberledger.sources.snapshots import Partition, SnapshotTable
+from emberledger.sources.snapshots import FILE, ROW, Partition, Snapshot, SnapshotTable
 
 PARTITIONS = ["period_year", "entity_bucket"]
 ENTITY_BUCKETS = 64
+#: Rows of one of Spark's bit maps, of 4 KB, and bit maps that are broadcast (64 MB, for 500
+#: million rows); of more, the join by file and chunk is left to the planner.
+_CHUNK_BITS, _BROADCAST_CHUNKS = 15, 16384
 
 
 def with_partitions(df: DataFrame, buckets: int = ENTITY_BUCKETS) -> DataFrame:
@@ -27,7 +30,7 @@ def entity_bucket(entity_id, buckets: int = ENTITY_BUCKETS):
 
 
 def ledger_table(spark: SparkSession, path: str) -> SnapshotTable:
-    return SnapshotTable(spark, path, PARTITIONS)
+    return SnapshotTable(spark, path, PARTITIONS, options={"compression": "zstd"})
 
 
 def append(df: DataFrame, path: str, buckets: int = ENTITY_BUCKETS) -> int:
@@ -42,20 +45,48 @@ def replace_rows(
 
     A row may move to another year or entity: the stored partitions that hold one of the keys are
     rewritten along with those that the new rows fall into, and no others are. The keys' search
-    reads two columns of the table. Returns the version that has the rows; ``ConcurrentWrite`` if
-    another writer has changed one of those partitions, or one of the keys, in the meantime.
+    reads two columns of the table and marks the places of the rows that go, a bit for each row;
+    what stays is copied file by file. Returns the version that has the rows; ``ConcurrentWrite``
+    if another writer has changed one of those partitions, or one of the keys, in the meantime.
     """
     table = ledger_table(spark, path)
     rows, base = settled(with_partitions(df, buckets), "ledger-rows"), table.snapshot()
-    stored = base.rows()
-    held = stored.select(key, *PARTITIONS).join(rows.select(key), key, "left_semi")
-    touched = table.partitions_of(held.select(*PARTITIONS).union(rows.select(*PARTITIONS)))
-    kept = base.rows(touched.__contains__).join(rows.select(key), key, "left_anti")
+    marks = _marked(base, rows.select(key), key)
+    touched = table.partitions_of(marks.select(*PARTITIONS).union(rows.select(*PARTITIONS)))
     return table.commit(
-        base, kept.unionByName(rows.select(*stored.columns)), touched,
+        base, rows, touched, kept=_unmarked(base, marks, touched),
         clash=lambda new: bool(new.join(rows.select(key), key, "left_semi").limit(1).count()))
 
 
+def _marked(base: Snapshot, keys: DataFrame, key: str) -> DataFrame:
+    """(partition, file, chunk, marks): bit maps of the rows of a file whose key is among them."""
+    found = base.placed_rows().select(key, *PARTITIONS, FILE, ROW).join(keys, key, "left_semi")
+    chunk = [*PARTITIONS, FILE, "_chunk"]
+    # Dealt out first, so that each bit map is made once and not in parts by every task.
+    dealt = found.select(*PARTITIONS, FILE, F.shiftright(ROW, _CHUNK_BITS).alias("_chunk"),
+                         _place().alias("_bit")).repartition(*chunk)
+    return settled(dealt.groupBy(*chunk).agg(
+        F.bitmap_construct_agg("_bit").alias("_marks")), "ledger-marks")
+
+
+def _unmarked(base: Snapshot, marks: DataFrame, touched: set[Partition]) -> DataFrame:
+    """The rows of the touched partitions that have no mark."""
+    chunks = marks.select(FILE, "_chunk", "_marks")
+    if marks.count() <= _BROADCAST_CHUNKS:
+        chunks = F.broadcast(chunks)
+    placed = base.placed_rows(touched.__contains__).withColumn(
+        "_chunk", F.shiftright(ROW, _CHUNK_BITS)).join(chunks, [FILE, "_chunk"], "left")
+    place = _place()
+    byte = F.conv(F.hex(F.substring("_marks", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))),
+                  16, 10).cast("int")
+    gone = F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return placed.where(F.col("_marks").isNull() | ~gone).select(*base.schema.names)
+
+
+def _place():
+    return F.col(ROW).bitwiseAND(F.lit((1 << _CHUNK_BITS) - 1))
+
+
 def scan(
     spark: SparkSession,
     path: str,
