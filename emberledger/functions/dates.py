@@ -46,6 +46,11 @@ def _cleaned(s: Column) -> Column:
     return F.regexp_replace(d, r"(?i)\b(\d{1,2})(st|nd|rd|th)\b", "$1")
 
 
+def _read_iso(s: Column) -> Column:
+    """The commonest spelling, which needs no cleaning; null for what ``_read`` has to look at."""
+    return F.when(F.rlike(s, F.lit(r"^[1-9]\d{3}-\d{2}-\d{2}\z")), s.try_cast("date"))
+
+
 def _read(s: Column, pivot_year: int) -> Column:
     serial = s.try_cast("int")
     from_serial = F.when(
@@ -90,4 +95,4 @@ def parse_date(raw: Column, pivot_year: int = 2025) -> Column:
     fallback, and month names in any order, with two- or four-digit years; a time of day, a
     weekday and ordinal endings are left aside.
     """
-    return bind(strip(raw), lambda s: _read(s, pivot_year))
+    return bind(strip(raw), lambda s: F.coalesce(_read_iso(s), _read(s, pivot_year)))

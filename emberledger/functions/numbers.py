@@ -11,6 +11,8 @@ _CURRENCY_SIGNS = r"[$€£¥₹]"
 _CURRENCY_CODES = r"(?i)\b(USD|EUR|GBP|CAD|AUD|JPY|INR)\b"
 _NUMERIC = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
+_PLAIN = r"^\d{1,14}(\.\d+)?\z"  # needs no cleaning
+
 
 def parse_quantity(raw: Column) -> Column:
     """Localised number text to ``decimal(20,6)``; null when it is not a finite number.
@@ -18,7 +20,8 @@ def parse_quantity(raw: Column) -> Column:
     Parentheses or a leading minus negate, currency signs and codes are dropped, and every
     comma is a thousands separator.
     """
-    return bind(strip(raw), _read)
+    return bind(strip(raw), lambda s: F.when(
+        F.rlike(s, F.lit(_PLAIN)), s.try_cast("decimal(20,6)")).otherwise(_read(s)))
 
 
 def _read(s: Column) -> Column:

@@ -22,6 +22,7 @@ from emberledger.operators.cleansing import build_activities, missing_fields, re
 
 DELIMITERS = (",", ";", "\t", "|")
 _SAMPLE_LINES = 10
+_CHUNK_BITS = 15
 
 
 def cells_of(line: Column, delimiter: str) -> Column:
@@ -45,11 +46,13 @@ def _cells_by_delimiter(line: Column, delimiter: Column) -> Column:
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
-    return spark.read.text(paths).select(
+    """The lines, numbered as they lie (``_pos``) in blocks of their file: at most 32768 lines of
+    one split, so that what goes block by block spreads however large the splits are."""
+    return spark.read.text(paths).withColumn("_pos", F.monotonically_increasing_id()).select(
         F.col("_metadata.file_path").alias("file_id"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_pos"),
-        F.col("value"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"),
+                 F.shiftright("_pos", _CHUNK_BITS).alias("chunk")).alias("_block"),
+        "_pos", "value",
     )
 
 
@@ -110,7 +113,8 @@ def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Records of files whose cells hold line breaks, which become line feeds. A cell that is
     never closed reaches to the end of its file."""
     lines = _lines(spark, paths)
-    delimited = lines.join(_sample_delimiters(lines), "file_id")
+    # A join by file would put each file into one task, and all that goes block by block with it.
+    delimited = lines.join(F.broadcast(_sample_delimiters(lines)), "file_id")
     opens = {d: _opens(F.col("value"), d) for d in DELIMITERS}
 
     def chosen(side: int) -> Column:
@@ -120,30 +124,40 @@ def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
         return chain.otherwise(opens[DELIMITERS[0]][side])
 
     block = ["file_id", "_block"]
+    in_block = Window.partitionBy(*block).orderBy("_pos")
     maps = _composed(delimited.select(
         *block, "_pos", "value", chosen(0).alias("_outer"), chosen(1).alias("_inner")),
-        block, "_pos")
+        block, "_pos").withColumn("_prev", F.lag(F.struct("_fixed", "_turned")).over(in_block))
+
+    def before(begun: bool) -> Column:
+        """Whether a line begins inside a cell, if its block does or does not."""
+        return F.when(F.col("_prev").isNull(), F.lit(begun)).otherwise(
+            F.coalesce(F.col("_prev._fixed"), F.col("_prev._turned") != F.lit(begun)))
+
+    # Both cases are counted in the pass that sorts the lines, which are settled: no later step
+    # sorts them again or looks at their quotes.
+    maps = settled(maps.withColumns({
+        name: F.sum((~before(begun)).cast("bigint")).over(in_block)
+        for name, begun in (("_nth_out", False), ("_nth_in", True))}), "export-lines")
     whole = maps.groupBy(*block).agg(
-        F.max_by(F.struct("_fixed", "_turned"), "_pos").alias("_map")).select(
-        *block, F.coalesce("_map._fixed", "_map._turned").alias("_outer"),
+        F.max_by(F.struct("_fixed", "_turned"), "_pos").alias("_map"),
+        F.max("_nth_out").alias("_nth_out"), F.max("_nth_in").alias("_nth_in")).select(
+        *block, "_nth_out", "_nth_in", F.coalesce("_map._fixed", "_map._turned").alias("_outer"),
         F.coalesce(F.col("_map._fixed"), ~F.col("_map._turned")).alias("_inner"))
-    blocks = _composed(whole, ["file_id"], "_block").select(
-        *block, F.coalesce(F.lag(F.coalesce("_fixed", "_turned")).over(
-            Window.partitionBy("file_id").orderBy("_block")), F.lit(False)).alias("_begun"))
-    in_block = Window.partitionBy(*block).orderBy("_pos")
-    after = F.coalesce(F.col("_fixed"), F.col("_begun") != F.col("_turned"))
-    stated = maps.join(blocks, block).withColumn("_after", after).withColumn(
-        "_before", F.coalesce(F.lag("_after").over(in_block), F.col("_begun")))
+    by_block = Window.partitionBy("file_id").orderBy("_block")
+    blocks = _composed(whole, ["file_id"], "_block").withColumn("_begun", F.coalesce(
+        F.lag(F.coalesce("_fixed", "_turned")).over(by_block), F.lit(False)))
+    starts = F.when(F.col("_begun"), F.col("_nth_in")).otherwise(F.col("_nth_out"))
+    blocks = blocks.select(*block, "_begun", F.coalesce(F.sum(starts).over(by_block.rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    stated = maps.join(F.broadcast(blocks), block).withColumns({
+        "_after": F.coalesce(F.col("_fixed"), F.col("_begun") != F.col("_turned")),
+        "_before": F.when(F.col("_begun"), before(True)).otherwise(before(False)),
+        "_nth": F.when(F.col("_begun"), F.col("_nth_in")).otherwise(F.col("_nth_out"))})
 
     alone = stated.where(~F.col("_before") & ~F.col("_after"))
-    parts = stated.where(F.col("_before") | F.col("_after")).withColumn(
-        "_nth", F.sum((~F.col("_before")).cast("bigint")).over(in_block))
-    starts = parts.groupBy(*block).agg(F.max("_nth").alias("_starts"))
-    earlier = Window.partitionBy("file_id").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = starts.select(
-        *block, F.coalesce(F.sum("_starts").over(earlier), F.lit(0)).alias("_offset"))
-    joined = parts.join(offsets, block).groupBy(
+    parts = stated.where(F.col("_before") | F.col("_after"))
+    joined = parts.groupBy(
         "file_id", (F.col("_nth") + F.col("_offset")).alias("_record")).agg(
         F.array_sort(F.collect_list(F.struct("_block", "_pos", "value"))).alias("_lines"))
     return alone.select(*block, "_pos", "value").unionByName(joined.select(
@@ -258,7 +272,7 @@ def read_delimited(
         "missing_fields", "header_cells"
     )
     data = (
-        lines.join(usable, "file_id")
+        lines.join(F.broadcast(usable), "file_id")
         .where((F.col("_block") > F.col("_hblock")) | (F.col("_pos") > F.col("_hpos")))
         .withColumn(
             "_cells",
@@ -266,15 +280,16 @@ def read_delimited(
         )
         .where(F.exists("_cells", lambda c: c != ""))
     )
+    # Cut into cells once, for all that follows.
+    data = settled(data.select(
+        "file_id", "_block", "_pos", F.col("_p_raw_line_ref").isNull().alias("_unnamed"),
+        *[F.get("_cells", F.col(f"_p_{t}")).alias(t) for t in TARGET_FIELDS]), "export-cells")
     # Only rows without a line reference of their own have to be counted.
-    numbered = _number_rows(data.where(F.col("_p_raw_line_ref").isNull())).unionByName(
-        data.where(F.col("_p_raw_line_ref").isNotNull()).withColumns(
+    numbered = _number_rows(data.where("_unnamed")).unionByName(
+        data.where(~F.col("_unnamed")).withColumns(
             {"_n": F.lit(None).cast("int"), "_offset": F.lit(None).cast("bigint"),
              "row_no": F.lit(None).cast("bigint")}))
-    raw = numbered.select(
-        F.col("file_id").alias("document_id"), "row_no",
-        *[F.get("_cells", F.col(f"_p_{t}")).alias(t) for t in TARGET_FIELDS],
-    )
+    raw = numbered.select(F.col("file_id").alias("document_id"), "row_no", *TARGET_FIELDS)
     rows = build_activities(raw, default_geography, F.col("row_no"))
     counts = data.groupBy("file_id").agg(F.count(F.lit(1)).alias("data_rows"))
     files = layout.join(counts, "file_id", "left").select(
@@ -314,6 +329,6 @@ def _number_rows(data: DataFrame) -> DataFrame:
     in_block = Window.partitionBy("file_id", "_block").orderBy("_pos")
     return (
         data.withColumn("_n", F.row_number().over(in_block))
-        .join(offsets, ["file_id", "_block"])
+        .join(F.broadcast(offsets), ["file_id", "_block"])
         .withColumn("row_no", F.col("_n") + F.col("_offset"))
     )
