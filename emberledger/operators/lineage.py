@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberledger import messages
 from emberledger.functions.text import fill
 from emberledger.operators.audit import audit_rows
+from emberledger.operators.bounds import settled
 
 
 def trace(
@@ -31,10 +32,11 @@ def trace(
         F.col("document_id").alias("source_document_id"), "filename",
         F.col("status").alias("document_status"),
     )
+    # Factors last: what is shuffled to the documents has the id of the factor alone.
     return (
         calculations.join(acts, "activity_id")
-        .join(facs, "factor_id")
         .join(docs, "source_document_id", "left")
+        .join(facs, "factor_id")
     )
 
 
@@ -67,9 +69,11 @@ def trace_events(
 
     One row per calculation and event, in place of a list per calculation: the three kinds of
     subject are unpivoted so that a single equi join with the log finds them all. Columns to
-    ``carry`` along spare a join of the events back to the trace.
+    ``carry`` along spare a join of the events back to the trace. The subjects are settled by
+    their ids: three rows per calculation with all that is carried are the largest table of a
+    trace, and smaller in files than in a shuffle.
     """
-    subjects = trace_subjects(traced, carry)
+    subjects = settled(trace_subjects(traced, carry), "subjects", by="subject_id")
     log = audit_log.select(
         F.col("entity_id").alias("subject_id"), "action", "actor", "event_ts"
     )
