@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberledger import messages
 from emberledger.functions.text import fill
 from emberledger.operators.audit import audit_rows
-from emberledger.operators.bounds import settled
+from emberledger.operators.bounds import buckets, settled
 
 
 def trace(
@@ -85,12 +85,18 @@ def trace_summary(
 ) -> DataFrame:
     """One row per traced calculation: what it rests on, how many audit events its subjects have
     and when the last was, and the disclosures that cite it. Events are counted per subject
-    before they meet the calculations, so a document with many of both multiplies nothing."""
+    before they meet the calculations, so a document with many of both multiplies nothing. The
+    trace is derived once and settled by calculation; what is joined to it is dealt alike."""
+    traced = settled(traced.select(
+        "calculation_id", "activity_id", "source_document_id", "factor_source", "filename",
+        "document_status"), "traced", by="calculation_id")
+    by_calculation = buckets(traced.sparkSession), "calculation_id"
     events = audit_log.groupBy(F.col("entity_id").alias("subject_id")).agg(
         F.count(F.lit(1)).alias("_n"), F.max("event_ts").alias("_last"))
-    subjects = trace_subjects(traced).join(events, "subject_id").groupBy("calculation_id").agg(
+    subjects = trace_subjects(traced).join(events, "subject_id").repartition(
+        *by_calculation).groupBy("calculation_id").agg(
         F.sum("_n").alias("event_count"), F.max("_last").alias("last_event_ts"))
-    cited = linked.groupBy("calculation_id").agg(
+    cited = linked.repartition(*by_calculation).groupBy("calculation_id").agg(
         F.count(F.lit(1)).alias("disclosure_count"),
         F.min("disclosure_id").alias("first_disclosure_id"))
     return traced.select(
@@ -101,8 +107,11 @@ def trace_summary(
 
 
 def linked_disclosures(lines: DataFrame, disclosures: DataFrame) -> DataFrame:
-    """Disclosures that cite a calculation, one row per pair."""
-    return lines.select("calculation_id", "disclosure_id").distinct().join(
+    """Disclosures that cite a calculation, one row per pair. The pairs are dealt as a table
+    settled by calculation is."""
+    pairs = lines.select("calculation_id", "disclosure_id").repartition(
+        buckets(lines.sparkSession), "calculation_id")
+    return pairs.distinct().join(
         disclosures.select("disclosure_id", "framework", "reporting_period", "status"),
         "disclosure_id",
     )

@@ -41,6 +41,21 @@ def test_events_of_repeated_and_unknown_subjects(spark):
         for e, n in LOG if s is not None and e == s)
 
 
+def test_summary_of_repeated_and_unknown_subjects(spark):
+    got = lineage.trace_summary(*tables(spark)).select(
+        "calculation_id", "activity_id", "event_count", F.unix_seconds("last_event_ts"),
+        "disclosure_count", "first_disclosure_id")
+
+    def of(row):
+        times = [n for r in ROWS if r[0] == row[0] for _k, s in subjects_of(r)
+                 for e, n in LOG if row[0] is not None and e == s]
+        cited = [d for c, d in LINKED if c is not None and c == row[0]]
+        return (row[0], row[1], len(times), max(times, default=None), len(cited),
+                min(cited, default=None))
+
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(of(r)) for r in ROWS)
+
+
 def test_a_table_settled_by_a_column_is_not_shuffled_by_it(spark):
     rows = spark.range(1000).selectExpr("if(id % 9 = 0, null, concat('k', id % 50)) k", "id v")
     kept = settled(rows, "kept", by="k")
@@ -54,7 +69,7 @@ def test_a_table_settled_by_a_column_is_not_shuffled_by_it(spark):
     assert settled(rows.limit(0), "none", by="k").count() == 0
 
 
-@pytest.mark.parametrize("name", ["q_trace"])
+@pytest.mark.parametrize("name", ["q_trace", "q_trace_whole"])
 def test_no_table_of_calculations_is_shuffled_twice(spark, tmp_path, monkeypatch, name):
     """Calculations meet their activities, subjects the log and traces their counts as they lie."""
     monkeypatch.setattr(lineage, "settled", lambda df, name, by: shuffles.append(
