@@ -1,9 +1,11 @@
 """Which of many names may occur in which texts, found in one pass over the texts.
 
-The folded names make a trie with failure links, kept as one flat table of moves, so that every
-character of a text is one look-up however many names there are. The table is broadcast, and its
-size is bounded beforehand: a dictionary that exceeds it is cut by prefix into several tables, each
-of which walks the texts by itself.
+A name is known by a hash of its folded characters. A polynomial over the characters of a text gives
+the hash of any stretch of it in two look-ups, so the stretches that begin like a name are compared
+with all names of their lengths, however many there are: a name costs its entry and some forty bytes,
+not a table row for each of its characters. The names are broadcast, and their size is bounded
+beforehand: a dictionary that exceeds it is cut by prefix into several tables, each of which goes
+over the texts by itself.
 """
 
 from __future__ import annotations
@@ -19,15 +21,19 @@ from pyspark.sql import functions as F
 from emberledger.operators.bounds import settled
 from emberledger.session import ship_package
 
-#: Characters of the names of one table at most: as many rows of moves, 32 MB.
-TABLE_CHARS = 1 << 17
-#: Characters that have a class of their own or share one. What sharing finds too much is for the
-#: caller to check, as are the borders of words.
-_CLASSES = 64
-_OTHER, _SPACE = 0, 1
+#: Characters of the names of one table at most: some 80 MB for names of 18 characters.
+TABLE_CHARS = 1 << 23
+#: Characters by which a stretch of a text is first compared with the names.
+_HEAD = 8
 #: Code points from here on have no case.
 _CASED = 0x1F000
-_LANE = 2048
+#: In no text and no name.
+_GAP = np.uint32(0xFFFFFFFF)
+#: Characters hashed at a time.
+_LANE = 1 << 20
+#: The base of the hash, which is odd and so has an inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_powers: dict[int, np.ndarray] = {}
 
 ENTRY = "struct<name_length:int,name:string,token:string,pattern:string>"
 _ENTRY_TYPE = pa.struct([("name_length", pa.int32()), ("name", pa.string()),
@@ -62,139 +68,162 @@ def _folded(text: str) -> np.ndarray:
     return np.where(codes < _CASED, _fold_table()[np.minimum(codes, _CASED - 1)], codes)
 
 
-def _class_of(folded: np.ndarray, chars: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    place = np.minimum(np.searchsorted(chars, folded), len(chars) - 1)
-    found = np.where(chars[place] == folded, classes[place], _OTHER).astype(np.uint8)
-    found[folded == 32] = _SPACE
-    return found
-
-
-def _squeezed(classes: np.ndarray) -> np.ndarray:
+def _squeezed(codes: np.ndarray) -> np.ndarray:
     """Which places stay when runs of blanks become one."""
-    blank = classes == _SPACE
-    stays = np.ones(len(classes), bool)
+    blank = codes == 32
+    stays = np.ones(len(codes), bool)
     stays[1:] = ~(blank[1:] & blank[:-1])
     return stays
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(29)
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The powers of a base modulo 2^64, ``n`` of them at least."""
+    if base not in _powers or len(_powers[base]) < n:
+        factors = np.full(max(n, 1 << 16), base, np.uint64)
+        factors[0] = 1
+        _powers[base] = np.multiply.accumulate(factors)
+    return _powers[base]
+
+
+class _Hashes:
+    """Hashes of stretches of characters: equal for equal ones, wherever they begin."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        n = len(codes)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_mixed(codes) * _power(_BASE, n)[:n], out=self.sums[1:])
+        self.inverse = _power(pow(_BASE, -1, 1 << 64), n + 1)[:n + 1]
+
+    def leading(self, length: int) -> np.ndarray:
+        """Of the stretches of a length, from each place on that has one."""
+        if length >= len(self.sums):
+            return np.zeros(0, np.uint64)
+        n = len(self.sums) - length
+        return _mixed((self.sums[length:] - self.sums[:n]) * self.inverse[:n])
+
+    def at(self, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[places + lengths] - self.sums[places]) * self.inverse[places])
+
+
+@dataclass(frozen=True)
+class _Heads:
+    """First characters of names, ``size`` of them, and how long the names are that have them."""
+
+    size: int
+    hashes: np.ndarray    # sorted
+    first: np.ndarray     # head -> first place in ``lengths`` of the lengths of its names
+    lengths: np.ndarray
+    known: np.ndarray     # the leading bits of a hash -> whether a head has them
+
+    @staticmethod
+    def of(size: int, heads: np.ndarray, lengths: np.ndarray) -> _Heads:
+        order = np.lexsort((lengths, heads))
+        heads, lengths = heads[order], lengths[order]
+        new = np.ones(len(heads), bool)
+        new[1:] = (heads[1:] != heads[:-1]) | (lengths[1:] != lengths[:-1])
+        hashes, first = np.unique(heads[new], return_index=True)
+        bits = min(max(len(hashes).bit_length() + 4, 10), 24)
+        known = np.zeros(1 << bits, bool)
+        known[hashes >> np.uint64(64 - bits)] = True
+        return _Heads(size, hashes, np.append(first, new.sum()), lengths[new], known)
+
+    def find(self, hashes: _Hashes, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, head) among the first ``n`` places."""
+        leading = hashes.leading(self.size)[:n]
+        bits = len(self.known).bit_length() - 1
+        places = np.flatnonzero(self.known[leading >> np.uint64(64 - bits)])
+        head = np.minimum(np.searchsorted(self.hashes, leading[places]), len(self.hashes) - 1)
+        same = self.hashes[head] == leading[places]
+        return places[same], head[same]
+
+
 @dataclass(frozen=True)
 class NameTable:
-    """Moves of a trie with failure links. State 0 is the root."""
+    """Names by their hashes."""
 
     entries: pa.StructArray   # longest name first
-    chars: np.ndarray         # folded characters of the names, sorted
-    classes: np.ndarray       # their classes
-    low: np.ndarray           # class of each code point that may have case
-    moves: np.ndarray         # state * _CLASSES + class -> state
-    first: np.ndarray         # state -> first place in ``ending`` of the names that end there
-    ending: np.ndarray        # entries by the state in which they end
-    shorter: np.ndarray       # state -> nearest state behind it in which a name ends, or 0
+    heads: list[_Heads]       # of names of ``_HEAD`` characters and more, and of shorter ones
+    hashes: np.ndarray        # of the names, sorted
+    order: np.ndarray         # their entries
     longest: int              # squeezed characters of the longest name
 
     @staticmethod
     def build(entries: pa.StructArray) -> NameTable:
-        folded = [_folded(n) for n in entries.field("name").to_pylist()]
-        chars, counts = np.unique(np.concatenate([np.zeros(0, np.uint32), *folded]),
-                                  return_counts=True)
-        # Frequent characters first, so that the rare ones share.
-        rank = np.empty(len(chars), np.int64)
-        rank[np.lexsort((chars, -counts))] = np.arange(len(chars))
-        classes = np.where(chars == 32, _SPACE, 2 + rank % (_CLASSES - 2)).astype(np.uint8)
-        rows = [classes[np.searchsorted(chars, f)] for f in folded]
-        rows = [r[_squeezed(r)] for r in rows]
-        lengths = np.array([len(r) for r in rows], np.int64)
-        state = np.zeros(len(rows), np.int64)
-        levels, parents, labels = [], [], []
-        n_states = 1
-        for depth in range(int(lengths.max(initial=0))):
-            going = np.flatnonzero(lengths > depth)
-            label = np.array([rows[i][depth] for i in going], np.int64)
-            keys, place = np.unique(state[going] * _CLASSES + label, return_inverse=True)
-            levels.append((n_states, n_states + len(keys)))
-            parents.append(keys // _CLASSES)
-            labels.append(keys % _CLASSES)
-            state[going] = n_states + place
-            n_states += len(keys)
-        order = np.argsort(state, kind="stable")
-        first = np.searchsorted(state[order], np.arange(n_states + 1))
-        moves = np.zeros((n_states, _CLASSES), np.int32)
-        behind, shorter = np.zeros(n_states, np.int64), np.zeros(n_states, np.int32)
-        # Level by level: a state moves as the state behind it does, save for its own children.
-        for level, (start, stop) in enumerate(levels):
-            own, up, label = np.arange(start, stop), parents[level], labels[level]
-            if level:
-                behind[own] = moves[behind[up], label]
-            ends = first[behind[own] + 1] > first[behind[own]]
-            shorter[own] = np.where(ends & (behind[own] > 0), behind[own], shorter[behind[own]])
-            # Moves of the level before are complete once they lead here, and no state behind a
-            # state of this level lies deeper than that.
-            if level == 0:
-                moves[0, label] = own
-            if level + 1 < len(levels):
-                child_start, child_stop = levels[level + 1]
-            else:
-                child_start = child_stop = 0
-            moves[own] = moves[behind[own]]
-            if child_stop:
-                moves[parents[level + 1], labels[level + 1]] = np.arange(child_start, child_stop)
-        low = _class_of(_fold_table(), chars, classes)
-        return NameTable(entries, chars, classes, low, moves.ravel(), first, order, shorter,
-                         int(lengths.max(initial=0)))
-
-    def _classes_of(self, text: str) -> np.ndarray:
-        """Classes of the characters of a text, a piece at a time: a byte for each is kept."""
-        pieces = []
-        for start in range(0, len(text), 1 << 20):
-            codes = _codes(text[start:start + (1 << 20)])
-            high = codes >= _CASED
-            found = self.low[np.where(high, 0, codes)] if high.any() else self.low[codes]
-            if high.any():
-                found[high] = _class_of(codes[high], self.chars, self.classes)
-            pieces.append(found)
-        return np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
-
-    def _hits(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, state) wherever a name ends. The stream is cut into lanes that are walked side
-        by side; each begins early enough not to miss the names that reach into it."""
-        early = self.longest - 1
-        lane = max(_LANE, 2 * early)
-        n_lanes = -(-len(stream) // lane)
-        padded = np.zeros(early + n_lanes * lane, np.uint8)
-        padded[early:early + len(stream)] = stream
-        side = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(
-            padded, early + lane)[::lane].T)
-        ends = (self.first[1:] > self.first[:-1]) | (self.shorter > 0)
-        ends[0] = False
-        state = np.zeros(n_lanes, np.int64)
-        places, states = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for step in range(early + lane):
-            state = self.moves[state * _CLASSES + side[step]]
-            if step >= early:
-                hit = np.flatnonzero(ends[state])
-                if len(hit):
-                    places.append(hit * lane + (step - early))
-                    states.append(state[hit].astype(np.int64))
-            state = state.astype(np.int64)
-        return np.concatenate(places), np.concatenate(states)
+        lengths, hashes, heads = [], [], []
+        for step in _steps(entries.field("name")):
+            whole = np.array([len(n) for n in step], np.int64)
+            codes, start = _folded("".join(step)), np.cumsum(whole) - whole
+            stays = _squeezed(codes)
+            stays[start[whole > 0]] = True
+            kept = np.concatenate([np.zeros(1, np.int64), np.cumsum(stays)])
+            length, start = kept[start + whole] - kept[start], kept[start]
+            found = _Hashes(codes[stays])
+            lengths.append(length)
+            hashes.append(found.at(start, length))
+            heads.append(found.at(start, np.minimum(length, _HEAD)))
+        length, name, head = (np.concatenate([np.zeros(0, t), *x]) for t, x in (
+            (np.int64, lengths), (np.uint64, hashes), (np.uint64, heads)))
+        sizes = np.minimum(length, _HEAD)
+        order = np.argsort(name, kind="stable")
+        order = order[length[order] > 0]
+        return NameTable(
+            entries, [_Heads.of(int(k), head[sizes == k], length[sizes == k])
+                      for k in np.unique(sizes) if k],
+            name[order], order, int(length.max(initial=0)))
+
+    def _hits(self, codes: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, entry) of the names that may begin at the first ``n`` places."""
+        hashes = _Hashes(codes)
+        for heads in self.heads:
+            places, head = heads.find(hashes, n)
+            first, stop = heads.first[head], heads.first[head + 1]
+            while len(places):  # one length of each head after the other
+                length = heads.lengths[first]
+                inside = places + length <= len(codes)
+                at = places[inside]
+                name = hashes.at(at, length[inside])
+                low = np.searchsorted(self.hashes, name)
+                count = np.searchsorted(self.hashes, name, side="right") - low
+                offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                yield np.repeat(at, count), self.order[np.repeat(low, count) + offset]
+                more = first + 1 < stop
+                places, first, stop = places[more], first[more] + 1, stop[more]
 
     def find(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, entry), by text and then in the order of the entries."""
-        rows = [self._classes_of(t or "") for t in texts]
-        rows = [r[_squeezed(r)] for r in rows]
-        # One character that is in no name keeps neighbours apart.
+        rows = [_squeezed_codes(t or "") for t in texts]
+        # A character that is in no name keeps neighbours apart.
         stops = np.cumsum([len(r) + 1 for r in rows])
-        gap = np.zeros(1, np.uint8)
-        place, state = self._hits(np.concatenate([x for r in rows for x in (r, gap)]))
-        owner, state = _distinct(np.searchsorted(stops, place, side="right"), state)
-        texts_out, entries_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        while len(state):
-            count = self.first[state + 1] - self.first[state]
-            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            texts_out.append(np.repeat(owner, count))
-            entries_out.append(self.ending[np.repeat(self.first[state], count) + offset])
-            state = self.shorter[state].astype(np.int64)
-            owner, state = _distinct(owner[state > 0], state[state > 0])
-        return _distinct(np.concatenate(texts_out), np.concatenate(entries_out))
+        stream = np.concatenate([x for r in rows for x in (r, np.array([_GAP]))])
+        lane = max(_LANE, 2 * self.longest)
+        owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start in range(0, len(stream), lane):
+            # Far enough for the names that begin in this lane.
+            for place, entry in self._hits(stream[start:start + lane + self.longest], lane):
+                owner, entry = _distinct(
+                    np.searchsorted(stops, start + place, side="right"), entry)
+                owners.append(owner)
+                found.append(entry)
+        return _distinct(np.concatenate(owners), np.concatenate(found))
+
+
+def _squeezed_codes(text: str) -> np.ndarray:
+    """Folded characters of a text without repeated blanks, made a piece at a time."""
+    pieces, blank = [np.zeros(0, np.uint32)], False
+    for start in range(0, len(text), 1 << 20):
+        codes = _folded(text[start:start + (1 << 20)])
+        stays = _squeezed(codes)
+        stays[0] &= not (blank and codes[0] == 32)
+        blank = codes[-1] == 32
+        pieces.append(codes[stays])
+    return np.concatenate(pieces)
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,8 +267,8 @@ def _tables(dictionary: DataFrame) -> Iterator[NameTable]:
     if chars <= TABLE_CHARS:
         parts = [stored]
     else:
-        # By prefix: names that begin alike share states. Sums over ranges of names, then over
-        # the names of a range, number the tables without one task that sees all names.
+        # By prefix: sums over ranges of names, then over the names of a range, number the tables
+        # without one task that sees all names.
         ranges = int(chars // TABLE_CHARS) + 1
         ranged = settled(stored.repartitionByRange(ranges, "name").withColumn(
             "_range", F.spark_partition_id()), "name-ranges")
@@ -249,16 +278,17 @@ def _tables(dictionary: DataFrame) -> Iterator[NameTable]:
         keys = numbered.select("_range", "_part").distinct().orderBy("_range", "_part").collect()
         parts = [numbered.where((F.col("_range") == r) & (F.col("_part") == p)) for r, p in keys]
     for part in parts:
-        rows = sorted(part.select("name_length", "name", "token", "pattern").collect(),
-                      key=lambda r: (-r.name_length, r.name))
-        if rows:
-            yield NameTable.build(pa.array([r.asDict() for r in rows], _ENTRY_TYPE))
+        rows = part.select("name_length", "name", "token", "pattern").toArrow()
+        if rows.num_rows:
+            rows = rows.sort_by([("name_length", "descending"), ("name", "ascending")])
+            yield NameTable.build(rows.cast(pa.schema(list(_ENTRY_TYPE))).to_struct_array()
+                                  .combine_chunks())
 
 
 def with_names(docs: DataFrame, text: str, dictionary: DataFrame, key: str) -> DataFrame:
     """Add ``_names``: the entries of the dictionary that may be in each text, longest first.
 
-    With one table nothing is shuffled. With several, each walks the keys and texts in a pass of
+    With one table nothing is shuffled. With several, each goes over the keys and texts in a pass of
     its own, and what they find is joined to the texts by key.
     """
     spark = docs.sparkSession

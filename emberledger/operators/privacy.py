@@ -54,7 +54,7 @@ def name_candidates(
 ) -> DataFrame:
     """Add ``_names``: the dictionary entries that may be in each text, longest name first.
 
-    One way for lists and tables of any length: a trie of all names walks each text once.
+    One way for lists and tables of any length: see ``names``.
     """
     if not isinstance(suppliers, DataFrame):
         suppliers = fixed_table(docs.sparkSession, [(s,) for s in suppliers] or [("",)], ["name"])

@@ -76,3 +76,39 @@ def test_parts_of_a_text_with_marks_in_it(spark):
     got = df.select(matches_of(parts), substituted(parts, lambda m: F.concat(F.lit("<"), m, F.lit(">"))))
     assert [tuple(r) for r in got.collect()] == [
         (["1", "22"], "a<1>b<22>"), (["1", "2"], "<1>\u0001 <2>"), ([], ""), ([], "x")]
+
+
+def test_the_largest_of_our_dictionaries_is_one_table_and_one_pass(spark):
+    """60,000 names that begin alike were eighteen tables, each with a pass over the texts."""
+    dictionary = spark.range(60000).selectExpr("format_string('Supplier#%09d', id) as name")
+    (table,) = names._tables(privacy.supplier_dictionary(dictionary))
+    owner, entry = table.find(["to SUPPLIER#000059999, supplier#00000001", None,
+                               "Supplier#000000007Supplier#000060000 supplier#000000007"])
+    assert list(zip(owner.tolist(), table.entries.field("name").take(
+        pa.array(entry)).to_pylist(), strict=True)) == [
+        (0, "Supplier#000059999"), (2, "Supplier#000000007")]
+    # Forty bytes a name, beside the entries.
+    held = [table.hashes, table.order, *[a for h in table.heads for a in (
+        h.hashes, h.first, h.lengths)]]
+    assert sum(a.nbytes for a in held) < 45 * 60000
+    docs = spark.createDataFrame([(1, "at supplier#000012345.")], "doc_id int, body string")
+    plan = privacy.redact(docs, "body", dictionary)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("+- ArrowEvalPython") == 1
+    assert [r.raw_value for r in plan.first().redactions] == ["Supplier#000012345"]
+
+
+@pytest.mark.parametrize("lane", [16, 1 << 20])
+def test_names_of_many_lengths_and_long_texts(monkeypatch, lane):
+    """Names that are heads of each other, across the pieces a text is hashed and folded in."""
+    monkeypatch.setattr(names, "_LANE", lane)
+    ordered = sorted({"ab" * n for n in range(1, 30)} | {"Straße 1", "x y", "y"},
+                     key=lambda n: (-len(n), n))
+    table = names.NameTable.build(pa.array(
+        [dict(name_length=len(n), name=n, token="", pattern="") for n in ["", *ordered]],
+        names._ENTRY_TYPE))
+    long = "-" * ((1 << 20) - 2) + "X \t\n Y" + "-" * 50
+    texts = ["zAB" + "ab" * 12, "", "straße  1 x  y", "x", "y", *([long] if lane > 16 else [])]
+    owner, entry = table.find(texts)
+    assert list(zip(owner.tolist(), entry.tolist(), strict=True)) == [
+        (i, j + 1) for i, t in enumerate(texts) for j, n in enumerate(ordered)
+        if _plain(n) in _plain(t)]
